@@ -1,6 +1,6 @@
 """Named queries: importing this package registers all of them."""
 
-from lectern.plans import books  # noqa: F401
+from lectern.plans import books, history, production, quality  # noqa: F401
 from lectern.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -18,7 +18,8 @@ def main() -> None:
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = build_session("verify", **{
         "spark.master": "local[8]", "spark.sql.shuffle.partitions": "8",
-        "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = checking.connect(folder)
     checks, queries = entry.oracle_sql(), entry.queries()
