@@ -1,6 +1,8 @@
 """Named queries: importing this package registers all of them."""
 
-from lectern.plans import books, history, production, quality  # noqa: F401
+from lectern.plans import (  # noqa: F401
+    audio, books, history, ingest, live, production, quality, serving,
+)
 from lectern.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -30,7 +30,7 @@ ATTEMPTS = """attempts AS (
     CASE event_type WHEN 'click' THEN 'transcript_mismatch' WHEN 'view' THEN 'audio_warning'
       WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ready'
       WHEN 'signup' THEN 'text_edited' END AS code,
-    CAST(value * 1000 AS BIGINT) AS processing_ms,
+    CAST(round(value * 1000) AS BIGINT) AS processing_ms,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt
   FROM events)"""
 

@@ -133,7 +133,7 @@ def attempt_log(spark: SparkSession, folder: str) -> DataFrame:
         F.col("user_id").alias("fragment_id"), "event_id",
         F.col("ts").cast("timestamp").alias("completed_at"),
         code.alias("code"),
-        (F.col("value") * 1000).cast("long").alias("processing_ms"))
+        F.round(F.col("value") * 1000).cast("long").alias("processing_ms"))
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,10 +141,10 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
                     ["completed_at", "event_id"], "attempt")
 
 
-def action_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as actions on fragments, for replaying the life of a fragment."""
+def action_column() -> Column:
+    """Events as actions on fragments."""
     kind, turn = F.col("event_type"), F.col("event_id") % 4
-    action = (
+    return (
         F.when(kind == "view", "start")
         .when(kind == "purchase", "complete")
         .when(kind == "click", "complete_with_warning")
@@ -152,9 +152,13 @@ def action_log(spark: SparkSession, folder: str) -> DataFrame:
         .when(turn == 0, "manual_retry").when(turn == 1, "manual_edit")
         .when(turn == 2, "restore").otherwise("approve")
     )
+
+
+def action_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The life of every fragment as a log of actions."""
     return table(spark, folder, "events").select(
         F.col("user_id").alias("fragment_id"), "event_id",
-        F.col("ts").cast("timestamp").alias("happened_at"), action.alias("action"))
+        F.col("ts").cast("timestamp").alias("happened_at"), action_column().alias("action"))
 
 
 def revisions(spark: SparkSession, folder: str) -> DataFrame:

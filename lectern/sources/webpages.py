@@ -32,6 +32,8 @@ class _Body(HTMLParser):
             self.inside = True
         elif tag in SKIPPED:
             self.skipping.append(tag)
+        elif self.skipping or not self.inside:
+            return
         elif tag == "br":
             self.parts.append("\n")
         elif tag == "hr":
@@ -46,7 +48,7 @@ class _Body(HTMLParser):
     def handle_endtag(self, tag):
         if tag in self.skipping:
             del self.skipping[self.skipping.index(tag):]
-        elif tag in SPACED:
+        elif tag in SPACED and self.inside and not self.skipping:
             self.parts.append(BORDER)
 
     def handle_data(self, data):
