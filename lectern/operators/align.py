@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 OPERATION = ("struct<op:string,expected:string,actual:string,"
              "expected_index:int,actual_index:int>")
 KEEP, DROP, ADD = 0, 1, 2
+NEAR = 300  # errors up to which the frontier beats the banded table
 
 
 def _steps(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int]]:
@@ -21,7 +22,7 @@ def _steps(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int]]:
     band is doubled until the cost found fits into it. Work is O(length * d).
     """
     n, m = len(left), len(right)
-    band = abs(n - m) + 16
+    band = abs(n - m) + NEAR
     while True:
         rows, low = [], 0
         previous = np.arange(min(m, band) + 1, dtype=np.int32)
@@ -55,19 +56,79 @@ def _steps(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int]]:
     return path[::-1]
 
 
-def align_words(expected: list[str], actual: list[str]) -> list[dict]:
-    """Operations match, substitution, deletion and insertion with both indices."""
-    codes: dict[str, int] = {}
-    left, right = (np.array([codes.setdefault(w, len(codes)) for w in words], dtype=np.int32)
+def _frontier(left: list[int], right: list[int]) -> list[tuple[int, int, int]] | None:
+    """The same path by furthest-reaching diagonals, or None beyond ``NEAR`` errors.
+
+    For every number of errors it keeps how far each diagonal (right - left index)
+    can be followed; work is O(length + errors ** 2).
+    """
+    n, m = len(left), len(right)
+    reached: list[dict[int, int]] = []
+    for errors in range(NEAR + 1):
+        last = reached[-1] if reached else {}
+        row = {}
+        for k in range(max(-errors, -n), min(errors, m) + 1):
+            i = 0 if not reached else max(
+                last.get(k, -2) + 1, last.get(k + 1, -2) + 1, last.get(k - 1, -1))
+            i = min(i, n, m - k)
+            if i < 0 or i + k < 0:
+                continue
+            while i < n and i + k < m and left[i] == right[i + k]:
+                i += 1
+            row[k] = i
+        reached.append(row)
+        if row.get(m - n, -1) >= n:
+            break
+    else:
+        return None
+    path, i, k = [], n, m - n
+    for errors in range(len(reached) - 1, 0, -1):
+        last = reached[errors - 1]
+        step, start, came = max(
+            (KEEP, last.get(k, -2) + 1, k), (DROP, last.get(k + 1, -2) + 1, k + 1),
+            (ADD, last.get(k - 1, -1), k - 1), key=lambda item: (item[1], -item[0]))
+        start = min(start, n, m - k)
+        path.extend((KEEP, p, p + k) for p in range(i - 1, start - 1, -1))
+        i, k = start - (step != ADD), came
+        path.append((step, i, i + k))
+    path.extend((KEEP, p, p + k) for p in range(i - 1, -1, -1))
+    return path[::-1]
+
+
+def _codes(expected: list[str], actual: list[str]) -> tuple[list[int], list[int], int, int]:
+    """Words as numbers and the lengths of the equal head and tail."""
+    known: dict[str, int] = {}
+    left, right = ([known.setdefault(word, len(known)) for word in words]
                    for words in (expected, actual))
-    head = 0
     shared = min(len(left), len(right))
-    while head < shared and left[head] == right[head]:
-        head += 1
-    tail = 0
-    while tail < shared - head and left[len(left) - 1 - tail] == right[len(right) - 1 - tail]:
-        tail += 1
-    middle = _steps(left[head:len(left) - tail], right[head:len(right) - tail])
+    head = next((k for k in range(shared) if left[k] != right[k]), shared)
+    tail = next((k for k in range(shared - head) if left[-1 - k] != right[-1 - k]),
+                shared - head)
+    return left, right, head, tail
+
+
+def _middle(left: list[int], right: list[int]) -> list[tuple[int, int, int]]:
+    path = _frontier(left, right)
+    if path is None:
+        path = _steps(np.array(left, dtype=np.int32), np.array(right, dtype=np.int32))
+    return path
+
+
+def count_edits(expected: list[str], actual: list[str]) -> tuple[int, int, int, int]:
+    """Matches, substitutions, deletions, insertions of a cheapest alignment."""
+    left, right, head, tail = _codes(expected, actual)
+    a, b = left[head:len(left) - tail], right[head:len(right) - tail]
+    path = _middle(a, b)
+    kept = sum(a[i] == b[j] for step, i, j in path if step == KEEP)
+    dropped = sum(step == DROP for step, _, _ in path)
+    added = sum(step == ADD for step, _, _ in path)
+    return head + tail + kept, len(path) - kept - dropped - added, dropped, added
+
+
+def align_words(expected: list[str], actual: list[str]) -> list[dict]:
+    """Operations match, substitution, deletion and insertion with both indices."""
+    left, right, head, tail = _codes(expected, actual)
+    middle = _middle(left[head:len(left) - tail], right[head:len(right) - tail])
     pairs = [(KEEP, k, k) for k in range(head)]
     pairs += [(step, i + head, j + head) for step, i, j in middle]
     pairs += [(KEEP, len(left) - k, len(right) - k) for k in range(tail, 0, -1)]
@@ -111,14 +172,9 @@ def edit_counts(frame: DataFrame, expected: str, actual: str) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tallies = []
-            for left, right, words in zip(batch["_left"], batch["_right"], batch["_words"]):
-                if left is None:
-                    tallies.append((words, 0, 0, 0))
-                    continue
-                names = [item["op"] for item in align_words(left.split(), right.split())]
-                tallies.append(tuple(names.count(op) for op in (
-                    "match", "substitution", "deletion", "insertion")))
+            tallies = [
+                (words, 0, 0, 0) if left is None else count_edits(left.split(), right.split())
+                for left, right, words in zip(batch["_left"], batch["_right"], batch["_words"])]
             counts = pd.DataFrame(
                 tallies, columns=["matches", "substitutions", "deletions", "insertions"])
             yield pd.concat([batch[kept].reset_index(drop=True), counts], axis=1)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import collapse_space, word_count
-from lectern.operators.segment import DEFAULT_WORDS, segments
+from lectern.operators.segment import DEFAULT_WORDS, has_words, segments
 
 PATH_JOINER = " — "
 
@@ -45,15 +45,13 @@ def chapter_drafts(blocks: DataFrame) -> DataFrame:
 
 def assemble_chapters(blocks: DataFrame, limit: int = DEFAULT_WORDS) -> DataFrame:
     """Numbered chapters: book_id, chapter_number, title, segments ARRAY<STRING>."""
-    cut = chapter_drafts(blocks).select(
-        "book_id", "_run", collapse_space(F.col("title")).alias("title"),
-        segments(F.col("text"), limit).alias("segments"))
-    spoken = cut.where(F.size("segments") > 0)
+    spoken = chapter_drafts(blocks).where(has_words(F.col("text")))
     return spoken.select(
         "book_id",
         F.row_number().over(Window.partitionBy("book_id").orderBy("_run"))
         .alias("chapter_number"),
-        "title", "segments")
+        collapse_space(F.col("title")).alias("title"),
+        segments(F.col("text"), limit).alias("segments"))
 
 
 def load_fragments(chapters: DataFrame) -> DataFrame:

@@ -85,6 +85,16 @@ def segments(text: Column, limit: int = DEFAULT_WORDS) -> Column:
     return pack(chunks(phrases(text), limit), limit)
 
 
+def has_words(text: Column) -> Column:
+    """Whether a text has any segment, without cutting it.
+
+    Anything but white space and stars settles it; the exact test is for the rest.
+    """
+    clean = F.translate(text, CUT + SCENE, "")
+    return clean.rlike(r"(?U)[^\s*]") | (F.size(F.filter(
+        phrases(text), lambda phrase: phrase != SCENE)) > 0)
+
+
 def explode_segments(frame: DataFrame, text: str, limit: int = DEFAULT_WORDS) -> DataFrame:
     """One row per segment: the other columns, ``ordinal`` from 1, ``text``, ``words``."""
     kept = [name for name in frame.columns if name != text]

@@ -49,7 +49,7 @@ def fiction_files(spark: SparkSession, folder: str) -> DataFrame:
         F.when(number % 29 == 0, F.concat(head, F.lit("</FictionBook>")))
         .when(number % 31 == 0, F.concat(head, body))
         .otherwise(F.concat(head, body, F.lit("</FictionBook>"))))
-    return views.table(spark, folder, "documents").select(
+    return views.documents(spark, folder, "text", "source").select(
         "doc_id", F.encode(text, "UTF-8").alias("content"))
 
 
@@ -130,7 +130,8 @@ WITH t AS (SELECT page_id, unnest(list_filter(list_transform(string_split({PAGE_
 n AS (SELECT page_id, list(text) AS texts FROM t GROUP BY page_id)
 SELECT page_id, generate_subscripts(texts, 1) - 1 AS block_no, unnest(texts) AS text FROM n""")
 def page_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return webpages.page_blocks(views.table(spark, folder, "pages"))
+    pages = views.table(spark, folder, "pages").select("page_id", "html")
+    return webpages.page_blocks(views.spread(pages, "page_id"))
 
 
 @query("decode_audit", r"""
@@ -152,7 +153,7 @@ def decode_audit(spark: SparkSession, folder: str) -> DataFrame:
         F.when(number % 4 == 0, utf8)
         .when(number % 4 == 1, F.concat(F.lit(encoding.UTF8_BOM), utf8))
         .when(number % 4 == 2, narrow).otherwise(F.concat(F.lit(b"\xff"), utf8)))
-    files = views.table(spark, folder, "documents").select(
+    files = views.documents(spark, folder, "text").select(
         "doc_id", content.alias("content"),
         F.when(number % 4 == 2, "ISO-8859-1").alias("charset"))
     return encoding.decode_audit(files).select(

@@ -47,7 +47,7 @@ def norm_text(spark: SparkSession, folder: str) -> DataFrame:
 WITH d AS (SELECT doc_id, {sql.collapsed(sql.folded('text'))} AS t FROM documents)
 SELECT doc_id, md5(t) AS text_md5, length(t) AS chars FROM d""")
 def norm_diag(spark: SparkSession, folder: str) -> DataFrame:
-    clean = views.table(spark, folder, "documents").select(
+    clean = views.documents(spark, folder, "text").select(
         "doc_id", tx.diagnostic_form(F.col("text")).alias("t"))
     return clean.select("doc_id", F.md5(F.encode("t", "UTF-8")).alias("text_md5"),
                         F.char_length("t").alias("chars"))

@@ -17,14 +17,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Share heavy row work among all cores when the scan has too few partitions.
+
+    A large corpus has more partitions than cores and is left as it is.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.rdd.getNumPartitions() * 2 <= cores:
+        return frame.repartition(cores, key)
+    return frame
+
+
+def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", *columns), "doc_id")
+
+
 def books(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
-        F.col("doc_id").alias("book_id"), "text", "lang")
+    return documents(spark, folder, "text", "lang").withColumnRenamed("doc_id", "book_id")
 
 
 def book_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of a document as blocks; line 0 is loose text, then four per section."""
-    lines = table(spark, folder, "documents").select(
+    lines = documents(spark, folder, "text").select(
         F.col("doc_id").alias("book_id"),
         F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
     section = F.when(F.col("block_no") > 0, F.floor(F.col("block_no") / 4).cast("int"))
@@ -58,7 +72,7 @@ def planted_edit(text: Column, number: Column) -> Column:
 
 
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder, "text", "lang").select(
         "doc_id", "lang", F.col("text").alias("expected"),
         planted_edit(F.col("text"), F.col("doc_id")).alias("transcript"))
 
