@@ -46,17 +46,14 @@ def slice_hot_groups(
     if total <= limit:
         return plain, False
     hot = reliable_checkpoint(
-        frame.groupBy(*keys).agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") > limit).select(*keys)
-    )
-    hot_keys = hot.count()  # at most total / limit
-    if hot_keys == 0:
+        frame.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit))
+    hot_keys, hot_rows = hot.agg(F.count("*"), F.sum("_rows")).first()
+    if hot_keys == 0:  # at most total / limit
         return plain, False
-    marker = small(hot, hot_keys)
-    slices = max(2, 2 * total // limit)
+    marker = small(hot.select(*keys), hot_keys)
     heavy = (
         frame.join(marker, list(keys), "left_semi")
-        .repartitionByRange(slices, *keys, *order)
+        .repartitionByRange(max(2, 2 * hot_rows // limit), *keys, *order)
         .withColumn(SLICE, F.spark_partition_id() + 1)
     )
     cold = frame.join(marker, list(keys), "left_anti").withColumn(SLICE, F.lit(0))

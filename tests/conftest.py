@@ -24,7 +24,7 @@ def spark():
 
 @pytest.fixture
 def few_rows_are_hot(spark):
-    """Groups of more than five rows count as hot."""
-    spark.conf.set("lectern.hotGroupRows", "5")
+    """Groups of more than nine rows count as hot."""
+    spark.conf.set("lectern.hotGroupRows", "9")
     yield
     spark.conf.unset("lectern.hotGroupRows")
