@@ -99,7 +99,10 @@ def explode_segments(frame: DataFrame, text: str, limit: int = DEFAULT_WORDS) ->
     """One row per segment: the other columns, ``ordinal`` from 1, ``text``, ``words``."""
     kept = [name for name in frame.columns if name != text]
     return (
-        frame.select(*kept, F.posexplode(segments(F.col(text), limit)).alias("_pos", "text"))
+        # Outer, and filtered afterwards: see ``chapters``.
+        frame.select(
+            *kept, F.posexplode_outer(segments(F.col(text), limit)).alias("_pos", "text"))
+        .where(F.col("_pos").isNotNull())
         .select(*kept, (F.col("_pos") + 1).alias("ordinal"), "text",
                 word_count(F.col("text")).alias("words"))
     )
@@ -113,7 +116,8 @@ def explode_sentences(frame: DataFrame, text: str) -> DataFrame:
         phrase.alias("text"),
         ((i > 0) & (F.try_element_at(F.col("_all"), i) == SCENE)).alias("break_before")))
     spoken = F.filter(marked, lambda item: item["text"] != SCENE)
-    return listed.select(*kept, F.posexplode(spoken).alias("_pos", "_item")).select(
+    rows = listed.select(*kept, F.posexplode_outer(spoken).alias("_pos", "_item"))
+    return rows.where(F.col("_pos").isNotNull()).select(
         *kept, (F.col("_pos") + 1).alias("sentence_no"),
         F.coalesce(F.col("_item.break_before"), F.lit(False)).alias("break_before"),
         F.col("_item.text").alias("text"))

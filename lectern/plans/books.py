@@ -64,23 +64,23 @@ def clean_words(spark: SparkSession, folder: str) -> DataFrame:
                         word_count(F.col("text")).alias("words"))
 
 
-def _chapters(spark: SparkSession, folder: str) -> DataFrame:
-    return chapter_ops.assemble_chapters(views.book_blocks(spark, folder))
+def _books(spark: SparkSession, folder: str) -> DataFrame:
+    return chapter_ops.with_chapters(views.books_with_blocks(spark, folder))
 
 
 @query("chapters", f"""
 WITH {sql.CHAPTERS}
 SELECT book_id, chapter_number, title, len(segs) AS segments FROM chapters""")
 def chapter_list(spark: SparkSession, folder: str) -> DataFrame:
-    return _chapters(spark, folder).select(
+    return chapter_ops.chapter_rows(_books(spark, folder)).select(
         "book_id", "chapter_number", "title", F.size("segments").alias("segments"))
 
 
 @query("fragments", f"""
 WITH {sql.BOOK_FRAGMENTS}
 SELECT book_id, ordinal, chapter_number, ordinal_in_chapter, text, words FROM book_fragments""")
-def fragment_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return chapter_ops.load_fragments(_chapters(spark, folder))
+def fragments(spark: SparkSession, folder: str) -> DataFrame:
+    return chapter_ops.fragment_rows(_books(spark, folder))
 
 
 @query("fragment_titles", f"""
@@ -89,8 +89,9 @@ SELECT f.book_id, f.chapter_number, f.ordinal, c.title AS chapter_title,
   length(f.text) AS chars
 FROM book_fragments f JOIN chapters c USING (book_id, chapter_number)""")
 def fragment_titles(spark: SparkSession, folder: str) -> DataFrame:
-    chapters = _chapters(spark, folder)
-    joined = chapter_ops.with_titles(chapter_ops.load_fragments(chapters), chapters)
+    books = _books(spark, folder)
+    joined = chapter_ops.with_titles(
+        chapter_ops.fragment_rows(books), chapter_ops.chapter_rows(books))
     return joined.select("book_id", "chapter_number", "ordinal", "chapter_title",
                          F.char_length("text").alias("chars"))
 
@@ -101,7 +102,7 @@ SELECT book_id, chapter_number, title, len(segs) AS segments,
   count(*) OVER (PARTITION BY book_id) AS chapters_count,
   sum(len(segs)) OVER (PARTITION BY book_id) AS segments_total FROM chapters""")
 def book_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return chapter_ops.book_summary(_chapters(spark, folder))
+    return chapter_ops.book_summary(_books(spark, folder))
 
 
 @query("book_counts", f"""
@@ -109,7 +110,7 @@ WITH {sql.CHAPTERS}
 SELECT book_id, count(*) AS chapters_count, sum(len(segs)) AS fragments_count
 FROM chapters GROUP BY book_id""")
 def book_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return chapter_ops.book_counts(_chapters(spark, folder))
+    return chapter_ops.book_counts(_books(spark, folder))
 
 
 @query("preflight", f"""

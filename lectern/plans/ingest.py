@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.chapters import assemble_chapters
+from lectern.operators.chapters import chapter_rows, with_chapters
 from lectern.plans import sql
 from lectern.plans.registry import query
 from lectern.sources import encoding, fictionbook, views, webpages
@@ -106,8 +106,8 @@ drafts AS (SELECT book_id, owner, string_agg(text, chr(10) ORDER BY n) AS text,
 SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY owner) AS chapter_number,
   title, len(segs) AS segments FROM packed WHERE len(segs) > 0""")
 def fb2_chapters(spark: SparkSession, folder: str) -> DataFrame:
-    blocks = fictionbook.blocks(_parsed(spark, folder), "doc_id")
-    return assemble_chapters(blocks).select(
+    books = with_chapters(fictionbook.books(_parsed(spark, folder), "doc_id"))
+    return chapter_rows(books).select(
         "book_id", "chapter_number", "title", F.size("segments").alias("segments"))
 
 

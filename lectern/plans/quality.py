@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.operators import align as al
+from lectern.operators import chapters as ch
 from lectern.operators import decisions as de
 from lectern.plans import sql
 from lectern.plans.registry import query
@@ -212,13 +213,11 @@ SELECT f.book_id, f.ordinal, s.section_key, sha256(f.text) AS content_hash,
     f.text, '60')) AS segment_key
 FROM book_fragments f JOIN s USING (book_id, chapter_number)""")
 def stable_keys(spark: SparkSession, folder: str) -> DataFrame:
-    from lectern.operators.chapters import assemble_chapters, load_fragments, with_titles
-
-    chapters = assemble_chapters(views.book_blocks(spark, folder))
-    rows = with_titles(load_fragments(chapters), chapters)
-    section = tx.content_key(
-        "section-v1", F.col("book_id"), F.col("chapter_title"), F.col("chapter_number"))
-    return rows.withColumn("section_key", section).select(
+    books = ch.with_chapters(views.books_with_blocks(spark, folder))
+    keyed = books.withColumn("chapters", F.transform("chapters", lambda chapter: chapter.withField(
+        "section_key", tx.content_key(
+            "section-v1", F.col("book_id"), chapter["title"], chapter["chapter_number"]))))
+    return ch.fragment_rows(keyed, "section_key").select(
         "book_id", "ordinal", "section_key",
         F.sha2(F.col("text"), 256).alias("content_hash"),
         tx.content_key("segment-v1", F.col("section_key"), F.col("ordinal_in_chapter"),
@@ -235,9 +234,7 @@ n AS (SELECT book_id, chapter_number,
 SELECT book_id, chapter_number, printf('character_%04d_', chapter_number) || CASE WHEN t = ''
   THEN 'Глава ' || chapter_number ELSE t END || '.flac' AS file_name FROM n""")
 def chapter_files(spark: SparkSession, folder: str) -> DataFrame:
-    from lectern.operators.chapters import assemble_chapters
-
-    chapters = assemble_chapters(views.book_blocks(spark, folder))
+    chapters = ch.chapter_rows(ch.with_chapters(views.books_with_blocks(spark, folder)))
     title = F.concat("title", F.lit(": "), F.element_at("segments", 1))
     return chapters.select("book_id", "chapter_number", tx.chapter_file_name(
         F.col("chapter_number"), title).alias("file_name"))

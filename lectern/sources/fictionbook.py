@@ -188,8 +188,14 @@ def oversized(spark: SparkSession, path: str) -> DataFrame:
         "path", "length", F.lit("too_large").alias("reject"))
 
 
+def books(parsed: DataFrame, key: str = "path") -> DataFrame:
+    """Accepted books with their block lists, ready for chapter assembly."""
+    return parsed.where(F.col("reject").isNull()).select(
+        F.col(key).alias("book_id"), "body_title", "blocks")
+
+
 def blocks(parsed: DataFrame, key: str = "path") -> DataFrame:
-    """Text blocks of the accepted books, ready for chapter assembly."""
+    """Text blocks of the accepted books, one row each."""
     return parsed.where(F.col("reject").isNull()).select(
         F.col(key).alias("book_id"), "body_title", F.inline("blocks"))
 

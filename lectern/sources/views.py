@@ -36,19 +36,22 @@ def books(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder, "text", "lang").withColumnRenamed("doc_id", "book_id")
 
 
-def book_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of a document as blocks; line 0 is loose text, then four per section."""
-    lines = documents(spark, folder, "text").select(
-        F.col("doc_id").alias("book_id"),
-        F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
-    section = F.when(F.col("block_no") > 0, F.floor(F.col("block_no") / 4).cast("int"))
-    return lines.select(
-        "book_id", "block_no", section.alias("section_id"),
-        F.when(section.isNotNull(), F.array(
+def books_with_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as books of line blocks; line 0 is loose text, then four per section."""
+
+    def block(line: Column, i: Column) -> Column:
+        section = F.when(i > 0, F.floor(i / 4).cast("int"))
+        path = F.array(
             F.concat(F.lit("Part "), F.floor(section / 3).cast("string")),
-            F.concat(F.lit("Section "), section.cast("string")))).alias("section_path"),
-        "text",
-        F.concat(F.lit("Book "), F.col("book_id").cast("string")).alias("body_title"))
+            F.concat(F.lit("Section "), section.cast("string")))
+        return F.struct(section.alias("section_id"),
+                        F.when(section.isNotNull(), path).alias("section_path"),
+                        line.alias("text"))
+
+    return documents(spark, folder, "text").select(
+        F.col("doc_id").alias("book_id"),
+        F.concat(F.lit("Book "), F.col("doc_id").cast("string")).alias("body_title"),
+        F.transform(F.split("text", "\n"), block).alias("blocks"))
 
 
 def planted_edit(text: Column, number: Column) -> Column:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators.chapters import assemble_chapters
+from lectern.operators.chapters import chapter_rows, with_chapters
 from lectern.sources import encoding, fictionbook, webpages
 
 NS = fictionbook.NAMESPACE
@@ -21,7 +21,7 @@ def parsed(spark, tmp_path, **files):
 
 
 def chapters(rows, limit=100):
-    found = assemble_chapters(fictionbook.blocks(rows), limit).orderBy("book_id", "chapter_number")
+    found = chapter_rows(with_chapters(fictionbook.books(rows), limit)).orderBy("book_id", "chapter_number")
     return [(r["title"], list(r["segments"])) for r in found.collect()]
 
 

@@ -123,7 +123,6 @@ def test_random_section_orders(spark):
     frame = spark.createDataFrame(
         rows, "book_id int, block_no int, section_id int, section_path array<string>, "
         "text string, body_title string")
-    found = {}
-    for row in sorted(ch.chapter_drafts(frame).collect(), key=lambda r: (r["book_id"], r["_run"])):
-        found.setdefault(row["book_id"], []).append(row["text"])
+    found = {row["book_id"]: [draft["text"] for draft in row["drafts"]]
+             for row in ch.with_drafts(ch.gather_blocks(frame)).collect()}
     assert [found[b] for b in range(len(books))] == [draft_model(blocks) for blocks in books]
