@@ -7,7 +7,7 @@ import hmac
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,34 +140,40 @@ def stage_limits(text: Column, words: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def _cut_utf8(texts: pd.Series, limits: pd.Series) -> pd.Series:
     return pd.Series([
-        text.encode("utf-8")[: max(limit, 0)].decode("utf-8", "ignore")
+        None if text is None else text.encode()[:max(limit, 0)].decode("utf-8", "ignore")
         for text, limit in zip(texts, limits)
     ], dtype=object)
 
 
 def cut_bytes(text: Column, limit: Column) -> Column:
     """Longest prefix of at most ``limit`` UTF-8 bytes that ends between characters."""
-    fits = F.octet_length(text) <= limit
-    long_only = F.when(fits, "").otherwise(text)
-    return F.when(fits, text).otherwise(_cut_utf8(long_only, limit.cast("int")))
-
-
-def chapter_file_name(number: Column, title: Column) -> Column:
-    """Safe audio file name of a chapter, at most 240 bytes."""
-    ascii_title = title.rlike(r"^[\x00-\x7F]*$")
-    composed = F.when(ascii_title, title).otherwise(
-        _nfkc(F.when(ascii_title, "").otherwise(title)))
-    spaced = F.regexp_replace(composed, r'[\p{Cc}\p{Cf}/\\<>:"|?*]', " ")
-    clean = F.btrim(collapse_space(spaced), F.lit(". "))
-    clean = F.when(
-        F.char_length(clean) > MAX_FILE_TITLE_CHARS,
-        F.rtrim(F.substring(clean, 1, MAX_FILE_TITLE_CHARS), F.lit(". ")),
-    ).otherwise(clean)
-    named = F.when(clean == "", F.format_string("Глава %d", number)).otherwise(clean)
-    prefix = F.format_string("character_%04d_", number)
-    room = F.lit(MAX_FILE_BYTES) - F.octet_length(prefix) - F.lit(len(".flac"))
-    cut = F.rtrim(cut_bytes(named, room), F.lit(". "))
-    return F.concat(prefix, F.when(cut == "", "Глава").otherwise(cut), F.lit(".flac"))
+    too_long = F.octet_length(text) > limit
+    return F.coalesce(_cut_utf8(F.when(too_long, text), limit.cast("int")), text)
+
+
+def with_file_name(frame: DataFrame, number: str, title: str, name: str) -> DataFrame:
+    """Add the safe audio file name of a chapter, at most 240 bytes.
+
+    Done in steps of one column each, as every step uses the one before it twice.
+    """
+    text = F.col("_name")
+    # Plain letters, digits and spaces keep their form and need no Unicode work.
+    plain = F.col(title).rlike(r"^[\x00-\x7F]*$")
+    prefix = F.format_string("character_%04d_", F.col(number))
+    room = F.lit(MAX_FILE_BYTES - len(".flac")) - F.octet_length(prefix)
+    steps = [
+        F.coalesce(_nfkc(F.when(~plain, F.col(title))), F.col(title)),
+        F.regexp_replace(text, r'[\p{Cc}\p{Cf}/\\<>:"|?*]', " "),
+        F.btrim(collapse_space(text), F.lit(". ")),
+        F.when(F.char_length(text) > MAX_FILE_TITLE_CHARS, F.rtrim(
+            F.substring(text, 1, MAX_FILE_TITLE_CHARS), F.lit(". "))).otherwise(text),
+        F.when(text == "", F.format_string("Глава %d", F.col(number))).otherwise(text),
+        F.rtrim(cut_bytes(text, room), F.lit(". ")),
+        F.concat(prefix, F.when(text == "", "Глава").otherwise(text), F.lit(".flac")),
+    ]
+    for step in steps:
+        frame = frame.withColumn("_name", step)
+    return frame.withColumnRenamed("_name", name)
 
 
 def content_key(version: str, *parts: Column) -> Column:

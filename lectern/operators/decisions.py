@@ -97,7 +97,9 @@ def best_attempt(scored: DataFrame) -> DataFrame:
     )
 
 
-def retry_budget(attempts: DataFrame, retries: int = DEFAULT_RETRIES) -> DataFrame:
+def retry_budget(
+    attempts: DataFrame, retries: int = DEFAULT_RETRIES, at_most: int | None = None
+) -> DataFrame:
     """Automatic retries used and left at every attempt of a run of attempts.
 
     Only the two quality codes are retried; a run ends at its first other outcome
@@ -106,8 +108,8 @@ def retry_budget(attempts: DataFrame, retries: int = DEFAULT_RETRIES) -> DataFra
     quality = F.col("code").isin(*RETRYABLE_CODES)
     runs = running(
         attempts, ["fragment_id"], ["attempt"],
-        {"run": F.when(~quality, 1).otherwise(0)})
-    in_run = numbered(runs, ["fragment_id", "run"], ["attempt"], "_place")
+        {"run": F.when(~quality, 1).otherwise(0)}, at_most=at_most)
+    in_run = numbered(runs, ["fragment_id", "run"], ["attempt"], "_place", at_most)
     # Full budgets inside one run of quality codes start over, as a new job run does.
     used = (F.col("_place") - 1) % (retries + 1)
     return in_run.select(
@@ -118,9 +120,11 @@ def retry_budget(attempts: DataFrame, retries: int = DEFAULT_RETRIES) -> DataFra
         (quality & (used == retries)).alias("exhausted"))
 
 
-def repeated_failures(attempts: DataFrame, least: int = 2) -> DataFrame:
+def repeated_failures(
+    attempts: DataFrame, least: int = 2, at_most: int | None = None
+) -> DataFrame:
     """Stretches of at least ``least`` attempts in a row with the same outcome."""
-    same = numbered(attempts, ["fragment_id", "code"], ["attempt"], "_nth")
+    same = numbered(attempts, ["fragment_id", "code"], ["attempt"], "_nth", at_most)
     return (
         same.groupBy("fragment_id", "code", (F.col("attempt") - F.col("_nth")).alias("_island"))
         .agg(F.min("attempt").alias("first_attempt"), F.max("attempt").alias("last_attempt"),

@@ -34,10 +34,10 @@ def export_readiness(jobs: DataFrame, fragments: DataFrame) -> DataFrame:
         .otherwise("ok"))).drop("_fragments", "_unready", "_silent")
 
 
-def timeline(fragments: DataFrame) -> DataFrame:
+def timeline(fragments: DataFrame, at_most: int | None = None) -> DataFrame:
     """Add ``start_sample``: the samples before the fragment in its chapter."""
     return running(fragments, ["job_id", "chapter_number"], ["ordinal", "id"],
-                   {"start_sample": F.col("samples")})
+                   {"start_sample": F.col("samples")}, at_most=at_most)
 
 
 def manifest(
@@ -78,14 +78,16 @@ def write_manifests(manifests: DataFrame, path: str) -> None:
         "bucket", "document").write.partitionBy("bucket").text(path)
 
 
-def joined_pcm(fragments: DataFrame, part_samples: int = PART_SAMPLES) -> DataFrame:
+def joined_pcm(
+    fragments: DataFrame, part_samples: int = PART_SAMPLES, at_most: int | None = None
+) -> DataFrame:
     """Chapter audio in order, as binaries of bounded size.
 
     ``fragments``: job_id, chapter_number, ordinal, id, samples, pcm, sample_rate,
     channels, sample_width. A part takes the fragments that start within its span
     of samples, so that it is bounded however long the chapter is.
     """
-    placed = timeline(fragments)
+    placed = timeline(fragments, at_most)
     part = F.floor(F.col("start_sample") / part_samples).cast("int")
     form = F.struct("sample_rate", "channels", "sample_width")
     return placed.groupBy("job_id", "chapter_number", part.alias("part")).agg(

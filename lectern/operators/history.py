@@ -47,7 +47,9 @@ def backfill_revisions(fragments: DataFrame, revisions: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("parent_id"))
 
 
-def append_revisions(revisions: DataFrame, requests: DataFrame) -> DataFrame:
+def append_revisions(
+    revisions: DataFrame, requests: DataFrame, at_most: int | None = None
+) -> DataFrame:
     """New revisions for requests, numbered on from the current one of the fragment.
 
     ``requests``: fragment_id, requested_at, request_id, kind (manual, ai, restore),
@@ -65,7 +67,7 @@ def append_revisions(revisions: DataFrame, requests: DataFrame) -> DataFrame:
         requests.join(current, "fragment_id")
         .join(selected, ["fragment_id", "selected_id"], "left")
         .where((F.col("kind") != "restore") | F.col("_old_text").isNotNull()))
-    placed = numbered(known, ["fragment_id"], ["requested_at", "request_id"], "_nth")
+    placed = numbered(known, ["fragment_id"], ["requested_at", "request_id"], "_nth", at_most)
     number = F.col("_last") + F.col("_nth")
 
     def ident(value):

@@ -32,25 +32,27 @@ def small(frame: DataFrame, rows: int) -> DataFrame:
 
 
 def slice_hot_groups(
-    frame: DataFrame, keys: Sequence[str], order: Sequence[str]
+    frame: DataFrame, keys: Sequence[str], order: Sequence[str], at_most: int | None = None
 ) -> tuple[DataFrame, bool]:
     """Add ``_slice`` so that (keys, _slice) is bounded and slices follow ``order``.
 
+    ``at_most`` is a known upper bound of the row count; it saves counting the frame
+    where no group can be hot anyway.
+
     Slice 0 holds the keys of normal size. The slice of a row of a hot key is the
     number of its range partition, fixed by a reliable checkpoint because range
     bounds are sampled anew each time a plan is run.
     """
     limit = rows_per_group(frame)
-    total = frame.count()
     plain = frame.withColumn(SLICE, F.lit(0))
-    if total <= limit:
+    if (frame.count() if at_most is None else at_most) <= limit:
         return plain, False
     hot = reliable_checkpoint(
         frame.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit))
     hot_keys, hot_rows = hot.agg(F.count("*"), F.sum("_rows")).first()
-    if hot_keys == 0:  # at most total / limit
+    if hot_keys == 0:
         return plain, False
-    marker = small(hot.select(*keys), hot_keys)
+    marker = small(hot.select(*keys), hot_keys)  # no more than rows / limit keys
     heavy = (
         frame.join(marker, list(keys), "left_semi")
         .repartitionByRange(max(2, 2 * hot_rows // limit), *keys, *order)
@@ -66,12 +68,13 @@ def running(
     order: Sequence[str],
     sums: dict[str, Column],
     number: str | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Running sums before each row (``sums``) and a row number from 1 (``number``).
 
     A sum leaves out the row itself: it is the total of all earlier rows.
     """
-    sliced, hot = slice_hot_groups(frame, keys, order)
+    sliced, hot = slice_hot_groups(frame, keys, order, at_most)
     group = [*keys, SLICE] if hot else list(keys)
     ordered = Window.partitionBy(*group).orderBy(*order)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -106,7 +109,8 @@ def running(
 
 
 def numbered(
-    frame: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
+    frame: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Row number from 1 inside each group, safe for hot groups."""
-    return running(frame, keys, order, {}, number=name)
+    return running(frame, keys, order, {}, number=name, at_most=at_most)

@@ -86,13 +86,15 @@ def _slice_starts(group: pd.DataFrame) -> pd.DataFrame:
     return ordered.drop(columns="ends").assign(_start=starts)
 
 
-def replay(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+def replay(
+    events: DataFrame, key: str, order: list[str], at_most: int | None = None
+) -> DataFrame:
     """Every event with the state before and after it and whether it was allowed.
 
     Events that are not allowed in the current state leave it unchanged.
     """
     kinds = {field.name: field.dataType.simpleString() for field in events.schema.fields}
-    sliced, hot = slice_hot_groups(events, [key], order)
+    sliced, hot = slice_hot_groups(events, [key], order, at_most)
 
     def laid_out(frame: DataFrame) -> DataFrame:
         return frame.repartition(key, SLICE).sortWithinPartitions(key, SLICE, *order)

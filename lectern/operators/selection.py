@@ -50,7 +50,9 @@ def retry_selection(
         "job_verdict", F.coalesce("job_verdict", F.lit("job_not_found")))
 
 
-def rewrite_selection(requests: DataFrame, fragments: DataFrame) -> DataFrame:
+def rewrite_selection(
+    requests: DataFrame, fragments: DataFrame, at_most: int | None = None
+) -> DataFrame:
     """Warning fragments in book order, whatever the order they were asked for in.
 
     Jobs without requests offer all their warning fragments.
@@ -61,7 +63,7 @@ def rewrite_selection(requests: DataFrame, fragments: DataFrame) -> DataFrame:
         requests.select("job_id").distinct(), "job_id", "left_anti",
     ).select("job_id", F.col("id").alias("fragment_id"), "ordinal")
     return numbered(explicit.unionByName(implicit), ["job_id"], ["ordinal", "fragment_id"],
-                    "place")
+                    "place", at_most)
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:

@@ -128,7 +128,8 @@ SELECT label AS job_id, vec_id % 5 + 1 AS chapter_number, 0 AS part, 0 AS start_
   sha256(unhex(string_agg(hex(data), '' ORDER BY vec_id))) AS pcm_sha, true AS uniform_format
 FROM pcm GROUP BY label, vec_id % 5""")
 def chapter_pcm(spark: SparkSession, folder: str) -> DataFrame:
-    return ex.joined_pcm(_pcm_fragments(spark, folder)).select(
+    rows = views.row_count(spark, folder, "embeddings")
+    return ex.joined_pcm(_pcm_fragments(spark, folder), at_most=rows).select(
         "job_id", "chapter_number", "part", "start_sample", "samples", "fragments",
         F.sha2("pcm", 256).alias("pcm_sha"), "uniform_format")
 

@@ -104,7 +104,9 @@ SELECT fragment_id || ':' || (last_no + nth) AS id, fragment_id,
   CASE WHEN kind = 'restore' THEN selected_id WHEN nth = 1 THEN last_id
     ELSE fragment_id || ':' || (last_no + nth - 1) END AS parent_id FROM n""")
 def revision_append(spark: SparkSession, folder: str) -> DataFrame:
-    return hi.append_revisions(views.revisions(spark, folder), _edits(spark, folder))
+    return hi.append_revisions(
+        views.revisions(spark, folder), _edits(spark, folder),
+        views.row_count(spark, folder, "events"))
 
 
 @query("revision_audit", f"""
@@ -191,7 +193,9 @@ judged AS (SELECT s.*, p.action IS NOT NULL AS legal FROM steps s LEFT JOIN lega
 
 
 def _replayed(spark: SparkSession, folder: str) -> DataFrame:
-    return re.replay(views.action_log(spark, folder), "fragment_id", ["happened_at", "event_id"])
+    return re.replay(
+        views.action_log(spark, folder), "fragment_id", ["happened_at", "event_id"],
+        views.row_count(spark, folder, "events"))
 
 
 @query("state_replay", f"""

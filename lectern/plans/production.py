@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import chapter_file_name
+from lectern.functions.text import with_file_name
 from lectern.operators import contracts as co
 from lectern.operators import export as ex
 from lectern.operators import rollup as ro
@@ -171,7 +171,9 @@ s AS (SELECT a.job_id, fragment_id, ordinal FROM a JOIN fragments f ON f.id = a.
 SELECT job_id, fragment_id, ordinal, row_number() OVER (PARTITION BY job_id
   ORDER BY ordinal, fragment_id) AS place FROM s""")
 def rewrite_select(spark: SparkSession, folder: str) -> DataFrame:
-    return se.rewrite_selection(_requests(spark, folder), views.fragments(spark, folder))
+    most = views.row_count(spark, folder, "events") + views.row_count(spark, folder, "lineitem")
+    return se.rewrite_selection(
+        _requests(spark, folder), views.fragments(spark, folder), most)
 
 
 @query("first_duplicate", """
@@ -235,7 +237,8 @@ SELECT id, job_id, chapter_number, ordinal, samples, CAST(coalesce(sum(samples)
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_sample
 FROM fragments""")
 def timeline(spark: SparkSession, folder: str) -> DataFrame:
-    return ex.timeline(views.fragments(spark, folder)).select(
+    rows = views.row_count(spark, folder, "lineitem")
+    return ex.timeline(views.fragments(spark, folder), rows).select(
         "id", "job_id", "chapter_number", "ordinal", "samples", "start_sample")
 
 
@@ -274,8 +277,9 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
         .select("job_id", "book", F.col("voice_name").alias("voice"), "fragments_count"))
     fragments = views.fragments(spark, folder).join(
         ready.select("job_id"), "job_id", "left_semi")
-    placed = ex.timeline(fragments).withColumn(
-        "path", chapter_file_name(F.col("chapter_number"), F.col("chapter_title")))
+    placed = with_file_name(
+        ex.timeline(fragments, views.row_count(spark, folder, "lineitem")),
+        "chapter_number", "chapter_title", "path")
     return ex.manifest(heads, placed)
 
 

@@ -235,9 +235,10 @@ SELECT book_id, chapter_number, printf('character_%04d_', chapter_number) || CAS
   THEN 'Глава ' || chapter_number ELSE t END || '.flac' AS file_name FROM n""")
 def chapter_files(spark: SparkSession, folder: str) -> DataFrame:
     chapters = ch.chapter_rows(ch.with_chapters(views.books_with_blocks(spark, folder)))
-    title = F.concat("title", F.lit(": "), F.element_at("segments", 1))
-    return chapters.select("book_id", "chapter_number", tx.chapter_file_name(
-        F.col("chapter_number"), title).alias("file_name"))
+    named = chapters.select("book_id", "chapter_number", F.concat(
+        "title", F.lit(": "), F.element_at("segments", 1)).alias("title"))
+    return tx.with_file_name(named, "chapter_number", "title", "file_name").select(
+        "book_id", "chapter_number", "file_name")
 
 
 @query("seeds")
@@ -377,7 +378,8 @@ SELECT fragment_id, attempt, code, used AS retries_used, 5 - used AS retries_lef
   code IN ('transcript_mismatch', 'audio_warning') AND used < 5 AS should_retry,
   code IN ('transcript_mismatch', 'audio_warning') AND used = 5 AS exhausted FROM u""")
 def retry_budget(spark: SparkSession, folder: str) -> DataFrame:
-    return de.retry_budget(views.attempts(spark, folder))
+    rows = views.row_count(spark, folder, "events")
+    return de.retry_budget(views.attempts(spark, folder), at_most=rows)
 
 
 @query("repeat_failures", f"""
@@ -387,7 +389,8 @@ i AS (SELECT *, attempt - row_number() OVER (PARTITION BY fragment_id, code ORDE
 SELECT fragment_id, code, min(attempt) AS first_attempt, max(attempt) AS last_attempt,
   count(*) AS length FROM i GROUP BY fragment_id, code, island HAVING count(*) >= 2""")
 def repeat_failures(spark: SparkSession, folder: str) -> DataFrame:
-    return de.repeated_failures(views.attempts(spark, folder))
+    rows = views.row_count(spark, folder, "events")
+    return de.repeated_failures(views.attempts(spark, folder), at_most=rows)
 
 
 @query("confidence", """

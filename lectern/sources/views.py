@@ -17,6 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def row_count(spark: SparkSession, folder: str, name: str) -> int:
+    """Rows of a table, from the Parquet footers alone."""
+    return table(spark, folder, name).count()
+
+
 def spread(frame: DataFrame, key: str) -> DataFrame:
     """Share heavy row work among all cores when the scan has too few partitions.
 

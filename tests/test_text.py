@@ -69,7 +69,10 @@ def test_inline_controls_skip_open_brackets(spark):
 
 def test_chapter_file_names(spark):
     titles = ['../Part\\ 1:\0 <Home>?*|', "\u202e ", "Я" * 200, "Ⅳ. ", "…"]
-    found = column(spark, titles, lambda c: tx.chapter_file_name(F.lit(7), c))
+    frame = spark.createDataFrame([(i, 7, t) for i, t in enumerate(titles)],
+                                  "i int, n int, t string")
+    named = tx.with_file_name(frame, "n", "t", "file_name").orderBy("i")
+    found = [row["file_name"] for row in named.collect()]
     assert found[0] == "character_0007_Part 1 Home.flac"
     assert found[1] == "character_0007_Глава 7.flac"
     assert found[2].startswith("character_0007_ЯЯ") and len(found[2].encode()) <= 240
