@@ -125,12 +125,12 @@ def chapter_catalog(spark: SparkSession, folder: str) -> DataFrame:
 
 # Requests for retries: some repeated, some for other jobs or unknown fragments.
 REQUESTS = """requests AS (
-  SELECT event_id % 3000 AS job_id, (event_id % 3000 + CASE WHEN event_type = 'error' THEN 1
+  SELECT event_id // 3 AS job_id, (event_id // 3 + CASE WHEN event_type = 'error' THEN 1
     ELSE 0 END) || '-' || (1 + user_id % 5) AS fragment_id FROM events)"""
 
 
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
-    job = F.col("event_id") % 3_000
+    job = F.floor(F.col("event_id") / 3)
     other = F.when(F.col("event_type") == "error", job + 1).otherwise(job)
     return views.table(spark, folder, "events").select(
         job.alias("job_id"),
@@ -139,13 +139,16 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _active_rewrites(spark: SparkSession, folder: str) -> DataFrame:
-    return views.jobs(spark, folder).where(F.col("book_id") % 17 == 0).select("job_id")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    return views.table(spark, folder, "orders").where(urgent).select(
+        F.col("o_orderkey").alias("job_id"))
 
 
 @query("retry_select", f"""
 WITH {sql.FRAGMENTS}, {sql.JOBS}, {REQUESTS},
 v AS (SELECT job_id, CASE WHEN status IN ('queued', 'running') THEN 'job_active'
-  WHEN book_id % 17 = 0 THEN 'rewrite_active' ELSE 'ok' END AS job_verdict FROM jobs),
+  WHEN job_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')
+  THEN 'rewrite_active' ELSE 'ok' END AS job_verdict FROM jobs),
 a AS (SELECT job_id, fragment_id, count(*) AS times FROM requests GROUP BY 1, 2),
 s AS (SELECT a.job_id, fragment_id, 'explicit' AS mode, CASE WHEN times > 1 THEN 'duplicate'
     WHEN f.id IS NULL THEN 'not_found' WHEN f.job_id <> a.job_id THEN 'wrong_job'

@@ -241,7 +241,9 @@ def chapter_files(spark: SparkSession, folder: str) -> DataFrame:
         "book_id", "chapter_number", "file_name")
 
 
-@query("seeds")
+@query("seeds", """
+SELECT user_id AS fragment_id, count(*) AS attempts, count(*) AS distinct_seeds
+FROM events GROUP BY user_id""")
 def seeds(spark: SparkSession, folder: str) -> DataFrame:
     """Retry seeds of all attempts; a fragment never sees one twice."""
     rows = views.attempts(spark, folder)

@@ -28,5 +28,5 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_all_queries_but_seeds_have_sql():
-    assert set(entry.queries()) - set(CHECKS) == {"seeds"}
+def test_all_queries_have_sql():
+    assert set(entry.queries()) == set(CHECKS)
