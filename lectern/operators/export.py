@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.hot_groups import running
@@ -40,6 +40,30 @@ def timeline(fragments: DataFrame, at_most: int | None = None) -> DataFrame:
                    {"start_sample": F.col("samples")}, at_most=at_most)
 
 
+ENTRY = ("ordinal", "id", "chapter_number", "path", "start_sample", "samples", "status",
+         "duration_ms")
+CHAPTER = ("chapter_number", "title", "fragments_count", "duration_ms", "path", "total_samples")
+
+
+def _part(part_fragments: int) -> Column:
+    return F.floor((F.col("ordinal") - 1) / part_fragments).cast("int").alias("part")
+
+
+def _entries() -> Column:
+    return F.array_sort(F.collect_list(F.struct(*ENTRY))).alias("fragments")
+
+
+def _chapter_totals(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("job_id", "chapter_number").agg(
+        F.min("ordinal").alias("ordinal"), F.min("path").alias("path"),
+        F.min("chapter_title").alias("title"), F.count("*").alias("fragments_count"),
+        F.sum("duration_ms").alias("duration_ms"), F.sum("samples").alias("total_samples"))
+
+
+def _jobs(heads: DataFrame) -> DataFrame:
+    return heads.select("job_id", F.struct(*heads.columns).alias("job"))
+
+
 def manifest(
     heads: DataFrame, placed: DataFrame, part_fragments: int = PART_FRAGMENTS
 ) -> DataFrame:
@@ -49,29 +73,33 @@ def manifest(
     those jobs with start_sample and path. Part 0 holds the first fragments; a
     chapter is listed in the part where it begins.
     """
-    part = F.floor((F.col("ordinal") - 1) / part_fragments).cast("int")
-    entry = F.struct("ordinal", "id", "chapter_number", "path", "start_sample", "samples",
-                     "status", "duration_ms")
-    fragments = placed.groupBy("job_id", part.alias("part")).agg(
-        F.array_sort(F.collect_list(entry)).alias("fragments"))
-    chapters = placed.groupBy("job_id", "chapter_number").agg(
-        F.min("ordinal").alias("ordinal"), F.min("path").alias("path"),
-        F.min("chapter_title").alias("title"), F.count("*").alias("fragments_count"),
-        F.sum("duration_ms").alias("duration_ms"), F.sum("samples").alias("total_samples"))
-    listed = chapters.groupBy("job_id", part.alias("part")).agg(F.array_sort(F.collect_list(
-        F.struct("chapter_number", "title", "fragments_count", "duration_ms", "path",
-                 "total_samples"))).alias("chapters"))
-    shown = F.struct(*heads.columns)
+    fragments = placed.groupBy("job_id", _part(part_fragments)).agg(_entries())
+    listed = _chapter_totals(placed).groupBy("job_id", _part(part_fragments)).agg(
+        F.array_sort(F.collect_list(F.struct(*CHAPTER))).alias("chapters"))
     document = F.to_json(F.struct(
-        F.lit(FULL_MANIFEST_VERSION).alias("version"), F.col("part"), F.col("job"),
+        F.lit(FULL_MANIFEST_VERSION).alias("version"), "part", "job",
         F.coalesce("chapters", F.array().cast(listed.schema["chapters"].dataType))
-        .alias("chapters"), F.col("fragments")))
+        .alias("chapters"), "fragments"))
     return (
-        fragments.join(listed, ["job_id", "part"], "left")
-        .join(heads.select("job_id", shown.alias("job")), "job_id")
+        fragments.join(listed, ["job_id", "part"], "left").join(_jobs(heads), "job_id")
         .select("job_id", "part", document.alias("document")))
 
 
+def chapter_manifest(
+    heads: DataFrame, placed: DataFrame, part_fragments: int = PART_FRAGMENTS
+) -> DataFrame:
+    """JSON documents per chapter, in parts as for ``manifest``."""
+    fragments = placed.groupBy("job_id", "chapter_number", _part(part_fragments)).agg(_entries())
+    totals = _chapter_totals(placed).select(
+        "job_id", "chapter_number", F.struct(*CHAPTER).alias("chapter"))
+    document = F.to_json(F.struct(
+        F.lit(CHAPTER_MANIFEST_VERSION).alias("version"), F.lit("chapter").alias("scope"),
+        "part", "chapter", "job", "fragments"))
+    return (
+        fragments.join(totals, ["job_id", "chapter_number"]).join(_jobs(heads), "job_id")
+        .select("job_id", "chapter_number", "part", document.alias("document")))
+
+
 def write_manifests(manifests: DataFrame, path: str) -> None:
     """One text line per document, in a folder per job bucket."""
     manifests.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(256))).select(

@@ -23,7 +23,7 @@ def fiction_files(spark: SparkSession, folder: str) -> DataFrame:
 
     Every 29th has no body and every 31st is cut off.
     """
-    lines = F.split(_escaped(F.col("text")), "\n")
+    lines = F.col("lines")
 
     def paragraph(line: Column) -> Column:
         return F.concat(F.lit("<p>"), line, F.lit("</p>"))
@@ -49,8 +49,9 @@ def fiction_files(spark: SparkSession, folder: str) -> DataFrame:
         F.when(number % 29 == 0, F.concat(head, F.lit("</FictionBook>")))
         .when(number % 31 == 0, F.concat(head, body))
         .otherwise(F.concat(head, body, F.lit("</FictionBook>"))))
-    return views.documents(spark, folder, "text", "source").select(
-        "doc_id", F.encode(text, "UTF-8").alias("content"))
+    split = views.documents(spark, folder, "text", "source").select(
+        "doc_id", "source", F.split(_escaped(F.col("text")), "\n").alias("lines"))
+    return split.select("doc_id", F.encode(text, "UTF-8").alias("content"))
 
 
 def _parsed(spark: SparkSession, folder: str) -> DataFrame:

@@ -245,33 +245,25 @@ def timeline(spark: SparkSession, folder: str) -> DataFrame:
         "id", "job_id", "chapter_number", "ordinal", "samples", "start_sample")
 
 
-MANIFEST_SQL = f"""
-WITH {READY},
-f AS (SELECT f.*, 'character_' || lpad(CAST(chapter_number AS VARCHAR), 4, '0') || '_'
-    || chapter_title || '.flac' AS path,
+PLACED = f"""{READY},
+f AS (SELECT f.*, printf('character_%04d_', chapter_number) || chapter_title || '.flac' AS path,
   CAST(coalesce(sum(samples) OVER (PARTITION BY f.job_id, chapter_number ORDER BY ordinal, id
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_sample
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_sample,
+  {{'ordinal': ordinal, 'id': id, 'chapter_number': chapter_number, 'path': path,
+    'start_sample': start_sample, 'samples': samples, 'status': f.status,
+    'duration_ms': duration_ms}} AS entry
   FROM fragments f JOIN ready r USING (job_id) WHERE verdict = 'ok'),
-e AS (SELECT job_id, to_json(list({{'ordinal': ordinal, 'id': id, 'chapter_number':
-    chapter_number, 'path': path, 'start_sample': start_sample, 'samples': samples,
-    'status': status, 'duration_ms': duration_ms}} ORDER BY ordinal)) AS fragments
-  FROM f GROUP BY job_id),
-c AS (SELECT job_id, chapter_number, min(path) AS path, min(chapter_title) AS title,
-    count(*) AS n, CAST(sum(duration_ms) AS BIGINT) AS ms, CAST(sum(samples) AS BIGINT) AS sm
-  FROM f GROUP BY 1, 2),
-l AS (SELECT job_id, to_json(list({{'chapter_number': chapter_number, 'title': title,
-    'fragments_count': n, 'duration_ms': ms, 'path': path, 'total_samples': sm}}
-    ORDER BY chapter_number)) AS chapters FROM c GROUP BY job_id)
-SELECT job_id, 0 AS part, '{{"version":"{ex.FULL_MANIFEST_VERSION}","part":0,"job":'
-  || to_json({{'job_id': job_id, 'book': c_name, 'voice': s_name,
-    'fragments_count': fragments_count}}) || ',"chapters":' || chapters || ',"fragments":'
-  || fragments || '}}' AS document
-FROM e JOIN l USING (job_id) JOIN ready USING (job_id)
-  JOIN customer ON c_custkey = book_id JOIN supplier ON s_suppkey = voice_id"""
-
-
-@query("manifest", MANIFEST_SQL)
-def manifest(spark: SparkSession, folder: str) -> DataFrame:
+c AS (SELECT job_id, chapter_number, {{'chapter_number': chapter_number,
+    'title': min(chapter_title), 'fragments_count': count(*),
+    'duration_ms': CAST(sum(duration_ms) AS BIGINT), 'path': min(path),
+    'total_samples': CAST(sum(samples) AS BIGINT)}} AS chapter FROM f GROUP BY 1, 2),
+heads AS (SELECT job_id, to_json({{'job_id': job_id, 'book': c_name, 'voice': s_name,
+    'fragments_count': fragments_count}}) AS job FROM ready
+  JOIN customer ON c_custkey = book_id JOIN supplier ON s_suppkey = voice_id)"""
+
+
+def _placed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Heads and fragments of the jobs that may be exported."""
     ready = _ready(spark, folder).where(F.col("verdict") == "ok")
     titles = views.table(spark, folder, "customer").select(
         F.col("c_custkey").alias("book_id"), F.col("c_name").alias("book"))
@@ -283,7 +275,31 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     placed = with_file_name(
         ex.timeline(fragments, views.row_count(spark, folder, "lineitem")),
         "chapter_number", "chapter_title", "path")
-    return ex.manifest(heads, placed)
+    return heads, placed
+
+
+@query("manifest", f"""
+WITH {PLACED},
+e AS (SELECT job_id, to_json(list(entry ORDER BY ordinal)) AS fragments FROM f GROUP BY job_id),
+l AS (SELECT job_id, to_json(list(chapter ORDER BY chapter_number)) AS chapters
+  FROM c GROUP BY job_id)
+SELECT job_id, 0 AS part, '{{"version":"{ex.FULL_MANIFEST_VERSION}","part":0,"job":' || job
+  || ',"chapters":' || chapters || ',"fragments":' || fragments || '}}' AS document
+FROM e JOIN l USING (job_id) JOIN heads USING (job_id)""")
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return ex.manifest(*_placed(spark, folder))
+
+
+@query("chapter_manifest", f"""
+WITH {PLACED},
+e AS (SELECT job_id, chapter_number, to_json(list(entry ORDER BY ordinal)) AS fragments
+  FROM f GROUP BY job_id, chapter_number)
+SELECT job_id, chapter_number, 0 AS part, '{{"version":"{ex.CHAPTER_MANIFEST_VERSION}",'
+  || '"scope":"chapter","part":0,"chapter":' || to_json(chapter) || ',"job":' || job
+  || ',"fragments":' || fragments || '}}' AS document
+FROM e JOIN c USING (job_id, chapter_number) JOIN heads USING (job_id)""")
+def chapter_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return ex.chapter_manifest(*_placed(spark, folder))
 
 
 SETTINGS_SQL = """
@@ -344,6 +360,7 @@ UNION ALL SELECT 'fragment_duration', count(*), count(CASE WHEN duration_ms < 0
   FROM fragments
 UNION ALL SELECT 'fragment_samples', count(*), count(CASE WHEN samples <> duration_ms * 24
   THEN 1 END) FROM fragments
+UNION ALL SELECT 'job_counters', count(*), 0 FROM jobs
 UNION ALL SELECT 'fragment_ordinal_unique', sum(n), count(CASE WHEN n > 1 THEN 1 END) FROM
   (SELECT count(*) AS n FROM fragments GROUP BY job_id, ordinal)
 UNION ALL SELECT 'fragment_chapter_unique', sum(n), count(CASE WHEN n > 1 THEN 1 END) FROM
@@ -366,6 +383,9 @@ def contract_audit(spark: SparkSession, folder: str) -> DataFrame:
     states, revisions = views.fragment_states(spark, folder), views.revisions(spark, folder)
     first = F.col("revision_number") == 1
     parented = revisions.where(F.col("parent_id").isNotNull())
+    totals = states.groupBy("job_id").agg(F.count("*").alias("fragments_count"))
+    counted = ro.job_rollup(jobs, states).join(totals, "job_id", "left").fillna(
+        0, ["fragments_count"])
     return co.audit(
         co.check_rows(states, {
             "fragment_status": F.col("status").isin(
@@ -373,6 +393,10 @@ def contract_audit(spark: SparkSession, folder: str) -> DataFrame:
             "fragment_duration": F.col("duration_ms") >= 0,
             "fragment_samples": F.col("samples") == F.col("duration_ms") * 24,
         }),
+        co.check_rows(counted, {
+            "job_counters": F.col("pending") + F.col("ready") + F.col("warnings")
+            + F.col("failed") == F.col("fragments_count"),
+        }),
         co.check_unique(fragments, "fragment_ordinal_unique", ["job_id", "ordinal"]),
         co.check_unique(states, "fragment_chapter_unique", ["job_id", "chapter_number"]),
         co.check_reference(states, "fragment_job", "job_id", jobs, "job_id"),

@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ AUTHOR_NAMES = ("first-name", "middle-name", "last-name", "nickname")
 SCENE_BREAK = "* * *"
 MAX_FILE_BYTES = 50 * 1024 * 1024
 
+OUTPUT_BYTES = 4 * 1024 * 1024  # parsed input per output batch
+
 SCHEMA = (
     "reject string, book_title string, authors array<array<string>>, body_title string, "
     "blocks array<struct<block_no:int,section_id:int,section_path:array<string>,"
@@ -136,6 +138,8 @@ def read_book(data: bytes) -> dict:
     """Metadata and blocks of one file, or a row with its reject reason."""
     empty = {"reject": None, "book_title": None, "authors": [], "body_title": None,
              "blocks": []}
+    if data is None:
+        return {**empty, "reject": "not_fb2"}
     try:
         root, reject = _parse(data)
         if reject:
@@ -164,14 +168,26 @@ def read_book(data: bytes) -> dict:
 def parse_books(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """One row per file: its key, ``reject``, metadata and ``blocks``."""
     kind = files.schema[key].dataType.simpleString()
+    text = pa.string()
+    block = pa.struct([("block_no", pa.int32()), ("section_id", pa.int32()),
+                       ("section_path", pa.list_(text)), ("kind", text), ("text", text)])
+    parts = [("reject", text), ("book_title", text), ("authors", pa.list_(pa.list_(text))),
+             ("body_title", text), ("blocks", pa.list_(block))]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = pd.DataFrame([read_book(bytes(data)) for data in batch[content]])
-            parsed.insert(0, key, batch[key].to_numpy())
-            yield parsed
-
-    return files.select(key, content).mapInPandas(parse, f"`{key}` {kind}, {SCHEMA}")
+            keys = batch.column(key)
+            schema = pa.schema([(key, keys.type), *parts])
+            rows, size = [], 0
+            for number, data in zip(keys, batch.column(content)):
+                rows.append({key: number.as_py(), **read_book(data.as_py())})
+                size += len(data.as_py() or b"")
+                if size > OUTPUT_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.select(key, content).mapInArrow(parse, f"`{key}` {kind}, {SCHEMA}")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

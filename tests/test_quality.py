@@ -251,3 +251,11 @@ def test_inference_keeps_bad_rows(spark):
 def test_feed_pages(spark):
     events = spark.range(10).withColumnRenamed("id", "event_id")
     assert [r[0] for r in feeds.feed_page(events, 4, 3).collect()] == [5, 6, 7]
+
+
+def test_count_mismatches(spark):
+    fragments = spark.createDataFrame([(1,), (1,), (2,)], "job_id long")
+    declared = spark.createDataFrame([(1, 2), (2, 2), (3, 0), (4, 1)],
+                                     "job_id long, fragments_count long")
+    found = ro.count_mismatches(fragments, declared).collect()
+    assert sorted((r["job_id"], r["actual"]) for r in found) == [(2, 1), (4, 0)]
