@@ -18,36 +18,40 @@ NEAR = 300  # errors up to which the frontier beats the banded table
 def _steps(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int]]:
     """Cheapest edit path as (step, left index, right index), by banded rows.
 
-    A path of cost d never leaves the diagonals within d of the main one, so the
-    band is doubled until the cost found fits into it. Work is O(length * d).
+    Every path crosses the diagonals between its two ends; one that strays ``spare``
+    diagonals further must come back and costs twice that more. The band is widened
+    until the cost found rules such paths out. Work is O(length * errors).
     """
     n, m = len(left), len(right)
-    band = abs(n - m) + NEAR
+    shift = abs(n - m)
+    places = np.arange(m + 1, dtype=np.int32)
+    spare = max(8, (NEAR - shift) // 2)
     while True:
+        below, above_main = min(0, m - n) - spare, max(0, m - n) + spare
         rows, low = [], 0
-        previous = np.arange(min(m, band) + 1, dtype=np.int32)
+        previous = np.arange(min(m, above_main) + 1, dtype=np.int32)
         far = np.int32(n + m + 1)
         for i in range(1, n + 1):
-            first, last = max(0, i - band), min(m, i + band)
-            columns = np.arange(first, last + 1, dtype=np.int32)
+            first, last = max(0, i + below), min(m, i + above_main)
+            columns = places[first:last + 1]
             padded = np.full(last - first + 2, far, dtype=np.int32)
             # Row i-1 shifted so that padded[k] is its cell at column first - 1 + k.
             start = low - (first - 1)
             padded[start:start + len(previous)] = previous[:len(padded) - start]
             above = padded[1:] + 1
-            diagonal = padded[:-1].copy()
-            inside = columns > 0
-            diagonal[inside] += (right[columns[inside] - 1] != left[i - 1])
-            diagonal[~inside] = far
+            diagonal = padded[:-1]
+            edge = int(first == 0)
+            diagonal[edge:] += right[first + edge - 1:last] != left[i - 1]
+            diagonal[:edge] = far
             best = np.minimum(diagonal, above)
             best = np.minimum.accumulate(best - columns) + columns
-            rows.append((first, np.where(
-                best == diagonal, KEEP, np.where(best == above, DROP, ADD)).astype(np.uint8)))
+            moved = best != diagonal
+            rows.append((first, moved.astype(np.uint8) + (moved & (best != above))))
             previous, low = best, first
         cost = int(previous[m - low])
-        if cost <= band:
+        if cost <= shift + 2 * spare + 1:
             break
-        band = max(cost, 2 * band)
+        spare = max((cost - shift) // 2, 2 * spare)
     path, i, j = [], n, m
     while i or j:
         step = rows[i - 1][1][j - rows[i - 1][0]] if i else ADD
@@ -108,7 +112,7 @@ def _codes(expected: list[str], actual: list[str]) -> tuple[list[int], list[int]
 
 
 def _middle(left: list[int], right: list[int]) -> list[tuple[int, int, int]]:
-    path = _frontier(left, right)
+    path = _frontier(left, right) if abs(len(left) - len(right)) <= NEAR else None
     if path is None:
         path = _steps(np.array(left, dtype=np.int32), np.array(right, dtype=np.int32))
     return path
