@@ -23,6 +23,11 @@ def build_session(name: str = "lectern", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def use_utc(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import collapse_space
 from lectern.operators.hot_groups import numbered
+from lectern.session import use_utc
 
 # Fixed values of the data contract.
 SAMPLE_RATE = 24_000
@@ -14,6 +15,8 @@ ACTIVE_STATUSES = ("queued", "running")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table scan; stored times are UTC, so the session must read them as that."""
+    use_utc(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

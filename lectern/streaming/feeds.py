@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.operators.replay import INITIAL, TRANSITIONS
-from lectern.session import new_folder
+from lectern.session import new_folder, use_utc
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -19,6 +20,7 @@ def stream_table(
     spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1_000
 ) -> DataFrame:
     """A table as a stream of files; the trigger size bounds every micro-batch."""
+    use_utc(spark)
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     return (
         spark.readStream.schema(schema)
@@ -28,14 +30,38 @@ def stream_table(
     )
 
 
+def run_all(writer: DataStreamWriter, spark: SparkSession) -> None:
+    """Process all present input with RocksDB state.
+
+    A query keeps its number of state stores for life; more than two per core only
+    cost time, so a session with few cores gets fewer. A cluster keeps its setting.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.shuffle.partitions": str(min(
+            int(spark.conf.get("spark.sql.shuffle.partitions")),
+            2 * spark.sparkContext.defaultParallelism)),
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        query = writer.trigger(availableNow=True).start()
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+    query.awaitTermination()
+
+
 def run_to_folder(stream: DataFrame, label: str) -> DataFrame:
     """Run an append stream over all present input and read back what it wrote."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     root = new_folder(spark, label)
-    stream.writeStream.outputMode("append").format("parquet").option(
-        "checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/rows").trigger(
-        availableNow=True).start().awaitTermination()
+    run_all(stream.writeStream.outputMode("append").format("parquet").option(
+        "checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/rows"), spark)
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
@@ -53,15 +79,13 @@ def run_progress(events: DataFrame, label: str) -> DataFrame:
     that a repeated batch overwrites; the newest batch of a fragment counts.
     """
     spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     root = new_folder(spark, label)
 
     def add_changes(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
 
-    latest_states(events).writeStream.outputMode("update").option(
-        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(
-        add_changes).start().awaitTermination()
+    run_all(latest_states(events).writeStream.outputMode("update").option(
+        "checkpointLocation", f"{root}/checkpoint").foreachBatch(add_changes), spark)
     changes = spark.read.parquet(f"{root}/changes")
     return changes.groupBy("job_id", "fragment_id").agg(
         F.max_by("status", "batch").alias("status"))
