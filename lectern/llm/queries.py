@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, quality_rules
+from lectern.llm import byte_bpe, exact_dedup, quality_rules, simhash
 from lectern.llm.columns import GAP, UPPER
 from lectern.llm.registry import query, table
 
@@ -92,3 +93,15 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
+
+
+@query("op2_byte_bpe")
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe.digests(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN)
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_report(table(spark, folder, "documents"))
