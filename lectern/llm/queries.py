@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import byte_bpe, exact_dedup, quality_rules, simhash
+from lectern.llm import byte_bpe, exact_dedup, mixing, quality_rules, simhash
 from lectern.llm.columns import GAP, UPPER
 from lectern.llm.registry import query, table
 
@@ -105,3 +105,18 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_report(table(spark, folder, "documents"))
+
+
+#: Production mix: large sources give way to small ones (a source's share is its tokens to
+#: the power 0.7), while languages and topics keep the shares that they have.
+TARGETS = mixing.Targets(
+    source={f"src{i}": None for i in range(20)},
+    lang={"en": None, "de": None, "fr": None, "es": None},
+    topic={"legal": None, "contact": None}, temper={"source": 0.7},
+    marks={"legal": ("license", "licensed", "copyright", "all rights reserved"),
+           "contact": ("@", "http://", "https://", "www.")})
+
+
+@query("op6_mixing")
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(table(spark, folder, "documents"), TARGETS)
