@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import byte_bpe, exact_dedup, mixing, quality_rules, simhash
+from lectern.llm import (
+    byte_bpe, exact_dedup, mixing, quality_model, quality_rules, simhash,
+)
 from lectern.llm.columns import GAP, UPPER
 from lectern.llm.registry import query, table
 
@@ -120,3 +122,9 @@ TARGETS = mixing.Targets(
 @query("op6_mixing")
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents"), TARGETS)
+
+
+@query("op9_quality_model")
+def op9_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.quality_scores(
+        table(spark, folder, "documents"), table(spark, folder, "labels"))
