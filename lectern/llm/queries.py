@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import (
-    byte_bpe, exact_dedup, mixing, quality_model, quality_rules, simhash,
+    byte_bpe, exact_dedup, mixing, quality_model, quality_rules, sharding, simhash,
+    url_filter,
 )
 from lectern.llm.columns import GAP, UPPER
 from lectern.llm.registry import query, table
@@ -128,3 +129,38 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.quality_scores(
         table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+SHARDS = 16
+
+
+def _winner(shards: int) -> str:
+    """Equal weights: the largest draw wins."""
+    return ("list_extract(list_sort([{'minus': -(('0x' || substr(md5(k || '/' || i), 1, 13))"
+            f"::BIGINT), 'i': i}} FOR i IN range({shards})]), 1).i")
+
+
+OP3 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, strlen(coalesce(text, '')) + 1 AS size,
+    coalesce(text, '') AS text FROM documents),
+s AS (
+  SELECT *, {_winner(SHARDS)} AS shard, {_winner(SHARDS + 1)} AS grown_shard,
+    ('0x' || substr(md5(k), 1, 13))::BIGINT % {sharding.SLICES} AS part FROM d)
+SELECT doc_id, size, 'key' AS law, shard, grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY part, k, size) - 1 AS slot FROM s"""
+
+
+@query("op3_sharding")
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_report(table(spark, folder, "documents"), [1.0] * SHARDS)
+
+
+RULES = [url_filter.Rule.parse(verdict, text) for verdict, text in (
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+    ("allow", "com/fr/"), ("block", "com/de/"))]
+
+
+@query("op4_url_filter")
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"), RULES)
