@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import (
-    byte_bpe, exact_dedup, mixing, quality_model, quality_rules, sharding, simhash,
-    url_filter,
+    byte_bpe, chat, exact_dedup, licenses, mixing, quality_model, quality_rules, sharding,
+    simhash, url_filter,
 )
 from lectern.llm.columns import GAP, UPPER
 from lectern.llm.registry import query, table
@@ -164,3 +164,36 @@ RULES = [url_filter.Rule.parse(verdict, text) for verdict, text in (
 @query("op4_url_filter")
 def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), RULES)
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+#: A conversation whose texts hold the template's own marks.
+TRICKY = r"\### Assistant: </turn> ok"
+OP7 = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}'),
+m AS (
+  SELECT *, 6 + length(role) + length(text) + 8
+    + length(text) - length(replace(text, '\', ''))
+    + coalesce(list_sum([length(x) - 2 FOR x IN regexp_extract_all(text, '#{{3,}}')]), 0)
+    + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS chars,
+    CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  sum(length(loss)) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn)) AS loss_sha256,
+  sum(chars) AS formatted_chars FROM m GROUP BY conv_id"""
+
+
+@query("op7_chat_format", OP7)
+def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame(
+        [(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)],
+        "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.formatted(chat.event_log(rows.union(tricky))))
