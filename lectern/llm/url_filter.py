@@ -9,7 +9,7 @@ characters: counts of every context length, interpolated by Witten and Bell's sm
 (a context seen with many different successors trusts the shorter one more). A URL's score is
 the difference of its log-likelihoods over its length. The cutoff is calibrated on a fifth
 of the examples, left out of the counts: the lowest score that at most ``LOST`` of the
-accepted ones and at most ``CAUGHT`` of the rejected ones reach. The second bound matters
+accepted ones and at most ``CAUGHT`` of the rejected ones reach, and never below zero. The second bound matters
 for URLs unlike any example: they are blocked only if they look like typical rejected ones.
 
 Characters are folded to ``SYMBOLS`` symbols (letters, one for digits, some marks, one for
@@ -182,7 +182,7 @@ def train(judged: DataFrame) -> Model:
             last = step
         return last / STEPS
 
-    return Model(ratios, max(at_least("allow", LOST), at_least("block", CAUGHT)))
+    return Model(ratios, max(0.0, at_least("allow", LOST), at_least("block", CAUGHT)))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
