@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FIRST = 0x100
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Fixed values of the sentencepiece model format.
 BPE, NORMAL, UNKNOWN = 2, 1, 2
 
@@ -83,12 +85,11 @@ def matcher(pattern: str):
 
 
 class Tokenizer:
-    """Encodes and decodes one text at a time; lives inside a task."""
+    """Encodes one text at a time; lives inside a task."""
 
     def __init__(self, tokens: list[bytes], proto: bytes, pattern: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
-        self.tokens = tokens
         self.pieces = SentencePieceProcessor(model_proto=proto)
         self.find = matcher(pattern).findall
         self.ranks = {token: rank for rank, token in enumerate(tokens)}
@@ -96,24 +97,29 @@ class Tokenizer:
 
     def _learn(self, matches: list[str]) -> None:
         data = [match.encode() for match in matches]
-        split = self.pieces.encode([as_characters(x) for x in data], num_threads=1)
+        whole, ends = as_characters(b"".join(data)), [0, *accumulate(map(len, data))]
+        split = self.pieces.encode(
+            [whole[a:b] for a, b in zip(ends, ends[1:])], num_threads=1)
+        known, rank_of = self.known, self.ranks.get
         for match, raw, ids in zip(matches, data, split):
-            rank = self.ranks.get(raw)  # a match that is a token stays whole
-            self.known[match] = np.array(ids if rank is None else [rank], "<i4").tobytes()
+            rank = rank_of(raw)  # a match that is a token stays whole
+            known[match] = array("i", ids if rank is None else (rank,)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit numbers."""
         matches = self.find(text)
-        missing = [x for x in dict.fromkeys(matches) if x not in self.known]
+        missing = list(set(matches).difference(self.known))
         if missing and len(self.known) + len(missing) > REMEMBERED:
             self.known.clear()
-            missing = list(dict.fromkeys(matches))
+            missing = list(set(matches))
         if missing:
             self._learn(missing)
         return b"".join(map(self.known.__getitem__, matches))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+
+def decoded_bytes(tokens: list[bytes], ids: list[int]) -> bytes:
+    """The inverse mapping."""
+    return b"".join(map(tokens.__getitem__, ids))
 
 
 def functions(
@@ -141,8 +147,10 @@ def functions(
 
     @F.arrow_udf(T.BinaryType())
     def decode(lists: pa.Array) -> pa.Array:
-        return pa.array([tokenizer().decode(x.values.to_pylist()) if x.is_valid else b""
-                         for x in lists], pa.binary())
+        ids, edges = lists.values.to_numpy(), lists.offsets.to_pylist()
+        tokens = shared.value[0]
+        return pa.array([decoded_bytes(tokens, ids[start:end].tolist())
+                         for start, end in zip(edges, edges[1:])], pa.binary())
 
     return encode, decode
 
