@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import unicodedata
 
 import pandas as pd
@@ -182,28 +180,45 @@ def content_key(version: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u0000", F.lit(version), *texts), 256)
 
 
-@F.pandas_udf(T.StringType())
-def _retry_seed(job_seeds: pd.Series, segments: pd.Series, attempts: pd.Series) -> pd.Series:
-    return pd.Series([
-        str(int.from_bytes(
-            hmac.new(str(seed).encode(), f"{segment}{attempt}".encode(), hashlib.sha256)
-            .digest()[:8], "big"))
-        for seed, segment, attempt in zip(job_seeds, segments, attempts)
-    ])
+def hmac_sha256(key: Column, message: Column) -> Column:
+    """HMAC-SHA256 of two texts as lower-case hex digits, from built-in functions."""
+    raw = F.encode(key, "UTF-8")
+    digits = F.rpad(
+        F.when(F.octet_length(raw) > 64, F.sha2(raw, 256)).otherwise(F.hex(raw)), 128, "0")
+
+    def padded(byte: int) -> Column:
+        """The key's 64 bytes, each combined with ``byte``; seven of them at a time."""
+        parts = []
+        for start in range(0, 128, 14):
+            width = min(14, 128 - start)
+            mask = int(f"{byte:02x}" * (width // 2), 16)
+            number = F.conv(F.substring(digits, start + 1, width), 16, 10).cast("long")
+            parts.append(F.lpad(F.hex(number.bitwiseXOR(F.lit(mask).cast("long"))), width, "0"))
+        return F.unhex(F.concat(*parts))
+
+    inner = F.sha2(F.concat(padded(0x36), F.encode(message, "UTF-8")), 256)
+    return F.sha2(F.concat(padded(0x5C), F.unhex(inner)), 256)
 
 
 def retry_seed(job_seed: Column, segment: Column, attempt: Column) -> Column:
-    """First 64 bits of HMAC-SHA256(job seed, segment || attempt), as DECIMAL(20)."""
-    return _retry_seed(
-        job_seed.cast("string"), segment.cast("string"), attempt.cast("string")
-    ).cast("decimal(20,0)")
+    """First 64 bits of HMAC-SHA256(job seed, segment NUL attempt), as DECIMAL(20)."""
+    message = F.concat_ws("\0", segment.cast("string"), attempt.cast("string"))
+    digest = hmac_sha256(job_seed.cast("string"), message)
+    return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
 
 
 def output_contract(payload: Column, fields: dict[str, int]) -> Column:
     """``ok`` for one JSON object of exactly these text fields within their limits.
 
-    ``fields`` maps each field to its greatest length in characters.
+    ``fields`` maps each field to its greatest length in characters. Nothing may follow
+    the object: read as the first of two entries of a list, the second one being a
+    digest that no payload can hold, it must leave exactly these two. Blank texts are
+    refused, as the next step trims them.
     """
+    tail = F.md5(F.encode(payload, "UTF-8"))
+    entries = F.from_json(
+        F.concat(F.lit("["), payload, F.lit(', "'), tail, F.lit('"]')), "array<string>")
+    single = (F.size(entries) == 2) & (F.get(entries, F.lit(1)) == tail)
     names = F.json_object_keys(payload)
     expected = F.array(*[F.lit(name) for name in sorted(fields)])
     shape = F.array_sort(names) == expected
@@ -212,5 +227,6 @@ def output_contract(payload: Column, fields: dict[str, int]) -> Column:
     for name, limit in fields.items():
         value = parsed[name]
         is_text = payload.rlike(rf'"{name}"\s*:\s*"')
-        quoted = quoted & is_text & (value != "") & (F.char_length(value) <= limit)
-    return F.when(F.coalesce(shape & quoted, F.lit(False)), "ok").otherwise("OUTPUT_INVALID")
+        filled = collapse_space(value) != ""
+        quoted = quoted & is_text & filled & (F.char_length(value) <= limit)
+    return F.when(F.coalesce(single & shape & quoted, F.lit(False)), "ok").otherwise("OUTPUT_INVALID")

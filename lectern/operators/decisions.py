@@ -9,6 +9,7 @@ from lectern.operators.hot_groups import numbered, running
 
 # Fixed values of the data contract.
 RETRYABLE_CODES = ("transcript_mismatch", "audio_warning")
+FAILURE_CODES = ("failed", *RETRYABLE_CODES)
 DEFAULT_RETRIES = 5
 HARD_INVALID = ("AUDIO_EMPTY", "AUDIO_SILENCE", "AUDIO_CORRUPT", "EXCESSIVE_DURATION",
                 "POSSIBLE_TRUNCATION", "WRONG_LANGUAGE")
@@ -88,7 +89,7 @@ def score_order() -> list[Column]:
 
 
 def best_attempt(scored: DataFrame) -> DataFrame:
-    """Best attempt per fragment, as a combinable minimum: no sort, safe for hot keys."""
+    """Best attempt per fragment, as a minimum combined before the shuffle, safe for hot keys."""
     parts = F.struct(*[part.alias(f"p{i}") for i, part in enumerate(score_order())])
     row = F.struct(*[F.col(c) for c in scored.columns if c != "fragment_id"])
     return (
@@ -102,31 +103,32 @@ def retry_budget(
 ) -> DataFrame:
     """Automatic retries used and left at every attempt of a run of attempts.
 
-    Only the two quality codes are retried; a run ends at its first other outcome
-    and holds at most ``retries`` + 1 attempts. Later attempts form a new run.
+    Only the two quality codes are retried; a run ends at its first other outcome.
+    Attempts beyond the first and its ``retries`` are flagged ``over_budget``.
     """
     quality = F.col("code").isin(*RETRYABLE_CODES)
     runs = running(
         attempts, ["fragment_id"], ["attempt"],
         {"run": F.when(~quality, 1).otherwise(0)}, at_most=at_most)
     in_run = numbered(runs, ["fragment_id", "run"], ["attempt"], "_place", at_most)
-    # Full budgets inside one run of quality codes start over, as a new job run does.
-    used = (F.col("_place") - 1) % (retries + 1)
+    used = F.col("_place") - 1
     return in_run.select(
         "fragment_id", "attempt", "code",
         used.alias("retries_used"),
-        (F.lit(retries) - used).alias("retries_left"),
+        F.greatest(F.lit(retries) - used, F.lit(0)).alias("retries_left"),
         (quality & (used < retries)).alias("should_retry"),
-        (quality & (used == retries)).alias("exhausted"))
+        (quality & (used == retries)).alias("exhausted"),
+        (used > retries).alias("over_budget"))
 
 
 def repeated_failures(
     attempts: DataFrame, least: int = 2, at_most: int | None = None
 ) -> DataFrame:
-    """Stretches of at least ``least`` attempts in a row with the same outcome."""
+    """Stretches of at least ``least`` attempts in a row that failed with the same code."""
     same = numbered(attempts, ["fragment_id", "code"], ["attempt"], "_nth", at_most)
     return (
-        same.groupBy("fragment_id", "code", (F.col("attempt") - F.col("_nth")).alias("_island"))
+        same.where(F.col("code").isin(*FAILURE_CODES))
+        .groupBy("fragment_id", "code", (F.col("attempt") - F.col("_nth")).alias("_island"))
         .agg(F.min("attempt").alias("first_attempt"), F.max("attempt").alias("last_attempt"),
              F.count("*").alias("length"))
         .where(F.col("length") >= least).drop("_island")

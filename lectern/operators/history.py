@@ -54,33 +54,39 @@ def append_revisions(
 
     ``requests``: fragment_id, requested_at, request_id, kind (manual, ai, restore),
     text, selected_id. Manual and AI revisions follow the revision before them;
-    a restore follows the selected revision and copies its text. Restores of
-    unknown revisions and requests for unknown fragments are left out before
-    numbering.
+    a restore follows the selected revision and copies its text. Every request gets a
+    ``verdict``: ``appended``, ``unknown_fragment`` or ``unknown_revision``; refused ones
+    have no revision and are not numbered.
     """
     current = revisions.groupBy("fragment_id").agg(
         F.max("revision_number").alias("_last"),
         F.max_by("id", F.struct("revision_number", "id")).alias("_last_id"))
     selected = revisions.select(
         "fragment_id", F.col("id").alias("selected_id"), F.col("text").alias("_old_text"))
-    known = (
-        requests.join(current, "fragment_id")
-        .join(selected, ["fragment_id", "selected_id"], "left")
-        .where((F.col("kind") != "restore") | F.col("_old_text").isNotNull()))
-    placed = numbered(known, ["fragment_id"], ["requested_at", "request_id"], "_nth", at_most)
-    number = F.col("_last") + F.col("_nth")
+    judged = (
+        requests.join(current, "fragment_id", "left")
+        .join(selected.withColumn("_found", F.lit(True)), ["fragment_id", "selected_id"], "left")
+        .withColumn("verdict", (
+            F.when(F.col("_last").isNull(), "unknown_fragment")
+            .when((F.col("kind") == "restore") & F.col("_found").isNull(), "unknown_revision")
+            .otherwise("appended"))))
+    placed = numbered(
+        judged, ["fragment_id", "verdict"], ["requested_at", "request_id"], "_nth", at_most)
+    number = F.when(F.col("verdict") == "appended", F.col("_last") + F.col("_nth"))
 
     def ident(value):
-        return F.concat_ws(":", F.col("fragment_id").cast("string"), value.cast("string"))
+        return F.concat(F.col("fragment_id").cast("string"), F.lit(":"), value.cast("string"))
 
+    made = F.col("verdict") == "appended"
     return placed.select(
+        "request_id", "verdict",
         ident(number).alias("id"), "fragment_id", number.alias("revision_number"),
         F.col("kind").alias("source"),
-        F.when(F.col("kind") == "restore", F.col("_old_text"))
-        .otherwise(F.col("text")).alias("text"),
-        F.when(F.col("kind") == "restore", F.col("selected_id"))
-        .when(F.col("_nth") == 1, F.col("_last_id"))
-        .otherwise(ident(number - 1)).alias("parent_id"))
+        F.when(made & (F.col("kind") == "restore"), F.col("_old_text"))
+        .when(made, F.col("text")).alias("text"),
+        F.when(made & (F.col("kind") == "restore"), F.col("selected_id"))
+        .when(made & (F.col("_nth") == 1), F.col("_last_id"))
+        .when(made, ident(number - 1)).alias("parent_id"))
 
 
 def audit_revisions(revisions: DataFrame) -> DataFrame:
@@ -118,8 +124,9 @@ def approval_verdicts(requests: DataFrame, fragments: DataFrame) -> DataFrame:
     frame_bytes = F.col("channels") * F.col("sample_width")
     playable = (
         (F.col("pcm_bytes") > 0) & (F.col("pcm_bytes") <= MAX_AUDIO_BYTES)
-        & (F.col("sample_rate") > 0) & (F.col("channels") > 0)
-        & (F.col("channels") <= 65_535) & (F.col("sample_width") == 2)
+        & (F.col("sample_rate") > 0) & (F.col("sample_rate") <= 4_294_967_295)
+        & (F.col("channels") > 0) & (F.col("channels") <= 65_535)
+        & (F.col("sample_width") == 2) & (frame_bytes <= 65_535)
         & (F.col("duration_ms") >= 0) & (F.col("pcm_bytes") % frame_bytes == 0))
     return joined.withColumn("verdict", (
         F.when(F.col("status").isNull(), "not_found")
@@ -128,14 +135,14 @@ def approval_verdicts(requests: DataFrame, fragments: DataFrame) -> DataFrame:
 
 
 def review_trail(reviews: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Reviews in order per fragment, with the attempt that was current then.
+    """Reviews in order per fragment, with the outcome of the attempt that was reviewed.
 
-    ``reviews``: review_id, fragment_id, created_at; one output row per review.
+    ``reviews``: review_id, fragment_id, attempt, created_at; one output row per review.
     """
-    last = attempts.groupBy("fragment_id").agg(
-        F.max("attempt").alias("attempt"), F.max_by("code", "attempt").alias("warning_code"))
+    codes = attempts.select("fragment_id", "attempt", F.col("code").alias("warning_code"))
     placed = numbered(reviews, ["fragment_id"], ["created_at", "review_id"], "review_number")
-    return placed.join(last, "fragment_id", "left").withColumn("decision", F.lit("approved"))
+    return placed.join(codes, ["fragment_id", "attempt"], "left").withColumn(
+        "decision", F.lit("approved"))
 
 
 def apply_rewrites(results: DataFrame, current: DataFrame) -> DataFrame:
@@ -143,7 +150,8 @@ def apply_rewrites(results: DataFrame, current: DataFrame) -> DataFrame:
 
     ``results``: task_id, task_model_id, fragment_id, place, expected_text,
     rewritten, model_id, model_revision. ``current``: fragment_id, status, text.
-    The first result that completes pins the model revision of its task.
+    The first result that completes pins the model revision of its task, and the first
+    one applied to a fragment makes later ones for it conflicts.
     """
     joined = results.join(current, "fragment_id", "left")
     same_model = (F.col("model_id") == F.col("task_model_id")) & (F.col("model_revision") != "")
@@ -154,18 +162,28 @@ def apply_rewrites(results: DataFrame, current: DataFrame) -> DataFrame:
         F.min("place").alias("_pinned_at"),
         F.min_by("model_revision", "place").alias("_pinned"))
     other = (F.col("place") > F.col("_pinned_at")) & (F.col("model_revision") != F.col("_pinned"))
-    return judged.join(pins, "task_id", "left").withColumn("verdict", (
+    alone = judged.join(pins, "task_id", "left").withColumn("verdict", (
         F.when(~F.col("_model"), "invalid")
         .when(F.coalesce(other, F.lit(False)) | ~F.col("_untouched"), "conflict")
         .when(F.col("rewritten") == F.col("expected_text"), "unchanged")
         .otherwise("applied")))
+    first = alone.where("verdict = 'applied'").groupBy("fragment_id").agg(
+        F.min(F.struct("place", "task_id")).alias("_first"))
+    late = F.struct("place", "task_id") > F.col("_first")
+    return alone.join(first, "fragment_id", "left").withColumn("verdict", F.when(
+        F.col("verdict").isin("applied", "unchanged") & F.coalesce(late, F.lit(False)),
+        "conflict").otherwise(F.col("verdict")))
 
 
 def rewritten_state(current: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Fragment table after the applied results; everything else stays as it is."""
+    """Fragment table after the applied results; everything else stays as it is.
+
+    ``current`` also has warning_code. A fragment has one applied result at most.
+    """
     applied = verdicts.where(F.col("verdict") == "applied").select(
         "fragment_id", F.col("rewritten").alias("_new"))
     return current.join(applied, "fragment_id", "left").select(
         "fragment_id",
         F.coalesce("_new", "text").alias("text"), "status",
-        F.when(F.col("_new").isNotNull(), "text_rewritten").otherwise("").alias("warning_code"))
+        F.when(F.col("_new").isNotNull(), "text_rewritten").otherwise(F.col("warning_code"))
+        .alias("warning_code"))

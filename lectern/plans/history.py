@@ -72,13 +72,12 @@ EDITS = """edits AS (
     CASE event_type WHEN 'click' THEN 'manual' WHEN 'view' THEN 'ai' ELSE 'restore' END AS kind,
     'edit ' || event_id AS text,
     user_id || ':' || (1 + event_id % 3) AS selected_id
-  FROM events WHERE event_type IN ('click', 'view', 'purchase'))"""
+  FROM events)"""
 
 
 def _edits(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.col("event_type")
-    return views.table(spark, folder, "events").where(
-        kind.isin("click", "view", "purchase")).select(
+    return views.table(spark, folder, "events").select(
         F.col("user_id").alias("fragment_id"),
         F.col("ts").cast("timestamp").alias("requested_at"),
         F.col("event_id").alias("request_id"),
@@ -93,16 +92,22 @@ def _edits(spark: SparkSession, folder: str) -> DataFrame:
 WITH {sql.REVISIONS}, {EDITS},
 c AS (SELECT fragment_id, max(revision_number) AS last_no, arg_max(id, revision_number)
   AS last_id FROM revisions GROUP BY fragment_id),
-k AS (SELECT e.*, last_no, last_id, r.text AS old_text FROM edits e JOIN c USING (fragment_id)
-  LEFT JOIN revisions r ON r.fragment_id = e.fragment_id AND r.id = e.selected_id
-  WHERE kind <> 'restore' OR r.text IS NOT NULL),
-n AS (SELECT *, row_number() OVER (PARTITION BY fragment_id ORDER BY requested_at, request_id)
-  AS nth FROM k)
-SELECT fragment_id || ':' || (last_no + nth) AS id, fragment_id,
-  last_no + nth AS revision_number, kind AS source,
-  CASE WHEN kind = 'restore' THEN old_text ELSE text END AS text,
-  CASE WHEN kind = 'restore' THEN selected_id WHEN nth = 1 THEN last_id
-    ELSE fragment_id || ':' || (last_no + nth - 1) END AS parent_id FROM n""")
+k AS (SELECT e.*, last_no, last_id, r.text AS old_text, CASE
+    WHEN last_no IS NULL THEN 'unknown_fragment'
+    WHEN kind = 'restore' AND r.id IS NULL THEN 'unknown_revision' ELSE 'appended' END AS verdict
+  FROM edits e LEFT JOIN c USING (fragment_id)
+  LEFT JOIN revisions r ON r.fragment_id = e.fragment_id AND r.id = e.selected_id),
+n AS (SELECT * REPLACE (CASE WHEN verdict = 'appended' THEN last_no + row_number() OVER (
+  PARTITION BY fragment_id, verdict ORDER BY requested_at, request_id) END AS last_no),
+  row_number() OVER (PARTITION BY fragment_id, verdict ORDER BY requested_at, request_id) AS nth
+  FROM k)
+SELECT request_id, verdict, fragment_id || ':' || last_no AS id, fragment_id,
+  last_no AS revision_number, kind AS source,
+  CASE WHEN verdict <> 'appended' THEN NULL WHEN kind = 'restore' THEN old_text ELSE text END
+    AS text,
+  CASE WHEN verdict <> 'appended' THEN NULL WHEN kind = 'restore' THEN selected_id
+    WHEN nth = 1 THEN last_id ELSE fragment_id || ':' || (last_no - 1) END AS parent_id
+FROM n""")
 def revision_append(spark: SparkSession, folder: str) -> DataFrame:
     return hi.append_revisions(
         views.revisions(spark, folder), _edits(spark, folder),
@@ -133,7 +138,7 @@ def revision_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 APPROVALS = f"""{sql.FRAGMENTS},
-asked AS (SELECT doc_id || '-1' AS id, doc_id AS review_id FROM labels WHERE quality = 1),
+asked AS (SELECT doc_id || '-1' AS id, doc_id AS review_id FROM labels),
 sized AS (SELECT *, CASE WHEN duration_ms % 5000 = 0 THEN 0 ELSE samples * 2 END AS pcm_bytes
   FROM fragments)"""
 
@@ -145,7 +150,7 @@ SELECT a.id, a.review_id, CASE WHEN s.status IS NULL THEN 'not_found'
   WHEN pcm_bytes <= 0 OR pcm_bytes > 16777216 THEN 'no_playable_audio'
   ELSE 'approved' END AS verdict FROM asked a LEFT JOIN sized s USING (id)""")
 def approvals(spark: SparkSession, folder: str) -> DataFrame:
-    asked = views.table(spark, folder, "labels").where(F.col("quality") == 1).select(
+    asked = views.table(spark, folder, "labels").select(
         F.concat(F.col("doc_id").cast("string"), F.lit("-1")).alias("id"),
         F.col("doc_id").alias("review_id"))
     sized = views.fragments(spark, folder).select(
@@ -158,18 +163,20 @@ def approvals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("review_trail", f"""
 WITH {sql.ATTEMPTS},
-l AS (SELECT fragment_id, max(attempt) AS attempt, arg_max(code, attempt) AS warning_code
-  FROM attempts GROUP BY fragment_id),
-v AS (SELECT doc_id AS review_id, doc_id % 150 AS fragment_id, toxic AS created_at FROM labels
-  WHERE quality = 1)
+v AS (SELECT event_id AS review_id, fragment_id, greatest(attempt - event_id % 3, 0) AS attempt,
+  completed_at AS created_at FROM attempts WHERE code IN ('transcript_mismatch', 'audio_warning'))
 SELECT v.fragment_id, review_id, row_number() OVER (PARTITION BY v.fragment_id
-    ORDER BY created_at, review_id) AS review_number, attempt, warning_code,
-  'approved' AS decision FROM v LEFT JOIN l USING (fragment_id)""")
+    ORDER BY created_at, review_id) AS review_number, v.attempt, l.code AS warning_code,
+  'approved' AS decision
+FROM v LEFT JOIN attempts l ON l.fragment_id = v.fragment_id AND l.attempt = v.attempt""")
 def review_trail(spark: SparkSession, folder: str) -> DataFrame:
-    reviews = views.table(spark, folder, "labels").where(F.col("quality") == 1).select(
-        F.col("doc_id").alias("review_id"), (F.col("doc_id") % 150).alias("fragment_id"),
-        F.col("toxic").alias("created_at"))
-    return hi.review_trail(reviews, views.attempts(spark, folder)).select(
+    """A review after every warning, of that attempt or one of the two before it."""
+    attempts = views.attempts(spark, folder)
+    reviews = attempts.where(F.col("code").isin("transcript_mismatch", "audio_warning")).select(
+        F.col("event_id").alias("review_id"), "fragment_id",
+        F.greatest(F.col("attempt") - F.col("event_id") % 3, F.lit(0)).alias("attempt"),
+        F.col("completed_at").alias("created_at"))
+    return hi.review_trail(reviews, attempts).select(
         "fragment_id", "review_id", "review_number", "attempt", "warning_code", "decision")
 
 
@@ -222,48 +229,61 @@ def bad_transitions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 APPLY = f"""{sql.REWRITES},
-results AS (SELECT item_id // 10 AS task_id, item_id AS fragment_id, item_id AS place,
-    original AS expected_text, rewritten, CASE WHEN item_id % 11 = 0 THEN 'other' ELSE 'model'
+results AS (SELECT item_id // 10 AS task_id, item_id AS fragment_id, item_id + n * 1000000
+    AS place, original AS expected_text, CASE n WHEN 0 THEN rewritten ELSE original || '?' END
+    AS rewritten, CASE WHEN item_id % 11 = 0 THEN 'other' ELSE 'model'
     END AS model_id, CASE WHEN item_id % 13 = 0 THEN 'r2' ELSE 'r1' END AS model_revision,
     CASE WHEN item_id % 5 = 0 THEN 'ready' ELSE 'warning' END AS status,
-    CASE WHEN item_id % 7 = 0 THEN original || '!' ELSE original END AS text FROM rewrites),
+    CASE WHEN item_id % 7 = 0 THEN original || '!' ELSE original END AS text
+  FROM rewrites, range(2) AS r(n) WHERE n = 0 OR item_id % 3 = 0),
 ok AS (SELECT *, model_id = 'model' AS m, status = 'warning' AND text = expected_text AS u
   FROM results),
 pins AS (SELECT task_id, min(place) AS pinned_at, arg_min(model_revision, place) AS pinned
   FROM ok WHERE m AND u GROUP BY task_id),
-verdicts AS (SELECT ok.*, CASE WHEN NOT m THEN 'invalid'
+alone AS (SELECT ok.*, CASE WHEN NOT m THEN 'invalid'
   WHEN coalesce(place > pinned_at AND model_revision <> pinned, false) OR NOT u THEN 'conflict'
-  WHEN rewritten = expected_text THEN 'unchanged' ELSE 'applied' END AS verdict
-  FROM ok LEFT JOIN pins USING (task_id))"""
+  WHEN rewritten = expected_text THEN 'unchanged' ELSE 'applied' END AS own
+  FROM ok LEFT JOIN pins USING (task_id)),
+verdicts AS (SELECT *, CASE WHEN own IN ('applied', 'unchanged') AND place > min(CASE WHEN
+  own = 'applied' THEN place END) OVER (PARTITION BY fragment_id) THEN 'conflict' ELSE own END
+  AS verdict FROM alone)"""
 
 
 def _verdicts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     number = F.col("item_id")
     rows = views.rewrites(spark, folder)
-    results = rows.select(
+    again = rows.select("*", F.explode(
+        F.when(number % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+        .alias("n"))  # every third fragment gets two results
+    results = again.select(
         F.floor(number / 10).alias("task_id"), F.lit("model").alias("task_model_id"),
-        number.alias("fragment_id"), number.alias("place"),
-        F.col("original").alias("expected_text"), "rewritten",
+        number.alias("fragment_id"), (number + F.col("n") * 1_000_000).alias("place"),
+        F.col("original").alias("expected_text"),
+        F.when(F.col("n") == 0, F.col("rewritten"))
+        .otherwise(F.concat("original", F.lit("?"))).alias("rewritten"),
         F.when(number % 11 == 0, "other").otherwise("model").alias("model_id"),
         F.when(number % 13 == 0, "r2").otherwise("r1").alias("model_revision"))
     current = rows.select(
         number.alias("fragment_id"),
         F.when(number % 5 == 0, "ready").otherwise("warning").alias("status"),
         F.when(number % 7 == 0, F.concat("original", F.lit("!"))).otherwise(F.col("original"))
-        .alias("text"))
+        .alias("text"),
+        F.when(number % 5 == 0, "").otherwise("transcript_mismatch").alias("warning_code"))
     return hi.apply_rewrites(results, current), current
 
 
 @query("rewrite_apply", f"""
-WITH {APPLY} SELECT task_id, fragment_id, verdict FROM verdicts""")
+WITH {APPLY} SELECT task_id, fragment_id, place, verdict FROM verdicts""")
 def rewrite_apply(spark: SparkSession, folder: str) -> DataFrame:
-    return _verdicts(spark, folder)[0].select("task_id", "fragment_id", "verdict")
+    return _verdicts(spark, folder)[0].select("task_id", "fragment_id", "place", "verdict")
 
 
 @query("rewrite_state", f"""
-WITH {APPLY} SELECT fragment_id, CASE WHEN verdict = 'applied' THEN rewritten ELSE text END
-  AS text, status, CASE WHEN verdict = 'applied' THEN 'text_rewritten' ELSE '' END
-  AS warning_code FROM verdicts""")
+WITH {APPLY} SELECT fragment_id, coalesce(max(CASE WHEN verdict = 'applied' THEN rewritten END),
+    any_value(text)) AS text, any_value(status) AS status,
+  CASE WHEN bool_or(verdict = 'applied') THEN 'text_rewritten'
+    WHEN any_value(status) = 'ready' THEN '' ELSE 'transcript_mismatch' END AS warning_code
+FROM verdicts GROUP BY fragment_id""")
 def rewrite_state(spark: SparkSession, folder: str) -> DataFrame:
     verdicts, current = _verdicts(spark, folder)
     return hi.rewritten_state(current, verdicts)

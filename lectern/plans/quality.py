@@ -185,18 +185,21 @@ def id_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("json_contract", r"""
-SELECT event_id, CASE WHEN event_type = 'error' THEN 'OUTPUT_INVALID'
-  WHEN event_type = 'view' THEN 'OUTPUT_INVALID' WHEN event_type = 'signup' THEN 'OUTPUT_INVALID'
+SELECT event_id, CASE WHEN event_type IN ('error', 'view', 'signup') THEN 'OUTPUT_INVALID'
+  WHEN event_type = 'purchase' AND event_id % 4 <> 0 THEN 'OUTPUT_INVALID'
   ELSE 'ok' END AS verdict FROM events""")
 def json_contract(spark: SparkSession, folder: str) -> DataFrame:
-    """Model outputs built from the event payloads: a good one, and four broken kinds."""
-    props, kind = F.col("props"), F.col("event_type")
+    """Model outputs built from the event payloads: good ones and broken kinds."""
+    props, kind, turn = F.col("props"), F.col("event_type"), F.col("event_id") % 4
     good = F.to_json(F.struct(props.alias("rewritten_text"), kind.alias("reason")))
     payload = (
         F.when(kind == "error", props)
         .when(kind == "view", F.concat(F.lit("[ "), good))
         .when(kind == "signup", F.to_json(F.struct(
-            props.alias("rewritten_text"), F.lit("").alias("reason"))))
+            props.alias("rewritten_text"), F.lit(" \t").alias("reason"))))
+        .when((kind == "purchase") & (turn == 1), F.concat(good, F.lit(" trailing")))
+        .when((kind == "purchase") & (turn == 2), F.concat(good, F.lit(', {"x": 1}')))
+        .when((kind == "purchase") & (turn == 3), F.concat(good, F.lit("]")))
         .otherwise(good))
     return views.table(spark, folder, "events").select(
         "event_id",
@@ -241,16 +244,20 @@ def chapter_files(spark: SparkSession, folder: str) -> DataFrame:
         "book_id", "chapter_number", "file_name")
 
 
-@query("seeds", """
-SELECT user_id AS fragment_id, count(*) AS attempts, count(*) AS distinct_seeds
-FROM events GROUP BY user_id""")
+def _pad(byte: int) -> str:
+    return bytes(x ^ byte for x in b"job-1".ljust(64, b"\0")).hex()
+
+
+@query("seeds", f"""
+WITH {sql.ATTEMPTS},
+d AS (SELECT fragment_id, attempt, sha256(from_hex('{_pad(0x5C)}') || from_hex(sha256(
+  from_hex('{_pad(0x36)}') || encode(fragment_id || chr(0) || attempt)))) AS digest FROM attempts)
+SELECT fragment_id, attempt, ('0x' || substr(digest, 1, 16))::UBIGINT::DECIMAL(20, 0) AS seed
+FROM d""")
 def seeds(spark: SparkSession, folder: str) -> DataFrame:
-    """Retry seeds of all attempts; a fragment never sees one twice."""
-    rows = views.attempts(spark, folder)
+    """The retry seed of every attempt."""
     seed = tx.retry_seed(F.lit("job-1"), F.col("fragment_id"), F.col("attempt"))
-    return rows.select("fragment_id", "attempt", seed.alias("seed")).groupBy(
-        "fragment_id").agg(F.count("*").alias("attempts"),
-                           F.count_distinct("seed").alias("distinct_seeds"))
+    return views.attempts(spark, folder).select("fragment_id", "attempt", seed.alias("seed"))
 
 
 @query("duration_flags", f"""
@@ -374,11 +381,12 @@ WITH {sql.ATTEMPTS},
 r AS (SELECT *, count(CASE WHEN code NOT IN ('transcript_mismatch', 'audio_warning') THEN 1 END)
   OVER (PARTITION BY fragment_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING
   AND 1 PRECEDING) AS run FROM attempts),
-u AS (SELECT *, (row_number() OVER (PARTITION BY fragment_id, run ORDER BY attempt) - 1) % 6
+u AS (SELECT *, row_number() OVER (PARTITION BY fragment_id, run ORDER BY attempt) - 1
   AS used FROM r)
-SELECT fragment_id, attempt, code, used AS retries_used, 5 - used AS retries_left,
+SELECT fragment_id, attempt, code, used AS retries_used, greatest(5 - used, 0) AS retries_left,
   code IN ('transcript_mismatch', 'audio_warning') AND used < 5 AS should_retry,
-  code IN ('transcript_mismatch', 'audio_warning') AND used = 5 AS exhausted FROM u""")
+  code IN ('transcript_mismatch', 'audio_warning') AND used = 5 AS exhausted,
+  used > 5 AS over_budget FROM u""")
 def retry_budget(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.row_count(spark, folder, "events")
     return de.retry_budget(views.attempts(spark, folder), at_most=rows)
@@ -389,7 +397,8 @@ WITH {sql.ATTEMPTS},
 i AS (SELECT *, attempt - row_number() OVER (PARTITION BY fragment_id, code ORDER BY attempt)
   AS island FROM attempts)
 SELECT fragment_id, code, min(attempt) AS first_attempt, max(attempt) AS last_attempt,
-  count(*) AS length FROM i GROUP BY fragment_id, code, island HAVING count(*) >= 2""")
+  count(*) AS length FROM i WHERE code IN ('failed', 'transcript_mismatch', 'audio_warning')
+GROUP BY fragment_id, code, island HAVING count(*) >= 2""")
 def repeat_failures(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.row_count(spark, folder, "events")
     return de.repeated_failures(views.attempts(spark, folder), at_most=rows)
