@@ -12,7 +12,8 @@ from lectern.plans.registry import query
 from lectern.sources import views
 from lectern.streaming import feeds
 
-DELAY = "10 minutes"
+#: How late a stored event may come; whatever is later ends the run with an error.
+DELAY = "400 days"
 
 
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,18 +70,17 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def _rates_sql(span: str, slide_hours: int, copies: int) -> str:
     return f"""
-WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events),
-w AS (SELECT time_bucket(INTERVAL {slide_hours} HOUR, ts) - i * INTERVAL {slide_hours} HOUR AS s,
+WITH w AS (SELECT time_bucket(INTERVAL {slide_hours} HOUR, ts) - i * INTERVAL {slide_hours} HOUR AS s,
   event_type FROM events, range({copies}) AS r(i))
 SELECT epoch_us(s) AS window_start, epoch_us(s + INTERVAL {span}) AS window_end,
   count(*) AS attempts, count(CASE WHEN event_type = 'error' THEN 1 END) AS failures,
   count(CASE WHEN event_type IN ('click', 'view') THEN 1 END) AS retries
-FROM w GROUP BY s HAVING s + INTERVAL {span} <= (SELECT mark FROM m)"""
+FROM w GROUP BY s"""
 
 
 def _rates(spark: SparkSession, folder: str, span: str, slide: str | None) -> DataFrame:
     rates = feeds.outcome_rates(_stream(spark, folder), DELAY, span, slide)
-    rows = feeds.run_to_folder(rates, "rates")
+    rows = feeds.run_upserts(rates, ["window_start", "window_end"], "rates")
     return rows.withColumns({
         "window_start": micros(F.col("window_start")), "window_end": micros(F.col("window_end"))})
 
@@ -96,17 +96,16 @@ def stream_rates_sliding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("stream_sessions", """
-WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events),
-g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
+WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts)
   + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM events),
 n AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts
   ROWS UNBOUNDED PRECEDING) AS nth FROM g)
 SELECT user_id AS fragment_id, epoch_us(min(ts)) AS session_start,
   epoch_us(max(ts) + INTERVAL 6 HOUR) AS silent_from, count(*) AS beats
-FROM n GROUP BY user_id, nth HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT mark FROM m)""")
+FROM n GROUP BY user_id, nth""")
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     sessions = feeds.worker_sessions(_stream(spark, folder), DELAY, "6 hours")
-    rows = feeds.run_to_folder(sessions, "sessions")
+    rows = feeds.run_complete(sessions, "sessions")
     return rows.withColumns({
         "session_start": micros(F.col("session_start")),
         "silent_from": micros(F.col("silent_from"))})
@@ -118,4 +117,5 @@ def stream_replay(spark: SparkSession, folder: str) -> DataFrame:
     events = feeds.stream_table(spark, folder, "events").select(
         F.col("user_id").alias("fragment_id"), "event_id",
         F.col("ts").cast("timestamp").alias("happened_at"), views.action_column().alias("action"))
-    return feeds.run_to_folder(feeds.live_replay(events, "fragment_id", "long"), "replay")
+    judged = feeds.run_replay(events, "fragment_id", ["happened_at", "event_id"], "replay")
+    return judged.select("fragment_id", "event_id", "action", "from_status", "legal")

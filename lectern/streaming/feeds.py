@@ -1,47 +1,45 @@
-"""Live versions of the batch jobs with Structured Streaming."""
+"""Live versions of the batch jobs with Structured Streaming.
 
-from __future__ import annotations
+Nothing is lost in silence: rows that a watermark drops are counted and end the run with
+an error, windows and sessions that are still open are part of the result, and a replay
+does not depend on the order in which events arrive.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lectern.operators.replay import INITIAL, TRANSITIONS
+from lectern.operators.replay import replay
 from lectern.session import new_folder, use_utc
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BYTES_PER_TRIGGER = str(8 << 30)
+BUCKETS = 64
 
 
-def stream_table(
-    spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1_000
-) -> DataFrame:
-    """A table as a stream of files; the trigger size bounds every micro-batch."""
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table, stored as one file or as a folder of files, as a stream of files.
+
+    A micro-batch is bounded in bytes, or in files by ``lectern.stream.filesPerTrigger``.
+    """
     use_utc(spark)
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    files = spark.conf.get("lectern.stream.filesPerTrigger", None)
+    reader = spark.readStream.schema(table.schema).option(
+        *(("maxFilesPerTrigger", files) if files else ("maxBytesPerTrigger", BYTES_PER_TRIGGER)))
+    if any(f"/{name}.parquet/" in file for file in table.inputFiles()[:1]):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def run_all(writer: DataStreamWriter, spark: SparkSession) -> None:
-    """Process all present input with RocksDB state.
-
-    A query keeps its number of state stores for life; more than two per core only
-    cost time, so a session with few cores gets fewer. A cluster keeps its setting.
-    """
-    wanted = {
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-        "spark.sql.shuffle.partitions": str(min(
-            int(spark.conf.get("spark.sql.shuffle.partitions")),
-            2 * spark.sparkContext.defaultParallelism)),
-    }
+    """Process all present input with RocksDB state; rows too late to count are an error."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+              "spark.sql.streaming.numRecentProgressUpdates": "1000000"}
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
@@ -54,6 +52,10 @@ def run_all(writer: DataStreamWriter, spark: SparkSession) -> None:
             else:
                 spark.conf.set(name, value)
     query.awaitTermination()
+    late = sum(operator.numRowsDroppedByWatermark for progress in query.recentProgress
+               for operator in progress.stateOperators)
+    if late:
+        raise ValueError(f"{late} rows came later than the watermark allows")
 
 
 def run_to_folder(stream: DataFrame, label: str) -> DataFrame:
@@ -65,6 +67,38 @@ def run_to_folder(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
+def _run_batches(stream: DataFrame, mode: str, label: str) -> DataFrame:
+    """Run a stream; what each batch gives, with its number, as one table.
+
+    A batch has a folder of its own that a repeated run of it overwrites.
+    """
+    spark = stream.sparkSession
+    root = new_folder(spark, label)
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+
+    run_all(stream.writeStream.outputMode(mode).option(
+        "checkpointLocation", f"{root}/checkpoint").foreachBatch(add), spark)
+    return spark.read.schema(T.StructType(
+        [*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/rows")
+
+
+def run_upserts(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Run an update stream and keep the newest row of every key, open windows included."""
+    changes = _run_batches(stream, "update", label)
+    rest = [name for name in stream.columns if name not in keys]
+    return changes.groupBy(*keys).agg(
+        F.max_by(F.struct(*rest), "batch").alias("newest")).select(*keys, "newest.*")
+
+
+def run_complete(stream: DataFrame, label: str) -> DataFrame:
+    """Run a stream whose last batch holds the whole result."""
+    rows = _run_batches(stream, "complete", label)
+    last = rows.agg(F.max("batch")).scalar()
+    return rows.where(F.col("batch") == last).drop("batch")
+
+
 def latest_states(events: DataFrame) -> DataFrame:
     """Running latest status per fragment, for ``job_id``, ``fragment_id``."""
     return events.groupBy("job_id", "fragment_id").agg(
@@ -73,22 +107,8 @@ def latest_states(events: DataFrame) -> DataFrame:
 
 
 def run_progress(events: DataFrame, label: str) -> DataFrame:
-    """Follow fragment states and return the present state of every fragment.
-
-    Each micro-batch adds only the fragments that changed, in a folder of its own
-    that a repeated batch overwrites; the newest batch of a fragment counts.
-    """
-    spark = events.sparkSession
-    root = new_folder(spark, label)
-
-    def add_changes(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
-
-    run_all(latest_states(events).writeStream.outputMode("update").option(
-        "checkpointLocation", f"{root}/checkpoint").foreachBatch(add_changes), spark)
-    changes = spark.read.parquet(f"{root}/changes")
-    return changes.groupBy("job_id", "fragment_id").agg(
-        F.max_by("status", "batch").alias("status"))
+    """Follow fragment states and return the present state of every fragment."""
+    return run_upserts(latest_states(events), ["job_id", "fragment_id"], label)
 
 
 def feed_page(events: DataFrame, cursor: int, limit: int) -> DataFrame:
@@ -126,30 +146,34 @@ def worker_sessions(events: DataFrame, delay: str, lease: str) -> DataFrame:
     )
 
 
-def live_replay(actions: DataFrame, key: str, key_type: str) -> DataFrame:
-    """Apply actions to one stored status per fragment and mark the late ones.
+def run_replay(actions: DataFrame, key: str, order: list[str], label: str) -> DataFrame:
+    """Every event with its state and whether it was allowed, in whatever order they came.
 
-    Columns: the key, event_id, happened_at, action. Events of a micro-batch are
-    put in order per fragment; the trigger size bounds how many those can be.
+    A batch is added to a bucketed log; then the fragments it touches are folded anew
+    from their whole history by the batch operator, which cuts hot ones into slices. The
+    newest folding of a fragment counts. No state is kept that could expire.
     """
-
-    def step(
-        keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        status = state.get[0] if state.exists else INITIAL
-        rows = pd.concat(list(batches)).sort_values(["happened_at", "event_id"])
-        before, legal = [], []
-        for action in rows["action"]:
-            moved = TRANSITIONS.get(action, {}).get(status)
-            before.append(status)
-            legal.append(moved is not None)
-            status = moved or status
-        state.update((status,))
-        yield pd.DataFrame({
-            key: keys[0], "event_id": rows["event_id"].to_numpy(),
-            "action": rows["action"].to_numpy(), "from_status": before, "legal": legal})
-
-    return actions.groupBy(key).applyInPandasWithState(
-        step,
-        f"{key} {key_type}, event_id long, action string, from_status string, legal boolean",
-        "status string", "append", GroupStateTimeout.NoTimeout)
+    spark = actions.sparkSession
+    root = new_folder(spark, label)
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    judged = [*actions.schema.fields, T.StructField("from_status", T.StringType()),
+              T.StructField("to_status", T.StringType()), T.StructField("legal", T.BooleanType())]
+
+    def read(path: str, *fields: T.StructField) -> DataFrame:
+        return spark.read.schema(T.StructType(
+            [*fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/{path}")
+
+    def fold(batch: DataFrame, number: int) -> None:
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy(
+            "bucket").parquet(f"{root}/log/batch={number}")
+        log = read("log", *actions.schema.fields, T.StructField("bucket", T.IntegerType()))
+        touched = log.where(F.col("batch") == number).select("bucket", key).distinct()
+        history = log.where(F.col("batch") <= number).join(touched, ["bucket", key], "left_semi")
+        replay(history.select(*actions.columns), key, order).write.mode("overwrite").parquet(
+            f"{root}/judged/batch={number}")
+
+    run_all(actions.writeStream.option(
+        "checkpointLocation", f"{root}/checkpoint").foreachBatch(fold), spark)
+    rows = read("judged", *judged)
+    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(newest, [key, "batch"]).drop("batch")
