@@ -9,8 +9,8 @@ the whole normalised text, so equal digests alone never merge two texts:
 
 The last stage also proves that a digest stands for one text (two would end the job with
 an error), so documents can look up their group by digest. Only groups of two or more
-are looked up; each is repeated ``SLICES`` times and its documents are spread over the
-copies by doc_id, so that a hot text is never one task's work.
+are looked up, and large ones are cut into slices of doc_ids, so that a hot text is never
+one task's work.
 
 Null texts count as empty; texts without words are equal if both have white space or
 neither has. A null doc_id is larger than any number. Rows that repeat doc_id and text
@@ -22,12 +22,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.llm.columns import GAP, packed, present
+from lectern.llm.lookup import first_of_repeats, with_groups
 
 SALTS = 16
-SLICES = 16
 
 
 def normalised(text: Column) -> Column:
@@ -35,7 +34,7 @@ def normalised(text: Column) -> Column:
 
 
 def sha256(text: Column) -> Column:
-    return F.sha2(F.encode(text, "UTF-8"), 256)
+    return F.coalesce(F.sha2(F.encode(text, "UTF-8"), 256), F.lit(""))
 
 
 def groups(docs: DataFrame, digest=sha256) -> DataFrame:
@@ -58,22 +57,13 @@ def groups(docs: DataFrame, digest=sha256) -> DataFrame:
         .alias("group_size"))
 
 
-def looked_up(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Adds keep_id and group_size to rows with doc_id and digest; null: the only one."""
-    copies = found.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    slices = F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int")
-    return rows.withColumns({
-        "slice": F.coalesce(slices, F.lit(0)),
-        "digest": F.coalesce("digest", F.lit(""))}).join(
-            copies, ["digest", "slice"], "left").drop("slice")
-
-
 def dedup_report(docs: DataFrame, digest=sha256) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select("doc_id", digest(normalised(F.col("text"))).alias("digest"))
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return looked_up(rows, groups(docs, digest)).select(
+    found = groups(docs, digest)
+    return with_groups(rows, found, "digest", "group_size", docs.count()).select(
         "doc_id", keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))
@@ -83,11 +73,6 @@ def keep_first(docs: DataFrame, digest=sha256) -> DataFrame:
     """The documents that stay, with their own columns."""
     rows = docs.select(packed(docs), "doc_id",
                        digest(normalised(F.col("text"))).alias("digest"))
-    joined = looked_up(rows, groups(docs, digest))
-    alone = joined.where(F.col("group_size").isNull()).select("row")
-    first = joined.where(
-        F.col("group_size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    others = F.struct(*[
-        F.col("row").getField(x.name) for x in docs.schema if not isinstance(x.dataType, T.MapType)])
-    shared = first.groupBy("digest").agg(F.min_by("row", others).alias("row")).select("row")
-    return alone.union(shared).select("row.*")
+    joined = with_groups(rows, groups(docs, digest), "digest", "group_size", docs.count())
+    stays = F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return first_of_repeats(joined.where(stays), "digest", docs.schema).select("row.*")

@@ -33,11 +33,11 @@ from pyspark.sql import types as T
 
 from lectern.llm.columns import packed
 from lectern.llm.components import components
+from lectern.llm.lookup import first_of_repeats, with_groups
 from lectern.session import reliable_checkpoint
 
 WIDTH = 4
 DISTANCE = 4
-SLICES = 16
 PIECE = 1 << 16
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -129,32 +129,28 @@ def near_components(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_groups(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(fp, component_id, members) of the components that have two rows or more."""
+    """Fingerprints in components of two rows or more.
+
+    fp, its rows n, component_id, and keep_fp, that of the row that stays.
+    """
     nodes = reliable_checkpoint(
         fingerprints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
     rooted = nodes.join(near_components(nodes, distance), "fp")
     tops = rooted.groupBy("root").agg(
-        F.min("doc_id").alias("component_id"), F.sum("n").alias("members")).where("members > 1")
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("top"),
+        F.sum("n").alias("members")).where("members > 1")
     return reliable_checkpoint(
-        rooted.select("fp", "root").join(tops, "root").select("fp", "component_id", "members",
-                                                              "root"))
-
-
-def looked_up(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Adds the group of rows with fp and doc_id; hot fingerprints are cut into slices."""
-    copies = found.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    slices = F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int")
-    return rows.withColumns({
-        "slice": F.coalesce(slices, F.lit(0)), "fp": F.coalesce("fp", F.lit(0))}).join(
-            copies, ["fp", "slice"], "left").drop("slice")
+        rooted.select("fp", "n", "root").join(tops, "root").select(
+            "fp", "n", F.col("top.doc_id").alias("component_id"), F.col("top.fp").alias("keep_fp")))
 
 
 def near_report(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
     rows = reliable_checkpoint(docs.select("doc_id", fingerprint("text").alias("fp")))
-    return looked_up(rows, near_groups(rows, distance)).select(
+    found = near_groups(rows, distance)
+    return with_groups(rows, found, "fp", "n", rows.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        F.when(F.col("keep_fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         .alias("component_id"))
 
 
@@ -163,12 +159,9 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     The fingerprints are taken twice rather than stored beside the texts.
     """
-    found = near_groups(docs.select("doc_id", fingerprint("text").alias("fp")), distance)
-    joined = looked_up(docs.select(packed(docs), "doc_id", fingerprint("text").alias("fp")), found)
-    alone = joined.where(F.col("members").isNull()).select("row")
-    order = F.struct(F.col("doc_id").isNull(), *[
-        F.col("row").getField(x.name) for x in docs.schema if not isinstance(x.dataType, T.MapType)])
-    first = joined.where(
-        F.col("members").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    shared = first.groupBy("root").agg(F.min_by("row", order).alias("row")).select("row")
-    return alone.union(shared).select("row.*")
+    rows = docs.select("doc_id", fingerprint("text").alias("fp"))
+    joined = with_groups(docs.select(packed(docs), "doc_id", fingerprint("text").alias("fp")),
+                         near_groups(rows, distance), "fp", "n", docs.count())
+    stays = (F.col("fp") == F.col("keep_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    alone = joined.withColumn("stays", F.col("keep_fp").isNull() | stays).where("stays")
+    return first_of_repeats(alone, "fp", docs.schema).select("row.*")
