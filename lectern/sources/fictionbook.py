@@ -204,6 +204,12 @@ def oversized(spark: SparkSession, path: str) -> DataFrame:
         "path", "length", F.lit("too_large").alias("reject"))
 
 
+def parsed_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file below a folder, rejected for its size or as ``parse_books`` says."""
+    return parse_books(read_files(spark, path)).unionByName(
+        oversized(spark, path).select("path", "reject"), allowMissingColumns=True)
+
+
 def books(parsed: DataFrame, key: str = "path") -> DataFrame:
     """Accepted books with their block lists, ready for chapter assembly."""
     return parsed.where(F.col("reject").isNull()).select(

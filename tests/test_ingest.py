@@ -1,5 +1,7 @@
 """FictionBook files, pages and byte decoding."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,73 +27,147 @@ def chapters(rows, limit=100):
     return [(r["title"], list(r["segments"])) for r in found.collect()]
 
 
-FULL = book(
-    "<body><title><p>Spare</p></title><epigraph><p>Motto.</p><text-author>Who</text-author>"
-    "</epigraph><section><title><p>Part</p></title><section><title><p>One</p></title>"
-    "<p>First <emphasis>line</emphasis>.</p><poem><title><p>Song</p></title><stanza><v>Verse.</v>"
-    '</stanza></poem><p>Here<image alt="a  map"/>it is.</p><image alt="Alone."/>'
-    "<table><tr><th>Cell</th></tr></table><x:p>foreign</x:p></section><section><p>Untitled.</p>"
-    "</section></section></body><body name='notes'><section><p>Note.</p></section></body>",
-    "<description><title-info><book-title> The   Book </book-title><author><first-name>Ann"
-    "</first-name><middle-name> </middle-name><last-name>Lee</last-name></author>"
-    "<author><nickname>Bo</nickname></author></title-info></description>")
-
-
-def test_whole_document(spark, tmp_path):
-    rows = parsed(spark, tmp_path, full=FULL)
-    meta = fictionbook.metadata(rows).first()
-    assert (meta["title"], list(meta["authors"])) == ("The Book", ["Ann Lee", "Bo"])
-    assert chapters(rows) == [
-        ("Part — One", ["Motto. Who First line. Song Verse. Here a map it is. Alone. Cell"]),
-        ("Part", ["Untitled."])]
-
-
-def test_titles_and_breaks(spark, tmp_path):
-    same = "<section><title><p>Same</p></title><p>{}</p></section>"
-    rows = parsed(
-        spark, tmp_path,
-        a=book("<body><title><p>From</p><p>body</p></title><section><p>T.</p></section></body>"),
-        b=book(f"<body><section>{same.format('One.')}{same.format('Two.')}</section></body>"),
-        c=book("<body><section><p>A.</p><subtitle>* * *</subtitle><p>B.</p></section></body>"),
-        d=book("<body><p>Loose.</p></body>"))
-    titles = {r["book_id"]: r["title"] for r in fictionbook.metadata(rows).collect()}
-    assert titles == {"a": "From body", "b": "", "c": "", "d": ""}
-    assert chapters(rows) == [
-        ("", ["T."]), ("Same", ["One."]), ("Same", ["Two."]), ("", ["A.", "B."]), ("", ["Loose."])]
-
-
-def test_charset(spark, tmp_path):
-    text = book("<body><section><p>Привет.</p></section></body>").replace(
-        '"1.0"', '"1.0" encoding="windows-1251"')
-    rows = parsed(spark, tmp_path, w=text.encode("cp1251"))
-    assert chapters(rows) == [("", ["Привет."])]
-
-
-GOOD = book("<body><section><p>text</p></section></body>")
-
-
-@pytest.mark.parametrize("data, reason", [
-    ("", "not_fb2"),
-    ("<html><body><p>x</p></body></html>", "not_fb2"),
-    ("junk" + GOOD, "not_fb2"),
-    (GOOD.replace(NS, "urn:other"), "not_fb2"),
-    (book(""), "no_body"),
-    (book("<x:body><x:section><x:p>t</x:p></x:section></x:body>"), "no_body"),
-    (book("<more><FictionBook><body><section><p>t</p></section></body></FictionBook></more>"),
-     "no_body"),
-    (book("<body><title><p>Only a title</p></title></body>"), "no_content"),
-    (book("<body><section><p>* * *</p></section></body>"), "no_content"),
-    (GOOD + "<again/>", "trailing_data"),
-    (GOOD + "tail", "trailing_data"),
-    (GOOD + "<!odd>", "trailing_data"),
-    (GOOD + '<?xml version="1.0"?>', "trailing_data"),
-    (GOOD[:-20], "malformed"),
-    (b"\xff\xfe\xfa", "malformed"),
-    (GOOD + " \n<!-- fine --><?fine too?>", None),
-])
-def test_rejects(data, reason):
-    raw = data if isinstance(data, bytes) else data.encode()
-    assert fictionbook.read_book(raw)["reject"] == reason
+class Tree:
+    """A random document of sections, built next to what reading it must give."""
+
+    def __init__(self, seed):
+        self.draw = random.Random(seed)
+        self.count = 0
+        self.rows = []
+
+    def word(self):
+        self.count += 1
+        return f"w{self.count}"
+
+    def block(self, section, path):
+        """Mark-up of one block; its expected row is noted."""
+        kind = self.draw.choice(["p", "subtitle", "split", "nested", "image", "cell", "foreign"])
+        one, two = self.word(), self.word()
+        mark = {
+            "p": f"<p>{one}  {two}</p>", "subtitle": f"<subtitle>{one} {two}</subtitle>",
+            "split": f"<p>{one}<strong> {two}</strong></p>",
+            "nested": f"<cite><p>{one} {two}</p></cite>",
+            "image": f'<image x:href="#i" alt="{one}   {two}"/>',
+            "cell": f"<table><tr><td>{one} {two}</td></tr></table>",
+            "foreign": f"<x:note>{one} {two}</x:note>"}[kind]
+        if kind != "foreign":
+            self.rows.append((section, path if section is not None else None, f"{one} {two}"))
+        return mark
+
+    def section(self, number, path, depth):
+        titled = self.draw.random() < 0.6
+        title = self.word() if titled else ""
+        inner = path + [title] if titled else path
+        own, parts = number[0], []
+        for _ in range(self.draw.randrange(0, 4)):
+            if depth < 3 and self.draw.random() < 0.4:
+                number[0] += 1
+                parts.append(self.section(number, inner, depth + 1))
+            else:
+                parts.append(self.block(own, inner))
+        head = f"<title><p>{title}</p></title>" if titled else ""
+        return f"<section>{head}{''.join(parts)}</section>"
+
+    def body(self):
+        number, parts = [0], []
+        for _ in range(self.draw.randrange(1, 5)):
+            if self.draw.random() < 0.7:
+                number[0] += 1
+                parts.append(self.section(number, [], 0))
+            else:
+                parts.append(self.block(None, []))
+        return f"<body>{''.join(parts)}</body>"
+
+
+def test_random_section_trees():
+    """Blocks, their sections and titles in the order of the document."""
+    spoken = 0
+    for seed in range(200):
+        tree = Tree(seed)
+        found = fictionbook.read_book(book(tree.body()).encode())
+        if not tree.rows:
+            assert found["reject"] == "no_content"
+            continue
+        spoken += 1
+        assert found["reject"] is None
+        assert [(b["section_id"], b["section_path"], b["text"])
+                for b in found["blocks"]] == tree.rows, seed
+        assert [b["block_no"] for b in found["blocks"]] == list(range(len(tree.rows)))
+    assert spoken > 100
+
+
+def test_metadata_and_chapters(spark, tmp_path):
+    people = "".join(
+        f"<author>{''.join(f'<{tag}> {name} </{tag}>' for tag, name in parts)}</author>"
+        for parts in ([("first-name", "Mira"), ("last-name", "Olt")], [("nickname", "quill")],
+                      [("first-name", "Jo"), ("middle-name", ""), ("last-name", "Pel")]))
+    head = (f"<description><title-info>{people}<book-title>Seven\n  Lamps</book-title>"
+            "</title-info></description>")
+    sections = "".join(
+        f"<section><title><p>Lamp {n}</p></title><p>Lit at {n}.</p></section>" for n in (1, 2, 3))
+    rows = parsed(spark, tmp_path, lamps=book(f"<body>{sections}</body>", head),
+                  bare=book("<body><section><p>Only this.</p></section></body>"))
+    meta = {r["book_id"]: (r["title"], list(r["authors"]))
+            for r in fictionbook.metadata(rows).collect()}
+    assert meta == {"lamps": ("Seven Lamps", ["Mira Olt", "quill", "Jo Pel"]), "bare": ("", [])}
+    assert chapters(rows) == [("", ["Only this."])] + [
+        (f"Lamp {n}", [f"Lit at {n}."]) for n in (1, 2, 3)]
+
+
+@pytest.mark.parametrize("charset", ["utf-8", "utf-16", "windows-1251", "koi8-r"])
+def test_charsets(charset):
+    line = "Съешь ещё этих булок"
+    text = book(f"<body><section><p>{line}</p></section></body>").replace(
+        '"1.0"', f'"1.0" encoding="{charset}"')
+    assert [b["text"] for b in fictionbook.read_book(text.encode(charset))["blocks"]] == [line]
+
+
+def test_every_cut_document_is_refused():
+    whole = book("<body><section><p>lantern</p></section></body>").encode()
+    assert fictionbook.read_book(whole)["reject"] is None
+    for size in range(len(whole)):
+        reason = fictionbook.read_book(whole[:size])["reject"]
+        assert reason in ("malformed", "not_fb2"), size
+    for size in range(1, 40):
+        tail = b"<" + b"z" * size + b"/>"
+        assert fictionbook.read_book(whole + tail)["reject"] == "trailing_data"
+    for fine in (b"\n", b"  <!-- z -->", b"<?z z?>"):
+        assert fictionbook.read_book(whole + fine)["reject"] is None
+
+
+def test_documents_without_a_readable_body():
+    def swapped(old, new):
+        return book("<body><section><p>lantern</p></section></body>").replace(old, new).encode()
+
+    reasons = {
+        "no_body": [swapped("body>", "poem>"), swapped("body>", "x:body>")],
+        "no_content": [swapped("lantern", " "), swapped("lantern", "* * *"),
+                       swapped("<p>lantern</p>", "")],
+        "not_fb2": [swapped(NS, "urn:lantern"), swapped("FictionBook", "Lantern"), b"", b"lantern",
+                    None],
+    }
+    for reason, documents in reasons.items():
+        assert [fictionbook.read_book(d)["reject"] for d in documents] == [reason] * len(documents)
+
+
+def test_oversized_files_are_rejects(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fictionbook, "MAX_FILE_BYTES", 300)
+    for name, words in (("small", 3), ("large", 300)):
+        (tmp_path / f"{name}.fb2").write_text(
+            book(f"<body><section><p>{'word ' * words}</p></section></body>"))
+    rows = fictionbook.parsed_files(spark, str(tmp_path))
+    found = {r["path"].rpartition("/")[2]: r["reject"] for r in rows.collect()}
+    assert found == {"small.fb2": None, "large.fb2": "too_large"}
+    assert [r["reject"] for r in fictionbook.rejects(rows).collect()] == ["too_large"]
+
+
+def test_pages_keep_their_text():
+    assert webpages.page_text("<p>a</p><embed src=x><p>b</p>") == ["a", "b"]
+    assert webpages.page_text("<body><p>a</p><form><p>b</p><p>c</p></body>") == ["a", "b", "c"]
+    assert webpages.page_text("<body><p>a</p><form><p>b</p></form><p>c</p></body>") == ["a", "c"]
+    assert webpages.page_text("<title>t</title><p>a</p>") == ["a"]
+    assert webpages.page_text("<html><head><title>t</title></head><p>a</p></html>") == ["a"]
+    assert webpages.page_text("<body><script>x") == []
 
 
 def test_page_text():
