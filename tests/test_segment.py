@@ -44,27 +44,53 @@ def run(spark, texts, limit):
     return [row["s"] for row in sorted(found)]
 
 
-@pytest.mark.parametrize("text, limit, wanted", [
-    ("Раз. Два три! Пять.", 4, ["Раз. Два три! Пять."]),
-    ("Раз два. Три!", 2, ["Раз два.", "Три!"]),
-    ("Раз два\nТри четыре", 2, ["Раз два", "Три четыре"]),
-    ("a b c d e f g", 3, ["a b c", "d e f", "g"]),
-    ("one two three four five. six", 4, ["one two three four", "five. six"]),
-    ("before\n * *  * \nafter", 9, ["before", "after"]),
-    ("before* * *after", 9, ["before", "after"]),
-    ("* * *\nonly\n* * *", 9, ["only"]),
-    ("  \n\t", 9, []),
-    ("a\u00a0b\u2003c", 2, ["a b", "c"]),
-])
-def test_examples(spark, text, limit, wanted):
-    assert run(spark, [text], limit) == [wanted]
-
-
-def test_sentence_ends(spark):
-    text = "Вес 2.5 кг. «Неужели?!» Да。 Ещё！ Всё？"
-    found = spark.createDataFrame([(text,)], "t string").select(
-        se.phrases(F.col("t")).alias("p")).first()["p"]
-    assert found == ["Вес 2.5 кг.", "«Неужели?!»", "Да。", "Ещё！", "Всё？"]
+@pytest.mark.parametrize("limit", [1, 2, 5, 40])
+def test_sentences_are_packed_whole(spark, limit):
+    """Generated sentences of known lengths: none within the limit is ever cut."""
+    draw = random.Random(limit)
+    texts, wanted = [], []
+    for _ in range(200):
+        sentences = [[f"v{draw.randrange(99)}" for _ in range(draw.randint(1, 2 * limit))]
+                     for _ in range(draw.randint(1, 6))]
+        for words in sentences:
+            words[-1] += draw.choice(["!", "?", ".", "…", '."', ".)"])
+        texts.append(draw.choice([" ", "\n", " \t\n "]).join(map(" ".join, sentences)))
+        packs = [[]]
+        for words in sentences:
+            for k in range(0, len(words), limit):
+                piece = words[k:k + limit]
+                if len(packs[-1]) + len(piece) > limit:
+                    packs.append([])
+                packs[-1] += piece
+        wanted.append([" ".join(pack) for pack in packs if pack])
+    assert run(spark, texts, limit) == wanted
+
+
+@pytest.mark.parametrize("mark", ["* * *", " *  * * ", "*\u00a0* *"])
+def test_a_scene_break_always_closes(spark, mark):
+    left, right = "tin roof", "copper bell"
+    for between in (mark, f"\n{mark}\n", mark * 2):
+        assert run(spark, [left + between + right], 50) == [[left, right]]
+    assert run(spark, [mark, f"{mark}{left}", f"{left}{mark}"], 50) == [[], [left], [left]]
+
+
+def test_white_space_only(spark):
+    assert run(spark, ["", " ", "\n\u2003\t", "\u00a0"], 3) == [[]] * 4
+
+
+def test_phrases_join_to_the_text(spark):
+    """Ends are kept with their phrase, and numbers are not ends."""
+    draw = random.Random(9)
+    parts = ["plum", "3.75", "oak?!", "fir…", "elm.)", "ash!»", "yew。", "box"]
+    texts = [" ".join(draw.choice(parts) for _ in range(draw.randint(1, 12))) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = {r["i"]: r["p"] for r in frame.select("i", se.phrases(F.col("t")).alias("p")).collect()}
+    for i, text in enumerate(texts):
+        assert " ".join(found[i]) == text
+        for phrase in found[i][:-1]:
+            assert phrase.split()[-1] in ("oak?!", "fir…", "elm.)", "ash!»", "yew。")
+        for phrase in found[i]:
+            assert not set(phrase.split()[:-1]) & {"oak?!", "fir…", "elm.)", "ash!»", "yew。"}
 
 
 def test_default_limit(spark):

@@ -46,20 +46,39 @@ def test_diagnostic_form_keeps_punctuation(spark):
     assert column(spark, ["  A,\n b! "], tx.diagnostic_form) == ["a, b!"]
 
 
-@pytest.mark.parametrize("original, rewritten, wanted", [
-    ("Ёлка, «Мир»: 5% [pause]", "Елка «Мир» — 5%! [pause]", "accepted"),
-    ("замок на двери", "замо\u0301к, на двери", "accepted"),
-    ("one two", "one", "phrase_changed"),
-    ("one two", "one two three", "phrase_changed"),
-    ("5 apples", "five apples", "phrase_changed"),
-    ("go [x] on", "go (x) on", "controls_changed"),
-    ("go {A B} on", "go <A B> on", "phrase_changed"),
-    ("text", "  ", "empty_text"),
-])
-def test_rewrite_guard(spark, original, rewritten, wanted):
-    frame = spark.createDataFrame([(original, rewritten)], "a string, b string")
-    assert frame.select(tx.rewrite_verdict(
-        F.col("a"), F.col("b"), F.lit("why")).alias("v")).first()["v"] == wanted
+def _verdicts(spark, pairs):
+    rows = [(i, a, b) for i, (a, b) in enumerate(pairs)]
+    frame = spark.createDataFrame(rows, "i int, a string, b string").select(
+        "i", tx.rewrite_verdict(F.col("a"), F.col("b"), F.lit("why")).alias("v"))
+    return [r["v"] for r in sorted(frame.collect())]
+
+
+def test_marks_and_case_may_change_words_may_not(spark):
+    """Random edits of punctuation and case pass; any lost, new or swapped word does not."""
+    draw = random.Random(12)
+    kept, broken = [], []
+    for _ in range(150):
+        words = [draw.choice(["mast", "keel", "ёрш", "rope", "17"]) + str(k)
+                 for k in range(draw.randint(2, 8))]
+        text = " ".join(words)
+        moved = " ".join(draw.choice(["", "(", '"']) + draw.choice([w, w.upper()])
+                         + draw.choice(["", ",", "!", "…"]) for w in words)
+        kept.append((text, moved.replace("Ё", "Е").replace("ё", "е")))
+        place = draw.randrange(len(words))
+        broken.append((text, " ".join(draw.choice([
+            words[:place] + words[place + 1:], words[:place] + ["new"] + words[place:],
+            words[:place] + ["other"] + words[place + 1:]]))))
+    assert set(_verdicts(spark, kept)) == {"accepted"}
+    assert set(_verdicts(spark, broken)) == {"phrase_changed"}
+
+
+def test_controls_must_survive(spark):
+    for control in ("[soft]", "{slow}", "<beat>"):
+        text = f"raise {control} anchor"
+        assert _verdicts(spark, [(text, text + "!"), (text, f"lower {control} anchor"),
+                                 (text, "  ")]) == ["accepted", "phrase_changed", "empty_text"]
+        swapped = control.translate(str.maketrans("[]{}<>", "()()()"))
+        assert _verdicts(spark, [(text, text.replace(control, swapped))]) == ["controls_changed"]
 
 
 def test_inline_controls_skip_open_brackets(spark):
@@ -67,17 +86,31 @@ def test_inline_controls_skip_open_brackets(spark):
         ["[b {c} <d> ]"], ["<x>", "<y>"]]
 
 
-def test_chapter_file_names(spark):
-    titles = ['../Part\\ 1:\0 <Home>?*|', "\u202e ", "Я" * 200, "Ⅳ. ", "…"]
-    frame = spark.createDataFrame([(i, 7, t) for i, t in enumerate(titles)],
+def _file_names(spark, titles):
+    frame = spark.createDataFrame([(i, 31, t) for i, t in enumerate(titles)],
                                   "i int, n int, t string")
     named = tx.with_file_name(frame, "n", "t", "file_name").orderBy("i")
-    found = [row["file_name"] for row in named.collect()]
-    assert found[0] == "character_0007_Part 1 Home.flac"
-    assert found[1] == "character_0007_Глава 7.flac"
-    assert found[2].startswith("character_0007_ЯЯ") and len(found[2].encode()) <= 240
-    assert found[3] == "character_0007_IV.flac"
-    assert found[4] == "character_0007_Глава 7.flac"
+    return [row["file_name"] for row in named.collect()]
+
+
+def test_file_names_are_safe_whatever_the_title(spark):
+    draw = random.Random(8)
+    pool = "aZ9 ./\\<>:|?*\"\0\t\u200f\u202eЖ漢ﬁ."
+    titles = ["".join(draw.choices(pool, k=draw.randint(0, 200))) for _ in range(400)]
+    for name in _file_names(spark, titles):
+        assert name.startswith("character_0031_") and name.endswith(".flac")
+        assert len(name.encode()) <= 240
+        stem = name.removeprefix("character_0031_").removesuffix(".flac")
+        assert stem and stem == stem.strip(". ") and "  " not in stem
+        assert not set(stem) & set('/\\<>:"|?*') and stem.isprintable()
+
+
+def test_file_names_keep_plain_titles(spark):
+    assert _file_names(spark, ["Salt and tin", "Ⅶ", "\u200f", ""]) == [
+        "character_0031_Salt and tin.flac", "character_0031_VII.flac",
+        "character_0031_Глава 31.flac", "character_0031_Глава 31.flac"]
+    long = _file_names(spark, ["Ж" * 300])[0]
+    assert set(long.removeprefix("character_0031_").removesuffix(".flac")) == {"Ж"}
 
 
 def test_cut_between_characters(spark):
@@ -100,7 +133,27 @@ def test_seeds(spark):
     found = [int(r[0]) for r in frame.select(tx.retry_seed(
         F.lit("job"), F.col("segment"), F.col("attempt"))).collect()]
     assert found == [int.from_bytes(hmac.new(
-        b"job", f"s{n}".encode(), hashlib.sha256).digest()[:8], "big") for n in (1, 2)]
+        b"job", f"s\0{n}".encode(), hashlib.sha256).digest()[:8], "big") for n in (1, 2)]
+
+
+def test_seeds_of_different_attempts_differ(spark):
+    frame = spark.createDataFrame([("1", "11"), ("11", "1"), ("111", "")], "s string, a string")
+    found = [r[0] for r in frame.select(
+        tx.retry_seed(F.lit("job"), F.col("s"), F.col("a"))).collect()]
+    assert len(set(found)) == 3
+
+
+@pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 200])
+def test_hmac_of_any_key(spark, size):
+    import hashlib
+    import hmac
+    key = "kЖ~"[:size] + "x" * max(0, size - 3)
+    found = spark.createDataFrame([(key, "message é")], "k string, m string").select(
+        tx.hmac_sha256(F.col("k"), F.col("m"))).first()[0]
+    assert found == hmac.new(key.encode(), "message é".encode(), hashlib.sha256).hexdigest()
+
+
+GOOD = '{"rewritten_text": "a", "reason": "b"}'
 
 
 @pytest.mark.parametrize("payload, wanted", [
@@ -112,9 +165,13 @@ def test_seeds(spark):
     ({"rewritten_text": "a" * 11, "reason": "b"}, "OUTPUT_INVALID"),
     ("not json", "OUTPUT_INVALID"),
     (["a"], "OUTPUT_INVALID"),
+    (None, "OUTPUT_INVALID"),
+    ({"rewritten_text": "a", "reason": " \t\u00a0"}, "OUTPUT_INVALID"),
+    (GOOD + " trailing", "OUTPUT_INVALID"), (GOOD + '{"x": 1}', "OUTPUT_INVALID"),
+    (GOOD + ", 1", "OUTPUT_INVALID"), (GOOD + "]", "OUTPUT_INVALID"), (GOOD + " \n", "ok"),
 ])
 def test_output_contract(spark, payload, wanted):
-    text = payload if isinstance(payload, str) else json.dumps(payload)
+    text = payload if payload is None or isinstance(payload, str) else json.dumps(payload)
     assert column(spark, [text], lambda c: tx.output_contract(
         c, {"rewritten_text": 10, "reason": 10})) == [wanted]
 
