@@ -4,8 +4,8 @@ A paragraph is a line with a word. A multinomial logistic regression over hashed
 uni-, bi- and trigrams (as shares of the paragraph's n-grams) gives each family a
 probability, and one to plain text. It is trained here: on the templates and on variants of
 them (words lost, swapped or added, parts only), and as plain text on at most
-``PLAIN_ROWS`` paragraphs of the corpus, those with the least hashes that share no run of
-three words with a template. A quarter of the examples calibrates how much a
+``PLAIN_ROWS`` paragraphs of the corpus, the least hash of each of so many parts, that share
+no run of three words with a template. A quarter of the examples calibrates how much a
 family's probability must be for a name: the largest cutoff that keeps ``KEPT`` of the
 family examples, and no less than plain paragraphs reach.
 
@@ -223,9 +223,11 @@ def fit(plain: list[str]) -> Model:
 def train(docs: DataFrame) -> Model:
     lines = docs.select(F.explode(F.split(present(F.col("text")), "\n")).alias("line")).where(
         F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    chosen = lines.select("line", F.xxhash64("line").alias("h")).orderBy("h", "line").limit(
-        PLAIN_ROWS)
-    return fit([r["line"] for r in chosen.select("line").collect()])
+    hashed = lines.select("line", F.xxhash64("line").alias("h"))
+    chosen = hashed.groupBy(F.pmod("h", F.lit(PLAIN_ROWS)).alias("part")).agg(
+        F.min("h").alias("h")).select("h")  # at most PLAIN_ROWS numbers
+    found = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("line").alias("line"))
+    return fit([r["line"] for r in sorted(found.collect())])
 
 
 FOUND = T.ArrayType(T.StructType([
@@ -240,13 +242,13 @@ def scan_text(text: str, model: Model, features: Features) -> list[dict]:
     out, start = [], 0
     for number, line in enumerate(text.split("\n")):
         found = words(line)
-        if found:
+        if not PAIRS.isdisjoint(zip(found, found[1:])):  # else nothing below would be reported
             p = model.probabilities(features.of(found))
             best = int(p[:-1].argmax())
             family = FAMILIES[best]
             same = similarity(found, family) if p[-1] < MARGIN else 0.0
             sure = p[best] >= model.cutoff and same >= SIMILAR
-            if sure or p[-1] < MARGIN and shingles(found, 2) & PAIRS:
+            if sure or p[-1] < MARGIN:
                 out.append({
                     "paragraph": number, "start": start, "end": start + len(line),
                     "family": family if sure else UNKNOWN, "likeliest": family,

@@ -10,12 +10,13 @@ the root of their number in the text. A linear model with hinge loss is fitted t
 coordinate descent, and its weights are drawn towards their mean size (naive Bayes).
 Margins of a fifth of the rows, left out of the fit, calibrate the scores (Platt).
 
-The model is fitted on at most ``FIT_ROWS`` labelled rows, those with the least hashes of
-doc_id, so it neither grows with the corpus nor depends on its order; it has ``SIZE`` weights and
+The model is fitted on at most ``FIT_ROWS`` labelled rows, the one with the least hash of
+doc_id in each of so many parts, so it neither grows with the corpus nor depends on its order; it has ``SIZE`` weights and
 is broadcast. Scoring reads every whole text once and shuffles nothing.
 
 Null and empty texts have no n-gram and get the score of the intercept. Rows without a
-label or doc_id teach nothing; of rows that repeat a doc_id one is learnt from. Without labels every
+label or doc_id teach nothing; of rows that repeat a doc_id one is learnt from,
+of labels that do the lower. Without labels every
 score is 0.5, with labels of one class it is their smoothed share. Extra columns stay out.
 """
 
@@ -202,12 +203,15 @@ def _numbers(texts: pa.Array) -> pa.Array:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fits on the ``rows`` labelled documents with the least hashes of doc_id."""
-    chosen = (
-        labels.select(F.col("doc_id"), F.col("quality"))
+    """Fits on the labelled documents with the least hash of each of ``rows`` parts."""
+    known = (
+        labels.select("doc_id", "quality", F.xxhash64("doc_id").alias("h"))
         .where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()
-               & ~held_out(F.col("doc_id")))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows))
+               & ~held_out(F.col("doc_id"))))
+    least = known.groupBy(F.pmod("h", F.lit(rows)).alias("part")).agg(
+        F.min("h").alias("h")).select("h")  # at most ``rows`` numbers
+    chosen = known.join(F.broadcast(least), "h").groupBy("doc_id").agg(
+        F.min("quality").alias("quality"))
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(  # bounded
         "doc_id", "quality", _numbers("text").alias("numbers")).groupBy(
             "doc_id", "quality").agg(F.min("numbers").alias("numbers"))  # repeated doc_ids
