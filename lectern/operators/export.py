@@ -16,22 +16,26 @@ PART_FRAGMENTS = 10_000
 PART_SAMPLES = 64 * 1024 * 1024 // 2
 
 
-def export_readiness(jobs: DataFrame, fragments: DataFrame) -> DataFrame:
+def fragment_counts(fragments: DataFrame) -> DataFrame:
+    """fragments, unready and silent per job, from job_id, status and samples."""
+    return fragments.groupBy("job_id").agg(
+        F.count("*").alias("fragments"),
+        F.count_if(F.col("status") != "ready").alias("unready"),
+        F.count_if((F.col("status") == "ready") & (F.col("samples") <= 0)).alias("silent"))
+
+
+def export_verdicts(counted: DataFrame) -> DataFrame:
     """Per job, why it cannot be exported, or ``ok``.
 
-    ``jobs``: job_id, status, fragments_count. ``fragments``: job_id, status, samples.
+    ``counted``: jobs with status and fragments_count, joined to ``fragment_counts``.
     """
-    counted = fragments.groupBy("job_id").agg(
-        F.count("*").alias("_fragments"),
-        F.count_if(F.col("status") != "ready").alias("_unready"),
-        F.count_if((F.col("status") == "ready") & (F.col("samples") <= 0)).alias("_silent"))
-    return jobs.join(counted, "job_id", "left").withColumn("verdict", (
+    return counted.withColumn("verdict", (
         F.when(F.col("status") != "completed", "job_not_completed")
-        .when(F.coalesce("_fragments", F.lit(0)) == 0, "no_fragments")
-        .when(F.col("_unready") > 0, "not_ready")
-        .when(F.col("_silent") > 0, "no_audio")
-        .when(F.col("_fragments") != F.col("fragments_count"), "count_mismatch")
-        .otherwise("ok"))).drop("_fragments", "_unready", "_silent")
+        .when(F.coalesce("fragments", F.lit(0)) == 0, "no_fragments")
+        .when(F.col("unready") > 0, "not_ready")
+        .when(F.col("silent") > 0, "no_audio")
+        .when(F.col("fragments") != F.col("fragments_count"), "count_mismatch")
+        .otherwise("ok")))
 
 
 def timeline(fragments: DataFrame, at_most: int | None = None) -> DataFrame:
@@ -118,8 +122,11 @@ def joined_pcm(
     placed = timeline(fragments, at_most)
     part = F.floor(F.col("start_sample") / part_samples).cast("int")
     form = F.struct("sample_rate", "channels", "sample_width")
-    return placed.groupBy("job_id", "chapter_number", part.alias("part")).agg(
+    forms = fragments.groupBy("job_id", "chapter_number", form.alias("form")).agg(
+        F.lit(1).alias("one")).groupBy("job_id", "chapter_number").agg(
+            (F.count("*") == 1).alias("uniform_format"))  # of the whole chapter
+    parts = placed.groupBy("job_id", "chapter_number", part.alias("part")).agg(
         F.expr("listagg(pcm) WITHIN GROUP (ORDER BY struct(ordinal, id))").alias("pcm"),
         F.min("start_sample").alias("start_sample"), F.sum("samples").alias("samples"),
-        F.count("*").alias("fragments"),
-        (F.min(form) == F.max(form)).alias("uniform_format"))
+        F.count("*").alias("fragments"))
+    return parts.join(forms, ["job_id", "chapter_number"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the data contract.
@@ -44,13 +44,15 @@ def rewrite_rollup(items: DataFrame) -> DataFrame:
 
 def chapter_catalog(fragments: DataFrame, jobs: DataFrame) -> DataFrame:
     """Chapters of every job with the first reason why they cannot be listed."""
-    chapters = fragments.groupBy("job_id", "chapter_number").agg(
-        F.min("chapter_title").alias("title"),
-        F.count("*").alias("fragments_count"),
-        F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("duration_ms"),
-        (F.min("chapter_title").isNull() | (F.min("chapter_title") != F.max("chapter_title")))
-        .alias("_mixed"),
-        F.bool_and(F.col("status") == "ready").alias("all_ready"))
+    # Numbers per title first: without texts to compare, both phases hash.
+    titled = fragments.groupBy("job_id", "chapter_number", "chapter_title").agg(
+        F.count("*").alias("_n"), F.sum("duration_ms").alias("_ms"),
+        F.count_if(F.col("status") != "ready").alias("_unready"))
+    chapters = titled.groupBy("job_id", "chapter_number").agg(
+        F.min("chapter_title").alias("title"), F.sum("_n").alias("fragments_count"),
+        F.coalesce(F.sum("_ms"), F.lit(0)).alias("duration_ms"),
+        ((F.count("*") > 1) | F.min("chapter_title").isNull()).alias("_mixed"),
+        (F.sum("_unready") == 0).alias("all_ready"))
     problem = (
         F.when((F.col("chapter_number") <= 0) | (F.col("duration_ms") < 0) | F.col("_mixed"),
                "invalid_metadata")
@@ -146,18 +148,31 @@ def chapter_totals(fragments: DataFrame) -> DataFrame:
         F.bool_and(F.col("pcm_bytes") % frame_bytes == 0).alias("whole_frames"))
 
 
-def ops_metrics(attempts: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """Counts, shares and duration percentiles per outcome of an attempt.
+def ops_metrics(attempts: DataFrame) -> DataFrame:
+    """Counts, shares and exact duration percentiles per outcome of an attempt.
 
-    ``attempts``: code, processing_ms, audio_ms.
+    ``attempts``: code, processing_ms, audio_ms. Equal durations are counted first, so
+    that ranks are cumulated over distinct milliseconds only.
     """
+    counted = attempts.groupBy("code", "processing_ms").agg(
+        F.count("*").alias("_n"), F.sum("audio_ms").alias("_audio"))
+    ranked = Window.partitionBy("code").orderBy("processing_ms")
+    valued = F.when(F.col("processing_ms").isNotNull(), F.col("_n"))
+    placed = counted.withColumns({
+        "_upto": F.sum(valued).over(ranked), "_rows": F.sum(valued).over(
+            Window.partitionBy("code"))})
+
+    def percentile(share: float) -> Column:
+        return F.min(F.when(
+            (F.col("_upto") >= F.ceil(F.col("_rows") * share)) & F.col("processing_ms").isNotNull(),
+            F.col("processing_ms")))
+
     total = attempts.agg(F.count("*")).scalar()
-    return attempts.groupBy("code").agg(
-        F.count("*").alias("attempts"),
-        F.sum("processing_ms").alias("processing_ms"),
-        F.sum("audio_ms").alias("audio_ms"),
-        F.percentile_approx("processing_ms", 0.5, accuracy).alias("p50_ms"),
-        F.percentile_approx("processing_ms", 0.95, accuracy).alias("p95_ms"),
+    return placed.groupBy("code").agg(
+        F.sum("_n").alias("attempts"),
+        F.sum(F.col("processing_ms") * F.col("_n")).alias("processing_ms"),
+        F.sum("_audio").alias("audio_ms"),
+        percentile(0.5).alias("p50_ms"), percentile(0.95).alias("p95_ms"),
         F.max("processing_ms").alias("max_ms"),
     ).withColumns({
         "share": F.round(F.col("attempts") / total, 6),

@@ -55,15 +55,17 @@ def rewrite_selection(
 ) -> DataFrame:
     """Warning fragments in book order, whatever the order they were asked for in.
 
-    Jobs without requests offer all their warning fragments.
+    Jobs without requests offer all their warning fragments. Refused requests keep their
+    verdict and have no place.
     """
-    explicit = classify_requests(requests, fragments, ("warning",), "not_warning").where(
-        F.col("verdict") == "ok").select("job_id", "fragment_id", "ordinal")
+    explicit = classify_requests(requests, fragments, ("warning",), "not_warning").select(
+        "job_id", "fragment_id", "ordinal", "verdict")
     implicit = fragments.where(F.col("status") == "warning").join(
         requests.select("job_id").distinct(), "job_id", "left_anti",
-    ).select("job_id", F.col("id").alias("fragment_id"), "ordinal")
-    return numbered(explicit.unionByName(implicit), ["job_id"], ["ordinal", "fragment_id"],
-                    "place", at_most)
+    ).select("job_id", F.col("id").alias("fragment_id"), "ordinal", F.lit("ok").alias("verdict"))
+    placed = numbered(explicit.unionByName(implicit), ["job_id", "verdict"],
+                      ["ordinal", "fragment_id"], "place", at_most)
+    return placed.withColumn("place", F.when(F.col("verdict") == "ok", F.col("place")))
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -73,6 +75,9 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
 
 
 def work_items(fragments: DataFrame, jobs: DataFrame, voices: DataFrame) -> DataFrame:
-    """Fragment with its job and voice; sizes decide how the sides are joined."""
-    return fragments.join(jobs.withColumnRenamed("status", "job_status"), "job_id").join(
-        voices, "voice_id")
+    """Fragment with its job and voice.
+
+    Jobs meet the few voices first, so that the fragments are joined once, by job.
+    """
+    voiced = jobs.withColumnRenamed("status", "job_status").join(voices, "voice_id")
+    return fragments.join(voiced, "job_id")

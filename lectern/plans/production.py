@@ -76,11 +76,9 @@ def voices_list(spark: SparkSession, folder: str) -> DataFrame:
 @query("work_items", f"""
 WITH {sql.FRAGMENTS}, {sql.JOBS}
 SELECT f.id, f.job_id, f.chapter_number, f.ordinal, j.book_id, j.voice_id, s_name AS voice_name
-FROM fragments f JOIN jobs j USING (job_id) JOIN supplier ON s_suppkey = voice_id
-WHERE f.status = 'pending'""")
+FROM fragments f JOIN jobs j USING (job_id) JOIN supplier ON s_suppkey = voice_id""")
 def work_items(spark: SparkSession, folder: str) -> DataFrame:
-    pending = views.fragments(spark, folder).where(F.col("status") == "pending")
-    items = se.work_items(pending, views.jobs_with_voice(spark, folder),
+    items = se.work_items(views.fragments(spark, folder), views.jobs_with_voice(spark, folder),
                           views.voices(spark, folder))
     return items.select("id", "job_id", "chapter_number", "ordinal", "book_id", "voice_id",
                         "voice_name")
@@ -167,12 +165,14 @@ def retry_select(spark: SparkSession, folder: str) -> DataFrame:
 @query("rewrite_select", f"""
 WITH {sql.FRAGMENTS}, {REQUESTS},
 a AS (SELECT job_id, fragment_id, count(*) AS times FROM requests GROUP BY 1, 2),
-s AS (SELECT a.job_id, fragment_id, ordinal FROM a JOIN fragments f ON f.id = a.fragment_id
-    WHERE times = 1 AND f.job_id = a.job_id AND f.status = 'warning'
-  UNION ALL SELECT job_id, id, ordinal FROM fragments WHERE status = 'warning'
+s AS (SELECT a.job_id, fragment_id, ordinal, CASE WHEN times > 1 THEN 'duplicate'
+    WHEN f.id IS NULL THEN 'not_found' WHEN f.job_id <> a.job_id THEN 'wrong_job'
+    WHEN f.status <> 'warning' THEN 'not_warning' ELSE 'ok' END AS verdict
+  FROM a LEFT JOIN fragments f ON f.id = a.fragment_id
+  UNION ALL SELECT job_id, id, ordinal, 'ok' FROM fragments WHERE status = 'warning'
     AND job_id NOT IN (SELECT job_id FROM requests))
-SELECT job_id, fragment_id, ordinal, row_number() OVER (PARTITION BY job_id
-  ORDER BY ordinal, fragment_id) AS place FROM s""")
+SELECT job_id, fragment_id, ordinal, verdict, CASE WHEN verdict = 'ok' THEN row_number() OVER (
+  PARTITION BY job_id, verdict ORDER BY ordinal, fragment_id) END AS place FROM s""")
 def rewrite_select(spark: SparkSession, folder: str) -> DataFrame:
     most = views.row_count(spark, folder, "events") + views.row_count(spark, folder, "lineitem")
     return se.rewrite_selection(
@@ -218,12 +218,11 @@ ready AS (SELECT d.*, CASE WHEN d.status <> 'completed' THEN 'job_not_completed'
 
 def _ready(spark: SparkSession, folder: str) -> DataFrame:
     """Jobs with declared counts (every 97th is wrong) and their export verdict."""
-    states = views.fragment_states(spark, folder)
-    counts = states.groupBy("job_id").agg(F.count("*").alias("_n"))
+    counted = ex.fragment_counts(views.fragment_states(spark, folder))
     wrong = F.when(F.col("job_id") % 97 == 0, 1).otherwise(0)
-    declared = views.jobs_with_voice(spark, folder).join(counts, "job_id", "left").withColumn(
-        "fragments_count", F.coalesce("_n", F.lit(0)) + wrong).drop("_n")
-    return ex.export_readiness(declared, states)
+    declared = views.jobs_with_voice(spark, folder).join(counted, "job_id", "left").withColumn(
+        "fragments_count", F.coalesce("fragments", F.lit(0)) + wrong)
+    return ex.export_verdicts(declared).drop("fragments", "unready", "silent")
 
 
 @query("export_ready", f"""
