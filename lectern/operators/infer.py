@@ -8,49 +8,56 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Model = Callable[[dict], dict]
+Model = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def infer(
     frame: DataFrame,
     loader: Callable[[], Model],
     results: str,
-    slots: int | None = None,
     group: str | None = None,
+    salts: int = 64,
 ) -> DataFrame:
     """Add the model's result columns and ``error`` to every row.
 
-    ``loader`` is called once per task and returns a function from a row to its
-    results. A row whose call raises keeps NULL results and the message; the job
-    goes on. ``slots`` caps the number of models at work and ``group`` (a voice,
-    say) keeps equal values next to each other, salted so that no slot gets all
-    rows of a frequent one.
+    ``loader`` is called once per task and returns a function from a batch of rows to
+    a frame of their results in the same order. If a batch fails its rows are tried one
+    by one; one that fails alone keeps NULL results and the message, and the job goes on.
+    ``group`` (a voice, say) brings equal values together in as many partitions as the
+    session shuffles to, salted so that a frequent one is spread over ``salts`` of them.
+    How many models work at once is the cluster's number of task slots.
     """
     columns = frame.columns
     names = [part.strip().split()[0] for part in results.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = loader()
+
+        def answered(rows: pd.DataFrame) -> pd.DataFrame:
+            produced = model(rows)
+            return rows.assign(
+                **{name: produced[name].to_numpy() for name in names}, error=None)
+
+        def alone(row: pd.DataFrame) -> pd.DataFrame:
+            try:
+                return answered(row)
+            except Exception as problem:  # a bad row must not stop the job
+                return row.assign(**dict.fromkeys(names),
+                                  error=f"{type(problem).__name__}: {problem}")
+
         for batch in batches:
-            produced, errors = [], []
-            for row in batch.to_dict("records"):
-                try:
-                    produced.append(model(row))
-                    errors.append(None)
-                except Exception as problem:  # a bad row must not stop the job
-                    produced.append({})
-                    errors.append(f"{type(problem).__name__}: {problem}")
-            yield batch.assign(
-                **{name: [item.get(name) for item in produced] for name in names},
-                error=errors)[[*columns, *names, "error"]]
+            try:
+                done = [answered(batch)]
+            except Exception:
+                done = [alone(batch.iloc[k:k + 1]) for k in range(len(batch))]
+            for part in done:
+                yield part[[*columns, *names, "error"]]
 
     spread = frame
-    if slots and group:
-        salt = F.pmod(F.xxhash64(*columns), F.lit(slots))
-        spread = (frame.withColumn("_salt", salt).repartition(slots, group, "_salt")
+    if group:
+        salt = F.pmod(F.xxhash64(*columns), F.lit(salts))
+        spread = (frame.withColumn("_salt", salt).repartition(group, "_salt")
                   .sortWithinPartitions(group).drop("_salt"))
-    elif slots:
-        spread = frame.repartition(slots)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
     return spread.mapInPandas(run, f"{fields}, {results}, error string")
 

@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.infer import infer, prompt_messages
+from lectern.operators.infer import Model, infer, prompt_messages
 from lectern.plans import sql
 from lectern.plans.registry import query
 from lectern.sources import views
 
 
-def load_echo() -> Callable[[dict], dict]:
+def load_echo() -> Model:
     """A stand-in model: a digest and a word count, and no answer to system turns."""
 
-    def model(row: dict) -> dict:
-        if row["role"] == "system":
+    def model(rows: pd.DataFrame) -> pd.DataFrame:
+        if (rows["role"] == "system").any():
             raise ValueError("system turns are not spoken")
-        return {"digest": hashlib.md5(row["text"].encode()).hexdigest(),
-                "words": len(row["text"].split())}
+        return pd.DataFrame({
+            "digest": [hashlib.md5(text.encode()).hexdigest() for text in rows["text"]],
+            "words": rows["text"].str.split().str.len().astype(float)})
 
     return model
 
@@ -35,7 +36,7 @@ SELECT conv_id, turn, CASE WHEN role <> 'system' THEN md5(text) END AS digest,
 FROM c""")
 def infer_stage(spark: SparkSession, folder: str) -> DataFrame:
     turns = views.table(spark, folder, "conversations")
-    answered = infer(turns, load_echo, "digest string, words double", slots=8, group="role")
+    answered = infer(turns, load_echo, "digest string, words double", group="role")
     return answered.select("conv_id", "turn", "digest", F.col("words").cast("long").alias("words"),
                            "error")
 

@@ -83,9 +83,10 @@ def test_retry_budget(spark):
 
 
 def test_repeated_failures(spark):
-    rows = de.repeated_failures(outcomes(spark, ["x", "x", "y", "x", "y", "y", "y"])).collect()
+    x, y = "audio_warning", "failed"
+    rows = de.repeated_failures(outcomes(spark, [x, x, y, x, y, y, y])).collect()
     assert sorted((r["code"], r["first_attempt"], r["last_attempt"]) for r in rows) == [
-        ("x", 1, 2), ("y", 5, 7)]
+        (x, 1, 2), (y, 5, 7)]
 
 
 @pytest.mark.parametrize("technical, retryable, hard, errors, left, effort, wanted", [
@@ -235,15 +236,21 @@ def test_rewrite_apply_pins_the_first_completed_model(spark):
     found = hi.apply_rewrites(results, current)
     assert [r["verdict"] for r in found.orderBy("place").collect()] == [
         "invalid", "invalid", "applied", "unchanged", "conflict"]
-    assert [r["text"] for r in hi.rewritten_state(current, found).orderBy("fragment_id").collect()
-            ] == ["t", "t", "t!", "t", "t"]
+    state = hi.rewritten_state(current.withColumn("warning_code", F.lit("w")), found)
+    assert [(r["text"], r["warning_code"]) for r in state.orderBy("fragment_id").collect()] == [
+        ("t", "w"), ("t", "w"), ("t!", "text_rewritten"), ("t", "w"), ("t", "w")]
 
 
 def test_inference_keeps_bad_rows(spark):
     def load():
-        return lambda row: {"half": 10 / row["id"]}
+        def model(rows):
+            if (rows["id"] == 0).any():
+                raise ZeroDivisionError("division by zero")
+            return (10 / rows[["id"]]).rename(columns={"id": "half"})
 
-    found = inf.infer(spark.range(3), load, "half double", slots=2, group="id")
+        return model
+
+    found = inf.infer(spark.range(3), load, "half double", group="id")
     assert [(r["id"], r["half"], bool(r["error"])) for r in found.orderBy("id").collect()] == [
         (0, None, True), (1, 10.0, False), (2, 5.0, False)]
 
