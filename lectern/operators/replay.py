@@ -11,37 +11,58 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.hot_groups import SLICE, slice_hot_groups
 
-# Fixed values of the data contract: action -> {from state: to state}.
-STATES = ("pending", "generating", "ready", "warning", "failed")
+# Fixed values of the data contract. A state is a status, with the code of a warning, and
+# for a fragment that waits for a retry with the state it came from.
+RETRYABLE = ("warning:transcript_mismatch", "warning:audio_warning")
+EDITED, REWRITTEN, RESTORED = "warning:text_edited", "warning:text_rewritten", "warning:text_restored"
+WARNINGS = (*RETRYABLE, EDITED, REWRITTEN, RESTORED)
+FAULTY = (*WARNINGS, "failed")
+INITIAL = "pending"
+WAITING = {f"pending<{state}": state for state in FAULTY}
+STATES = (INITIAL, "generating", "ready", *FAULTY, *WAITING)
+#: action -> {from state: to state}. A finished generation with a code, and a rewrite
+#: that leaves the text as it was, are actions of their own. Only generated audio can be
+#: approved, which edits remove.
 TRANSITIONS = {
-    "start": {"pending": "generating"},
+    "start": dict.fromkeys((INITIAL, *WAITING), "generating"),
     "complete": {"generating": "ready"},
-    "complete_with_warning": {"generating": "warning"},
+    "complete_with_warning": {"generating": "warning:transcript_mismatch"},
+    "complete_with_audio_warning": {"generating": "warning:audio_warning"},
     "fail": {"generating": "failed"},
-    "auto_retry": {"warning": "pending"},
-    "manual_retry": {"warning": "pending", "failed": "pending"},
-    "manual_edit": {"warning": "warning", "failed": "warning"},
-    "ai_rewrite": {"warning": "warning"},
-    "restore": {"pending": "pending", "ready": "warning", "warning": "warning",
-                "failed": "warning"},
-    "approve": {"warning": "ready"},
+    "auto_retry": {state: f"pending<{state}" for state in RETRYABLE},
+    "manual_retry": {state: f"pending<{state}" for state in FAULTY},
+    "cancel_retry": WAITING,
+    "manual_edit": dict.fromkeys(FAULTY, EDITED),
+    "ai_rewrite": dict.fromkeys(WARNINGS, REWRITTEN),
+    "ai_rewrite_same": {state: state for state in WARNINGS},
+    "restore": {**{state: state for state in (INITIAL, *WAITING)},
+                **dict.fromkeys(("ready", *FAULTY), RESTORED)},
+    "approve": dict.fromkeys(RETRYABLE, "ready"),
 }
-INITIAL = "pending"
+
+
+def status_of(state: Column) -> Column:
+    return F.regexp_extract(state, "^[a-z]+", 0)
+
+
+def code_of(state: Column) -> Column:
+    """The code of a warning, or the empty string."""
+    return F.regexp_extract(state, "^warning:(.*)$", 1)
 
 
 def transition_table(spark: SparkSession) -> DataFrame:
     rows = [(action, old, new) for action, moves in TRANSITIONS.items()
             for old, new in moves.items()]
-    return spark.createDataFrame(rows, "action string, from_status string, to_status string")
+    return spark.createDataFrame(rows, "action string, from_state string, to_state string")
 
 
 def _walk(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (key, slice, order): add from_status, to_status and legal."""
+    """Rows sorted by (key, slice, order): add from_state, to_state and legal."""
     group, state = None, INITIAL
     for batch in batches:
         before, after, legal = [], [], []
@@ -55,7 +76,7 @@ def _walk(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
             state = moved or state
             after.append(state)
         yield batch.drop(columns=[SLICE, "_start"]).assign(
-            from_status=before, to_status=after, legal=legal)
+            from_state=before, to_state=after, legal=legal)
 
 
 def _slice_ends(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -113,33 +134,25 @@ def replay(
     fields = ", ".join(f"`{name}` {kind}" for name, kind in kinds.items())
     return laid_out(sliced.select(*kinds, SLICE, "_start")).mapInPandas(
         lambda batches: _walk(batches, key),
-        f"{fields}, from_status string, to_status string, legal boolean")
+        f"{fields}, from_state string, to_state string, legal boolean").withColumns({
+            "from_status": status_of(F.col("from_state")),
+            "to_status": status_of(F.col("to_state"))})
 
 
 def current_states(replayed: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Last state per fragment with its counts, by combinable aggregates."""
+    """Last state per fragment with its counts, combined before the shuffle."""
     allowed = F.col("legal")
-    code = (
-        F.when(F.col("to_status") != "warning", "")
-        .when(F.col("action") == "complete_with_warning", "transcript_mismatch")
-        .when(F.col("action") == "manual_edit", "text_edited")
-        .when(F.col("action") == "ai_rewrite", "text_rewritten")
-        .when(F.col("action") == "restore", "text_restored")
-    )
-    place = F.struct(*order)
     return replayed.groupBy(key).agg(
-        F.max_by("to_status", place).alias("status"),
+        F.max_by("to_state", F.struct(*order)).alias("_state"),
         F.count_if(allowed & (F.col("action") == "start")).alias("attempt"),
-        F.coalesce(F.max_by(
-            F.when(F.col("action") == "fail", "").otherwise(code),
-            F.when(allowed, place)), F.lit("")).alias("warning_code"),
         F.count_if(allowed).alias("applied"),
         F.count_if(~allowed).alias("rejected"),
-    )
+    ).select(key, status_of(F.col("_state")).alias("status"), "attempt",
+             code_of(F.col("_state")).alias("warning_code"), "applied", "rejected")
 
 
 def illegal_events(replayed: DataFrame, table: DataFrame) -> DataFrame:
     """Events whose (state, action) is missing from the fixed transition table."""
     return replayed.join(
-        F.broadcast(table.select("action", "from_status")), ["action", "from_status"],
+        F.broadcast(table.select("action", "from_state")), ["action", "from_state"],
         "left_anti")

@@ -190,13 +190,14 @@ lists AS (SELECT fragment_id, list(action ORDER BY happened_at, event_id) AS act
 paths AS (SELECT *, string_split(list_reduce(list_prepend('{re.INITIAL}', acts), lambda acc, x:
   acc || ',' || CASE {MOVES} ELSE split_part(acc, ',', -1) END), ',') AS path FROM lists),
 steps AS (SELECT fragment_id, unnest(ids) AS event_id, unnest(acts) AS action,
-  unnest(path[1:len(acts)]) AS from_status, unnest(path[2:]) AS to_status,
+  unnest(path[1:len(acts)]) AS from_state, unnest(path[2:]) AS to_state,
   generate_subscripts(acts, 1) AS nth FROM paths),
 legal_pairs AS (SELECT * FROM (VALUES {", ".join(
     f"('{action}', '{old}')" for action, moves in re.TRANSITIONS.items() for old in moves
-)}) AS t(action, from_status)),
-judged AS (SELECT s.*, p.action IS NOT NULL AS legal FROM steps s LEFT JOIN legal_pairs p
-  ON p.action = s.action AND p.from_status = s.from_status)"""
+)}) AS t(action, from_state)),
+judged AS (SELECT s.*, regexp_extract(s.from_state, '^[a-z]+') AS from_status,
+    p.action IS NOT NULL AS legal FROM steps s LEFT JOIN legal_pairs p
+  ON p.action = s.action AND p.from_state = s.from_state)"""
 
 
 def _replayed(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,16 +207,12 @@ def _replayed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("state_replay", f"""
-WITH {REPLAYED},
-codes AS (SELECT *, CASE WHEN to_status <> 'warning' OR action = 'fail' THEN ''
-  WHEN action = 'complete_with_warning' THEN 'transcript_mismatch'
-  WHEN action = 'manual_edit' THEN 'text_edited' WHEN action = 'restore' THEN 'text_restored'
-  END AS code FROM judged)
-SELECT fragment_id, arg_max(to_status, nth) AS status,
+WITH {REPLAYED}
+SELECT fragment_id, regexp_extract(arg_max(to_state, nth), '^[a-z]+') AS status,
   count(CASE WHEN legal AND action = 'start' THEN 1 END) AS attempt,
-  coalesce(arg_max(code, CASE WHEN legal THEN nth END), '') AS warning_code,
+  regexp_extract(arg_max(to_state, nth), '^warning:(.*)$', 1) AS warning_code,
   count(CASE WHEN legal THEN 1 END) AS applied,
-  count(CASE WHEN NOT legal THEN 1 END) AS rejected FROM codes GROUP BY fragment_id""")
+  count(CASE WHEN NOT legal THEN 1 END) AS rejected FROM judged GROUP BY fragment_id""")
 def state_replay(spark: SparkSession, folder: str) -> DataFrame:
     return re.current_states(
         _replayed(spark, folder), "fragment_id", ["happened_at", "event_id"])

@@ -36,13 +36,12 @@ ATTEMPTS = """attempts AS (
 
 ACTIONS = """actions AS (
   SELECT user_id AS fragment_id, event_id, ts AS happened_at,
-    CASE WHEN event_type = 'view' THEN 'start'
-         WHEN event_type = 'purchase' THEN 'complete'
-         WHEN event_type = 'click' THEN 'complete_with_warning'
-         WHEN event_type = 'error' THEN 'fail'
-         WHEN event_id % 4 = 0 THEN 'manual_retry'
-         WHEN event_id % 4 = 1 THEN 'manual_edit'
-         WHEN event_id % 4 = 2 THEN 'restore' ELSE 'approve' END AS action
+    CASE event_type WHEN 'view' THEN 'start'
+      WHEN 'purchase' THEN ['complete', 'approve', 'auto_retry', 'manual_retry'][event_id % 4 + 1]
+      WHEN 'click' THEN ['complete_with_warning', 'complete_with_audio_warning'][event_id % 2 + 1]
+      WHEN 'error' THEN ['fail', 'manual_edit', 'cancel_retry'][event_id % 3 + 1]
+      WHEN 'signup' THEN ['manual_retry', 'restore', 'ai_rewrite', 'ai_rewrite_same',
+        'cancel_retry'][event_id % 5 + 1] END AS action
   FROM events)"""
 
 REVISIONS = """revisions AS (

@@ -166,17 +166,23 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
                     ["completed_at", "event_id"], "attempt")
 
 
+ACTIONS = {  # event type -> actions taken in turn
+    "view": ("start",),
+    "purchase": ("complete", "approve", "auto_retry", "manual_retry"),
+    "click": ("complete_with_warning", "complete_with_audio_warning"),
+    "error": ("fail", "manual_edit", "cancel_retry"),
+    "signup": ("manual_retry", "restore", "ai_rewrite", "ai_rewrite_same", "cancel_retry"),
+}
+
+
 def action_column() -> Column:
-    """Events as actions on fragments."""
-    kind, turn = F.col("event_type"), F.col("event_id") % 4
-    return (
-        F.when(kind == "view", "start")
-        .when(kind == "purchase", "complete")
-        .when(kind == "click", "complete_with_warning")
-        .when(kind == "error", "fail")
-        .when(turn == 0, "manual_retry").when(turn == 1, "manual_edit")
-        .when(turn == 2, "restore").otherwise("approve")
-    )
+    """Events as actions on fragments, chosen by type and number."""
+    kind, number = F.col("event_type"), F.col("event_id")
+    chosen = F.coalesce(*[
+        F.when(kind == name, F.element_at(F.array(*[F.lit(a) for a in actions]),
+                                          (number % len(actions) + 1).cast("int")))
+        for name, actions in ACTIONS.items()])
+    return chosen
 
 
 def action_log(spark: SparkSession, folder: str) -> DataFrame:

@@ -156,8 +156,9 @@ def run_replay(actions: DataFrame, key: str, order: list[str], label: str) -> Da
     spark = actions.sparkSession
     root = new_folder(spark, label)
     bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-    judged = [*actions.schema.fields, T.StructField("from_status", T.StringType()),
-              T.StructField("to_status", T.StringType()), T.StructField("legal", T.BooleanType())]
+    judged = [*actions.schema.fields, T.StructField("legal", T.BooleanType()), *[
+        T.StructField(name, T.StringType())
+        for name in ("from_state", "to_state", "from_status", "to_status")]]
 
     def read(path: str, *fields: T.StructField) -> DataFrame:
         return spark.read.schema(T.StructType(

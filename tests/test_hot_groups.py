@@ -62,8 +62,8 @@ def test_replay_of_one_hot_fragment(spark, few_rows_are_hot):
         "happened_at", "event_id").collect()
     state = replay.INITIAL
     for row in rows:
-        assert row["from_status"] == state
+        assert row["from_state"] == state
         moved = replay.TRANSITIONS[row["action"]].get(state)
         assert row["legal"] == (moved is not None)
         state = moved or state
-        assert row["to_status"] == state
+        assert row["to_state"] == state

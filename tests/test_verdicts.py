@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lectern.operators import decisions as de
 from lectern.operators import export as ex
 from lectern.operators import history as hi
+from lectern.operators import replay as re
 
 
 def test_a_budget_is_not_renewed(spark):
@@ -87,3 +88,21 @@ def test_a_chapter_of_two_rates_is_not_uniform(spark):
         "sample_rate int, channels int, sample_width int")
     found = ex.joined_pcm(fragments, part_samples=100).collect()
     assert len(found) == 8 and not any(r["uniform_format"] for r in found)
+
+
+def test_retries_can_be_cancelled_and_are_guarded(spark):
+    steps = [("start", True), ("complete_with_audio_warning", True), ("auto_retry", True),
+             ("cancel_retry", True), ("ai_rewrite_same", True), ("approve", True),
+             ("restore", True), ("auto_retry", False), ("approve", False), ("manual_retry", True),
+             ("restore", True), ("cancel_retry", True), ("ai_rewrite", True), ("manual_retry", True),
+             ("start", True), ("cancel_retry", False), ("fail", True), ("manual_retry", True),
+             ("cancel_retry", True), ("manual_edit", True), ("ai_rewrite_same", True)]
+    events = spark.createDataFrame([(1, k, action) for k, (action, _) in enumerate(steps)],
+                                   "f int, k int, action string")
+    rows = re.replay(events, "f", ["k"]).orderBy("k").collect()
+    assert [r["legal"] for r in rows] == [legal for _, legal in steps]
+    assert [r["to_status"] for r in rows[2:7]] == [
+        "pending", "warning", "warning", "ready", "warning"]
+    state = re.current_states(re.replay(events, "f", ["k"]), "f", ["k"]).first()
+    assert (state["status"], state["warning_code"], state["attempt"], state["rejected"]) == (
+        "warning", "text_edited", 2, 3)
