@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.columns import GAP, packed, present
 from lectern.llm.lookup import first_of_repeats, with_groups
+from lectern.session import reliable_checkpoint
 
 SALTS = 16
 
@@ -62,7 +63,7 @@ def dedup_report(docs: DataFrame, digest=sha256) -> DataFrame:
     rows = docs.select("doc_id", digest(normalised(F.col("text"))).alias("digest"))
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
-    found = groups(docs, digest)
+    found = reliable_checkpoint(groups(docs, digest))
     return with_groups(rows, found, "digest", "group_size", docs.count()).select(
         "doc_id", keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -73,6 +74,7 @@ def keep_first(docs: DataFrame, digest=sha256) -> DataFrame:
     """The documents that stay, with their own columns."""
     rows = docs.select(packed(docs), "doc_id",
                        digest(normalised(F.col("text"))).alias("digest"))
-    joined = with_groups(rows, groups(docs, digest), "digest", "group_size", docs.count())
+    found = reliable_checkpoint(groups(docs, digest))  # read twice below
+    joined = with_groups(rows, found, "digest", "group_size", docs.count())
     stays = F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return first_of_repeats(joined.where(stays), "digest", docs.schema).select("row.*")
