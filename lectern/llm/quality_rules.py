@@ -121,9 +121,13 @@ def measures(text: Column) -> Column:
 
 
 def measured(rows: DataFrame, text: Column) -> DataFrame:
-    """Adds the counts and ``base_failed`` as plain columns."""
+    """Adds the counts and ``base_failed`` as plain columns.
+
+    The outer generator keeps filters on the counts from computing them again.
+    """
     repeats, n = F.col("m.w.repeats"), F.col("m.w.n")
-    return rows.withColumn("m", measures(text)).select(
+    once = F.explode_outer(F.array(measures(text))).alias("m")
+    return rows.select(*[F.col(f"`{name}`") for name in rows.columns], once).select(
         *rows.columns, n.alias("n_words"), F.col("m.w.chars").alias("word_chars"),
         F.col("m.symbols").alias("n_symbols"), F.col("m.l.dup").alias("n_dup_lines"),
         repeats.alias("n_repeat_words"), F.col("m.l.n").alias("n_lines"),
