@@ -16,14 +16,13 @@ from __future__ import annotations
 import base64
 import struct
 from array import array
-from collections.abc import Callable
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FIRST = 0x100
 REMEMBERED = 400_000
@@ -122,44 +121,32 @@ def decoded_bytes(tokens: list[bytes], ids: list[int]) -> bytes:
     return b"".join(map(tokens.__getitem__, ids))
 
 
-def functions(
-    spark: SparkSession, path: str, pattern: str
-) -> tuple[Callable[[str | Column], Column], Callable[[str | Column], Column]]:
-    """(encode, decode): columns of texts to lists of ids, and those to bytes.
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, the ids of the text and the bytes that they decode to.
 
-    The vocabulary, a fixed file of some hundred kilobytes, is broadcast.
+    The vocabulary, a fixed file of some hundred kilobytes, is broadcast. One pass over Arrow
+    batches: as two chained functions the optimizer would encode every text twice.
     """
     tokens = read_ranks(path)
-    shared = spark.sparkContext.broadcast((tokens, model(tokens)))
-    held: list[Tokenizer] = []
-
-    def tokenizer() -> Tokenizer:
-        if not held:
-            held.append(Tokenizer(*shared.value, pattern))
-        return held[0]
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
-    def encode(texts: pa.Array) -> pa.Array:
-        parts = [tokenizer().encode(x.as_py() or "") for x in texts]
-        offsets = np.cumsum([0, *(len(x) // 4 for x in parts)])
-        values = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-
-    @F.arrow_udf(T.BinaryType())
-    def decode(lists: pa.Array) -> pa.Array:
-        ids, edges = lists.values.to_numpy(), lists.offsets.to_pylist()
-        tokens = shared.value[0]
-        return pa.array([decoded_bytes(tokens, ids[start:end].tolist())
-                         for start, end in zip(edges, edges[1:])], pa.binary())
-
-    return encode, decode
-
-
-def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, the ids of the text and the bytes that they decode to."""
-    encode, decode = functions(docs.sparkSession, path, pattern)
-    return docs.select("doc_id", encode("text").alias("ids")).select(
-        "doc_id", "ids", decode("ids").alias("decoded"))
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, model(tokens)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, proto = shared.value
+        tokenizer = Tokenizer(vocabulary, proto, pattern)
+        for batch in batches:
+            parts = [tokenizer.encode(x or "") for x in batch.column("text").to_pylist()]
+            ids = np.frombuffer(b"".join(parts), "<i4")
+            edges = np.cumsum([0, *(len(x) // 4 for x in parts)])
+            decoded = [decoded_bytes(vocabulary, ids[start:end].tolist())
+                       for start, end in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"),
+                 pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32())),
+                 pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        run, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
