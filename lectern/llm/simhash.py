@@ -22,6 +22,7 @@ Empty tables give empty results; very long texts are hashed in pieces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -135,7 +136,11 @@ def near_groups(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     nodes = reliable_checkpoint(
         fingerprints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
-    rooted = nodes.join(near_components(nodes, distance), "fp")
+    return named_groups(nodes.join(near_components(nodes, distance), "fp"))
+
+
+def named_groups(rooted: DataFrame) -> DataFrame:
+    """The groups of rows (fp, doc_id, n, root) that have two rows or more."""
     tops = rooted.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("top"),
         F.sum("n").alias("members")).where("members > 1")
@@ -160,8 +165,13 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     The fingerprints are taken twice rather than stored beside the texts.
     """
     rows = docs.select("doc_id", fingerprint("text").alias("fp"))
-    joined = with_groups(docs.select(packed(docs), "doc_id", fingerprint("text").alias("fp")),
-                         near_groups(rows, distance), "fp", "n", docs.count())
+    return kept_rows(docs, fingerprint, near_groups(rows, distance))
+
+
+def kept_rows(docs: DataFrame, key: Callable[[str], Column], groups: DataFrame) -> DataFrame:
+    """The documents that stay; ``key`` gives a text's fp."""
+    joined = with_groups(docs.select(packed(docs), "doc_id", key("text").alias("fp")),
+                         groups, "fp", "n", docs.count())
     stays = (F.col("fp") == F.col("keep_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
     alone = joined.withColumn("stays", F.col("keep_fp").isNull() | stays).where("stays")
     return first_of_repeats(alone, "fp", docs.schema).select("row.*")

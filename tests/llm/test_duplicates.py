@@ -7,9 +7,10 @@ from collections import defaultdict
 
 import pytest
 import xxhash
-from helpers import clashing, documents, prose, rows_of
+from helpers import SMALL, clashing, documents, prose, rows_of
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lectern.llm import exact_dedup, simhash
 from lectern.llm.components import components
 
@@ -156,3 +157,32 @@ def test_components(spark, slice_rows):
     found = components(frame, slice_rows).collect()
     assert {(r["node"], r["root"]) for r in found} == {(n, wanted[n]) for n in linked}
     assert components(frame.limit(0)).count() == 0
+
+
+def _five_word_runs(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(
+        c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_the_stage_reaches_similarity(spark):
+    """Copies with words changed here and there, at similarities around 0.8."""
+    draw = random.Random(8)
+    texts = [None, "", "a b", "A  b", "a b c"]
+    for seed in range(40):
+        words = prose(500 + seed, draw.randrange(60, 400)).split()
+        texts.append(" ".join(words))
+        for _ in range(draw.choice([1, 1, 6])):
+            changed = list(words)
+            for _ in range(draw.randrange(1, 2 + len(words) // 40)):
+                changed[draw.randrange(len(words))] = f"new{draw.random()}"
+            texts.append(" ".join(changed))
+    runs = [_five_word_runs(t) for t in texts]
+    roots = _roots([(i, j) for i in range(len(runs)) for j in range(i)
+                    if 5 * len(runs[i] & runs[j]) >= 4 * len(runs[i] | runs[j])],
+                   range(len(runs)))
+    assert len(set(roots.values())) < len(runs) - 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.no_near_copies(spark, clashing(docs), SMALL)
+    assert kept.columns == clashing(docs).columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots.values()))
