@@ -7,10 +7,12 @@ Method: the distinct URLs that rules decide are the accepted and rejected exampl
 each class a variable-order Markov model gives the next character after up to ``ORDER``
 characters: counts of every context length, interpolated by Witten and Bell's smoothing
 (a context seen with many different successors trusts the shorter one more). A URL's score is
-the difference of its log-likelihoods over its length. The cutoff is calibrated on a fifth
-of the examples, left out of the counts: the lowest score that at most ``LOST`` of the
-accepted ones and at most ``CAUGHT`` of the rejected ones reach, and never below zero. The second bound matters
-for URLs unlike any example: they are blocked only if they look like typical rejected ones.
+the difference of its log-likelihoods over its length. Two bounds are calibrated on a fifth
+of the examples, left out of the counts. The cutoff is the lowest score that at most ``LOST``
+of the accepted ones reach, and never below zero. The floor spares URLs unlike any example: a
+URL is blocked only if its likelihood under the likelier model, that of the rejected ones, is
+no less than all but ``LOST`` of the rejected ones have. Host, path, query and fragment are
+scored; rules see host and path.
 
 Characters are folded to ``SYMBOLS`` symbols (letters, one for digits, some marks, one for
 the rest), so a model has at most ``SYMBOLS ** (ORDER + 1)`` numbers whatever the corpus, a
@@ -41,7 +43,7 @@ SYMBOLS = 32
 MARKS = {".": 28, "-": 29, "/": 30}
 REST = 31
 HELD_OUT, FOLDS = 4, 5
-LOST, CAUGHT = 0.01, 0.5
+LOST = 0.01
 STEPS, WIDTH = 256, 1 << 12
 
 
@@ -72,6 +74,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
+def query_and_fragment(url: Column) -> Column:
+    return F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")),
+                            r"^[\s\S]*?://[^?#]*([\s\S]*)", 1)
+
+
 def matched(rules: Sequence[Rule], host: Column, path: Column) -> tuple[Column, Column]:
     """(rule, verdict) of the longest fitting rule, or nulls."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -122,31 +129,35 @@ def log_probabilities(counts: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Log-probability ratios (rejected over accepted) per window, and the cutoff."""
+    """Per window the log-probability ratio (rejected over accepted) and the rejected one's
+    log-probability; the least score (exclusive) and likelihood of a blocked URL."""
 
     ratios: np.ndarray
+    rejected: np.ndarray
     cutoff: float
-
-    def score(self, text: str) -> float:
-        found = windows(text)
-        return float(self.ratios[found].mean(dtype=np.float64)) if len(found) else 0.0
+    floor: float
 
 
-def _scorer(frame: DataFrame, model: Model):
-    shared = frame.sparkSession.sparkContext.broadcast(model)
+def _mean(frame: DataFrame, table: np.ndarray):
+    """The mean of the table's numbers over a text's windows."""
+    shared = frame.sparkSession.sparkContext.broadcast(table)
 
     @F.arrow_udf(T.DoubleType())
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.score(x.as_py() or "") for x in texts], pa.float64())
+    def mean(texts: pa.Array) -> pa.Array:
+        out = []
+        for x in texts:
+            found = windows(x.as_py() or "")
+            out.append(float(shared.value[found].mean(dtype=np.float64)) if len(found) else 0.0)
+        return pa.array(out, pa.float64())
 
-    return score
+    return mean
 
 
 def train(judged: DataFrame) -> Model:
-    """Fits on rows with host, path and verdict (null: undecided)."""
+    """Fits on rows with url (the scored text) and verdict (null: undecided)."""
     examples = (
         judged.where(F.col("verdict").isNotNull())
-        .select(F.concat("host", "path").alias("url"), "verdict").distinct()
+        .select("url", "verdict").distinct()
         .withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS))))
     fitted = examples.where(F.col("fold") != HELD_OUT)
     counted = (  # at most two rows per window
@@ -159,42 +170,50 @@ def train(judged: DataFrame) -> Model:
         table[own["window"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
         tables[verdict] = table.reshape((SYMBOLS,) * (ORDER + 1))
     if not all(table.any() for table in tables.values()):
-        return Model(np.zeros(SYMBOLS ** (ORDER + 1), np.float32), float("inf"))
-    ratios = (log_probabilities(tables["block"]) - log_probabilities(tables["allow"])).astype(
-        np.float32)
-    model = Model(ratios, float("inf"))
-    places = (  # scores in steps, so that few numbers describe any corpus
+        none = np.zeros(SYMBOLS ** (ORDER + 1), np.float32)
+        return Model(none, none, float("inf"), float("inf"))
+    rejected = log_probabilities(tables["block"])
+    ratios = (rejected - log_probabilities(tables["allow"])).astype(np.float32)
+    rejected = rejected.astype(np.float32)
+    value = F.when(F.col("verdict") == "allow", _mean(judged, ratios)("url")).otherwise(
+        _mean(judged, rejected)("url"))
+    places = (  # in steps, so that few numbers describe any corpus
         examples.where(F.col("fold") == HELD_OUT)
         .select("verdict", F.least(F.greatest(
-            F.floor(_scorer(judged, model)("url") * STEPS), F.lit(-WIDTH)), F.lit(WIDTH))
+            F.floor(value * STEPS), F.lit(-WIDTH)), F.lit(WIDTH))
             .alias("step"))
         .groupBy("verdict", "step").agg(F.count("*").alias("n")).collect())
 
-    def at_least(verdict: str, share: float) -> float:
-        """The lowest step such that at most ``share`` of the class lies at or above it."""
+    def bound(verdict: str, order: int) -> int:
+        """The step past which, from the top (-1) or the bottom (1), lie at most ``LOST``."""
         own = sorted(((r["step"], r["n"]) for r in places if r["verdict"] == verdict),
-                     reverse=True)
-        room, last = share * sum(n for _, n in own), WIDTH
+                     key=lambda item: order * item[0])
+        room = LOST * sum(n for _, n in own)
         for step, n in own:
             room -= n
             if room < 0:
-                return (step + 1) / STEPS
-            last = step
-        return last / STEPS
+                return step
+        return WIDTH  # no examples: nothing is blocked
 
-    return Model(ratios, max(0.0, at_least("allow", LOST), at_least("block", CAUGHT)))
+    return Model(ratios, rejected, max(0.0, (bound("allow", -1) + 1) / STEPS),
+                 bound("block", 1) / STEPS)
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (null where a rule decides)."""
     host, path = host_and_path(F.col("url"))
-    split = pages.select("page_id", host.alias("host"), path.alias("path"))
+    split = pages.select("page_id", host.alias("host"), path.alias("path"),
+                         query_and_fragment(F.col("url")).alias("rest"))
     rule, verdict = matched(rules, F.col("host"), F.col("path"))
-    judged = split.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+    judged = split.select(
+        "page_id", "host", "path", F.concat("host", "path", "rest").alias("url"),
+        rule.alias("rule"), verdict.alias("verdict"))
     model = train(judged)
-    own = F.when(F.col("score") > F.lit(model.cutoff), "block").otherwise("allow")
-    scored = judged.withColumn("score", _scorer(pages, model)(F.when(
-        F.col("rule").isNull(), F.concat("host", "path"))))
+    open_ = F.when(F.col("rule").isNull(), F.col("url"))
+    scored = judged.withColumns({"score": _mean(pages, model.ratios)(open_),
+                                 "likelihood": _mean(pages, model.rejected)(open_)})
+    own = F.when((F.col("score") > F.lit(model.cutoff))
+                 & (F.col("likelihood") >= F.lit(model.floor)), "block").otherwise("allow")
     return scored.select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"),
         F.when(F.col("rule").isNull(), F.col("score")).alias("score"))

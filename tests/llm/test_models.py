@@ -94,6 +94,31 @@ def test_language_models_add_up_and_tell_apart(spark):
     assert found[601]["verdict"] == "allow"
 
 
+def test_urls_like_rejected_ones_are_blocked(spark):
+    draw = np.random.default_rng(6)
+
+    def word():
+        return "".join(draw.choice(list("aeioustnrl"), draw.integers(3, 9)))
+
+    good = [f"http://a{i}.org/news/1/{word()}/{i}" for i in range(600)]
+    bad = [f"http://b{i}.org/casino/1/{word()}/{i}" for i in range(600)]
+    like_bad = [f"http://b{i}.org/casino/2/{word()}/{i}" for i in range(500, 600)]
+    like_good = [f"http://a{i}.org/news/2/{word()}/{i}" for i in range(500, 600)]
+    unlike = [f"http://{k}x-{k}q--{k}zz.kk/{k}wq%7Cjj_{k}/xx!{k}vv" for k in range(100)]
+    queries = ["http://h.kk/v", "http://h.kk/v?casino=casino#casino"]
+    urls = good + bad + like_bad + like_good + unlike + queries
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [url_filter.Rule.parse("allow", "org/news/1/"), url_filter.Rule.parse(
+        "block", "org/casino/1/")]
+    found = {r["page_id"]: r for r in url_filter.judge(pages, rules).collect()}
+
+    def blocked(start):
+        return sum(found[i]["verdict"] == "block" for i in range(start, start + 100))
+
+    assert blocked(1200) >= 90 and blocked(1300) <= 1 and blocked(1400) == 0
+    assert found[1501]["score"] > found[1500]["score"]
+
+
 def test_raking_meets_the_targets():
     draw = np.random.default_rng(2)
     cells = {(s, lang, t): float(draw.integers(1, 1000)) for s in "abc" for lang in "de"
