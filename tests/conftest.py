@@ -8,8 +8,6 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 from lectern.session import build_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -2,7 +2,7 @@
 
 import checking
 import pytest
-from conftest import SMALL
+from checking import SMALL
 
 import __spark_entry__ as entry
 from lectern.plans import CHECKS, QUERIES

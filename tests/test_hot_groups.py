@@ -1,7 +1,7 @@
 """Hot keys are cut into slices; results must not change."""
 
 import pytest
-from conftest import SMALL
+from checking import SMALL
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from conftest import SMALL
+from checking import SMALL
 from pyspark.sql import functions as F
 
 from lectern.operators import chapters as ch

@@ -1,7 +1,7 @@
 """Streams give the batch result however the table is stored and in whatever order it comes."""
 
 import pytest
-from conftest import SMALL
+from checking import SMALL
 from pyspark.sql import functions as F
 
 from lectern.plans import QUERIES
