@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import (
-    byte_bpe, chat, exact_dedup, licenses, mixing, quality_model, quality_rules, sharding,
-    simhash, url_filter,
+    byte_bpe, chat, exact_dedup, licenses, merkle, mixing, quality_model, quality_rules,
+    rank_profiles, sharding, simhash, tokenizer_spans, url_filter,
 )
 from lectern.llm.columns import GAP, UPPER
 from lectern.llm.registry import query, table
@@ -197,3 +197,131 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         [(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)],
         "conv_id long, turn long, role string, text string")
     return chat.read_back(chat.formatted(chat.event_log(rows.union(tricky))))
+
+
+@query("op11_tokenizer_spans")
+def op11_tokenizer_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenizer_spans.alignment_report(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+
+
+#: The table of CRC-32, and that of doc_id as text.
+CRC_TABLE = """
+crc_table AS (
+  SELECT b, 0 AS k, b::UBIGINT AS v FROM range(256) AS r(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+  FROM crc_table WHERE k < 8),
+crc_list AS (SELECT list(v ORDER BY b) AS t FROM crc_table WHERE k = 8)"""
+CRC = """xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, [ord(c)::UBIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+    lambda crc, c: xor(crc >> 8, t[(xor(crc, c) & 255)::INT + 1])))"""
+OP12 = f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text,
+    {CRC} % {rank_profiles.FOLDS} = {rank_profiles.HELD_OUT} AS held_out
+  FROM documents, crc_list),
+w AS (
+  SELECT doc_id, any_value(lang) AS lang, held_out, ' ' || word || ' ' AS p, count(*) AS n
+  FROM (SELECT doc_id, lang, held_out,
+    unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM d)
+  GROUP BY doc_id, held_out, word),
+g AS (
+  SELECT doc_id, any_value(lang) AS lang, held_out, gram, sum(n) AS n FROM (
+    SELECT doc_id, lang, held_out, n, unnest(list_concat(
+      p[2:-2].string_split(''),
+      {", ".join(f"[p[i:i + {n - 1}] FOR i IN range(1, length(p) - {n - 2})]"
+                 for n in range(2, rank_profiles.LONGEST + 1))})) AS gram FROM w)
+  GROUP BY doc_id, held_out, gram),
+learned AS (
+  SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) - 1 AS place
+  FROM (SELECT lang, gram, sum(n) AS n FROM g WHERE NOT held_out AND lang IS NOT NULL
+    GROUP BY lang, gram)
+  QUALIFY place < {rank_profiles.PROFILE}),
+own AS (
+  SELECT doc_id, gram, rank() OVER (PARTITION BY doc_id ORDER BY n DESC) - 1 AS place FROM g
+  QUALIFY place < {rank_profiles.PROFILE}),
+sizes AS (SELECT doc_id, count(*) * {rank_profiles.PROFILE} AS most FROM own GROUP BY doc_id),
+nearer AS (
+  SELECT doc_id, lang, sum({rank_profiles.PROFILE}
+    - least(abs(own.place - learned.place), {rank_profiles.PROFILE})) AS n
+  FROM own JOIN learned USING (gram) GROUP BY doc_id, lang),
+distances AS (
+  SELECT s.doc_id, l.lang, most - coalesce(n, 0) AS away
+  FROM sizes s CROSS JOIN (SELECT DISTINCT lang FROM learned) l
+  LEFT JOIN nearer USING (doc_id, lang)),
+best AS (
+  SELECT doc_id, list(lang ORDER BY away, lang) AS names, list(away ORDER BY away, lang) AS away
+  FROM distances GROUP BY doc_id)
+SELECT d.doc_id, held_out, coalesce(names[1], '{rank_profiles.UNKNOWN}') AS lang_pred,
+  coalesce(CASE WHEN coalesce(away[2], most) > 0
+    THEN 1.0::DOUBLE - away[1]::DOUBLE / coalesce(away[2], most)::DOUBLE ELSE 0 END, 0)::DOUBLE
+    AS score
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+
+
+@query("op12_rank_profiles", OP12)
+def op12_rank_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    return rank_profiles.language_report(table(spark, folder, "documents"))
+
+
+def _fields(n_chars: str) -> str:
+    return " || ".join(
+        f"coalesce(strlen({value}::VARCHAR) || ':' || {value}, '-')"
+        for value in ("doc_id", "source", "lang", n_chars, "text"))
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Levels (g, lvl, pos, node, n) over leaves (g, pos, node, n)."""
+    return f"""
+{name} AS (
+  SELECT g, 0 AS lvl, pos, node, n FROM ({leaves})
+  UNION ALL
+  SELECT g, lvl + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 1) // 2
+  FROM {name} WHERE n > 1 GROUP BY g, lvl, pos // 2)"""
+
+
+def _steps(name: str, levels: str, leaves: str) -> str:
+    """The siblings (id, k, step) of leaves (id, g, pos)."""
+    return f"""
+{name} AS (
+  SELECT id, own.lvl AS k, CASE WHEN other.node IS NULL THEN ''
+    WHEN other.pos < own.pos THEN 'L' || other.node ELSE 'R' || other.node END AS step
+  FROM ({leaves}) p JOIN {levels} own ON own.g = p.g AND own.n > 1 AND own.pos = p.pos >> own.lvl
+  LEFT JOIN {levels} other ON other.g = p.g AND other.lvl = own.lvl
+    AND other.pos = xor(own.pos, 1::BIGINT))"""
+
+
+OP13 = f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, sha256({_fields("n_chars")}) AS leaf,
+    CASE WHEN {CRC} % {merkle.TAMPER} = 0 THEN sha256({_fields("(n_chars + 1)")}) END AS changed,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM documents, crc_list),
+{_tree("low", "SELECT g, pos, leaf AS node, n FROM d")},
+tops AS (
+  SELECT g AS lang, node, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n
+  FROM low WHERE n = 1),
+{_tree("high", "SELECT 0 AS g, pos, node, n FROM tops")},
+{_steps("inner_steps", "low", "SELECT doc_id AS id, g, pos FROM d")},
+{_steps("outer_steps", "high", "SELECT lang AS id, 0 AS g, pos FROM tops")},
+steps AS (
+  SELECT id AS doc_id, k, step FROM inner_steps
+  UNION ALL SELECT doc_id, 1000 + k, step FROM outer_steps JOIN d ON d.g = id),
+paths AS (SELECT doc_id, list(step ORDER BY k) AS path FROM steps GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, leaf, tops.node AS subroot, high.node AS root,
+    sha256(array_to_string([s[2:] FOR s IN path], '')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(changed, leaf), path), lambda a, s:
+      CASE WHEN s[1] = 'L' THEN sha256(s[2:] || a) ELSE sha256(a || s[2:]) END) AS folded_root
+  FROM d JOIN tops ON tops.lang = d.g JOIN high ON high.n = 1
+  LEFT JOIN (SELECT doc_id, path FROM paths) p ON p.doc_id = d.doc_id)
+SELECT *, folded_root = root AS verified FROM f"""
+
+
+@query("op13_merkle_manifest", OP13)
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.proof_report(table(spark, folder, "documents"))
