@@ -33,9 +33,11 @@ def small(frame: DataFrame, rows: int) -> DataFrame:
 
 def slice_hot_groups(
     frame: DataFrame, keys: Sequence[str], order: Sequence[str], at_most: int | None = None
-) -> tuple[DataFrame, bool]:
+) -> tuple[DataFrame, int]:
     """Add ``_slice`` so that (keys, _slice) is bounded and slices follow ``order``.
 
+    Also gives a bound of the number of (key, slice) of hot keys, 0 if none is hot.
+
     ``at_most`` is a known upper bound of the row count; it saves counting the frame
     where no group can be hot anyway.
 
@@ -46,20 +48,21 @@ def slice_hot_groups(
     limit = rows_per_group(frame)
     plain = frame.withColumn(SLICE, F.lit(0))
     if (frame.count() if at_most is None else at_most) <= limit:
-        return plain, False
+        return plain, 0
     hot = reliable_checkpoint(
         frame.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit))
     hot_keys, hot_rows = hot.agg(F.count("*"), F.sum("_rows")).first()
     if hot_keys == 0:
-        return plain, False
+        return plain, 0
     marker = small(hot.select(*keys), hot_keys)  # no more than rows / limit keys
+    slices = max(2, 2 * hot_rows // limit)
     heavy = (
         frame.join(marker, list(keys), "left_semi")
-        .repartitionByRange(max(2, 2 * hot_rows // limit), *keys, *order)
+        .repartitionByRange(slices, *keys, *order)
         .withColumn(SLICE, F.spark_partition_id() + 1)
     )
     cold = frame.join(marker, list(keys), "left_anti").withColumn(SLICE, F.lit(0))
-    return cold.unionByName(reliable_checkpoint(heavy)), True
+    return cold.unionByName(reliable_checkpoint(heavy)), slices + hot_keys
 
 
 def running(
@@ -102,7 +105,7 @@ def running(
             for name in totals
         ])
     )
-    shifted = result.join(F.broadcast(base), [*keys, SLICE], "left").withColumns({
+    shifted = result.join(small(base, hot), [*keys, SLICE], "left").withColumns({
         name: F.col(name) + F.coalesce(F.col(f"_{name}"), F.lit(0)) for name in totals
     })
     return shifted.drop(SLICE, *[f"_{name}" for name in totals])

@@ -56,14 +56,39 @@ def test_queries_with_hot_groups(spark, few_rows_are_hot, name):
     assert message is None, message
 
 
-def test_replay_of_one_hot_fragment(spark, few_rows_are_hot):
-    events = views.action_log(spark, SMALL).withColumn("fragment_id", F.lit(1).cast("long"))
-    rows = replay.replay(events, "fragment_id", ["happened_at", "event_id"]).orderBy(
-        "happened_at", "event_id").collect()
-    state = replay.INITIAL
+@pytest.mark.parametrize("block", [2, 3, 16, 256])
+def test_replay_of_one_hot_fragment(spark, few_rows_are_hot, block):
+    """One fragment of all rows and many small ones, in blocks of blocks of any size."""
+    log = views.action_log(spark, SMALL)
+    events = log.withColumn("fragment_id", F.lit(1).cast("long")).union(
+        log.where("event_id % 3 = 0").withColumn("fragment_id", F.col("fragment_id") + 2))
+    result = replay.replay(events, "fragment_id", ["happened_at", "event_id"], block=block)
+    rows = result.orderBy("fragment_id", "happened_at", "event_id").collect()
+    assert len(rows) == events.count()
+    state, fragment = None, None
     for row in rows:
-        assert row["from_state"] == state
+        if row["fragment_id"] != fragment:
+            state, fragment = replay.INITIAL, row["fragment_id"]
         moved = replay.TRANSITIONS[row["action"]].get(state)
-        assert row["legal"] == (moved is not None)
+        assert (row["from_state"], row["legal"]) == (state, moved is not None)
         state = moved or state
         assert row["to_state"] == state
+
+
+def test_replay_stays_in_the_jvm(spark):
+    for name in ("state_replay", "bad_transitions"):
+        plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_unknown_actions_and_empty_logs(spark):
+    events = spark.createDataFrame(
+        [(1, 1, "start"), (1, 2, "fly"), (1, 3, None), (1, 4, "complete"), (None, 1, "start")],
+        "f long, k long, action string")
+    rows = {(r["f"], r["k"]): (r["from_state"], r["to_state"], r["legal"])
+            for r in replay.replay(events, "f", ["k"]).collect()}
+    assert rows == {
+        (1, 1): ("pending", "generating", True), (1, 2): ("generating", "generating", False),
+        (1, 3): ("generating", "generating", False), (1, 4): ("generating", "ready", True),
+        (None, 1): ("pending", "generating", True)}
+    assert replay.replay(events.limit(0), "f", ["k"]).count() == 0
