@@ -1,8 +1,8 @@
 """Language identification by rank-order n-gram profiles and out-of-place distance.
 
 Words are runs of letters in lower case, padded with a blank on each side; n-grams have 1 to
-``LONGEST`` characters of a padded word, the lone blank left out. A language's profile is
-its ``PROFILE`` most frequent n-grams over all texts to learn from (ties by code points); an
+3 characters of a padded word, the lone blank left out. A language's profile is its
+``PROFILE`` most frequent n-grams over all texts to learn from (ties by code points); an
 n-gram's rank is its place. A document's rank of an n-gram is the number of its n-grams that
 are more frequent, and its profile holds the n-grams of a rank below ``PROFILE``.
 
@@ -11,31 +11,39 @@ place, ``PROFILE`` where the language's profile lacks it or if that is less. The
 the least distance is predicted, of equal ones the first by name. The score is the lead over
 the second, ``1 - least / second``; with one language, ``1 - least / most possible``.
 
+An n-gram is one number of three code points of 21 bits, so its order is that of the texts.
+Each position of the padded words gives one number of three; sorted, their common beginnings
+give the counts of the shorter ones.
+
 A null text and one without letters are ``und`` with score 0, and so is every text if nothing
 could be learned. A null doc_id counts as an empty text in the choice of rows; repeated rows
-count each time; very long texts are read whole. Counting combines within a task, whose
-tables are bounded, and again before the shuffle; only the ``PROFILE`` first of a language
-leave a task for the ranking. The profiles, at most ``LANGUAGES`` times ``PROFILE`` rows, are
-broadcast; more languages are an error. Extra columns do not matter.
+count each time; very long texts are read whole, ``PIECE`` letters at a time. A task combines
+its counts before the shuffle, and only the ``PROFILE`` first of a language leave it for the
+ranking. The profiles, at most ``LANGUAGES`` times ``PROFILE`` rows, are broadcast; more
+languages are an error. Extra columns do not matter.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.columns import small_batches
+
 PROFILE = 400
-LONGEST = 5
+LONGEST = 3
 LANGUAGES = 2_000
 UNKNOWN = "und"
-#: Bounds of the tables that a task holds while it counts or predicts.
-WORDS, GRAMS = 100_000, 1_000_000
+#: Characters that are counted at once.
+PIECE = 1 << 21
 FOLDS, HELD_OUT = 5, 0
+_BITS, _BLANK = 21, 32
+Counts = tuple[np.ndarray, np.ndarray]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,48 +51,83 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(text, "UTF-8")) % FOLDS == HELD_OUT
 
 
-def _letters():
-    import regex
+@cache
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+
+
+def padded(text: str) -> np.ndarray:
+    """The code points of the words of a text, with one blank after each; empty without any."""
+    # Code points without a character of their own cannot come out of a table.
+    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
+    inside = np.concatenate([_letters()[points], [False]])
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    return np.where(inside, np.append(points, _BLANK), _BLANK)[keep].astype(np.int64)
 
-    return regex.compile(r"\p{L}+")
 
+def _merged(parts: list[Counts]) -> Counts:
+    codes, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
 
-def grams_of(word: str) -> list[str]:
-    """The n-grams of a padded word, repeats included."""
-    padded = f" {word} "
-    end = len(padded)
-    return [padded[k:k + n] for n in range(1, LONGEST + 1) for k in range(end - n + 1)
-            if n > 1 or 0 < k < end - 1]
+
+def _prefixes(codes: np.ndarray, counts: np.ndarray, drop: int) -> Counts:
+    """Counts of the n-grams without their last ``drop`` characters; codes are sorted."""
+    short = codes >> drop * _BITS << drop * _BITS
+    starts = np.flatnonzero(np.append(True, short[1:] != short[:-1]))
+    return short[starts], np.add.reduceat(counts, starts)
+
+
+def grams(words: np.ndarray) -> Counts:
+    """Sorted numbers of the n-grams in padded words, and how often they occur."""
+    line = np.concatenate([[_BLANK], words, [_BLANK]])
+    parts = []
+    for k in range(0, len(words), PIECE):
+        part = line[k:k + PIECE + 2]
+        triples = part[:-2] << 2 * _BITS | part[1:-1] << _BITS | part[2:]
+        parts.append(np.unique(triples, return_counts=True))
+    triples = parts[0] if len(parts) == 1 else _merged(parts)
+    pairs, singles = _prefixes(*triples, 1), _prefixes(*triples, 2)
+    middle = triples[0] >> _BITS & (1 << _BITS) - 1
+    kept = [(triples, middle != _BLANK), (pairs, pairs[0] >> _BITS != (_BLANK << _BITS | _BLANK)),
+            (singles, singles[0] >> 2 * _BITS != _BLANK)]
+    codes = np.concatenate([x[0][keep] for x, keep in kept])
+    counts = np.concatenate([x[1][keep] for x, keep in kept])
+    order = np.argsort(codes)
+    return codes[order], counts[order]
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all rows; each task combines what it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, words = _letters(), {}
+        held: dict[str, list[np.ndarray]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, found in words.items():
-                grams: Counter = Counter()
-                for word, times in found.items():
-                    for gram in grams_of(word):
-                        grams[gram] += times
+            for lang, words in held.items():
+                codes, counts = grams(np.concatenate(words))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(grams)), pa.array(list(grams)),
-                     pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
-            words.clear()
+                    [pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)],
+                    ["lang", "gram", "n"])
+            held.clear()
 
+        size = 0
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
-                own = words.setdefault(lang.as_py(), Counter())
-                own.update(find.findall(text.as_py().lower()))
-                if sum(map(len, words.values())) > WORDS:
+                words = padded(text.as_py())
+                if len(words):
+                    held.setdefault(lang.as_py(), []).append(words)
+                    size += len(words)
+                if size > PIECE:
                     yield from flush()
+                    size = 0
         yield from flush()
 
+    small_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select(
         F.col("lang").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(
+    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n"))
 
 
@@ -98,53 +141,33 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
 class Profiles:
     """Distances of texts to languages; lives inside a task.
 
-    N-grams get numbers, those of profiles first; ``starts`` bounds their places in
-    ``langs`` and ``places``, one entry per language that ranks the n-gram.
+    ``starts`` bounds the places of the sorted n-grams ``known`` in ``langs`` and
+    ``places``, one entry per language that ranks the n-gram.
     """
 
-    def __init__(self, names: list[str], grams: list[str], starts: np.ndarray,
+    def __init__(self, names: list[str], known: np.ndarray, starts: np.ndarray,
                  langs: np.ndarray, places: np.ndarray, size: int) -> None:
-        self.names, self.known, self.size = names, grams, size
+        self.names, self.known, self.size = names, known, size
         self.starts, self.langs, self.places = starts, langs, places
-        self.find = _letters().findall
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers = {gram: k for k, gram in enumerate(self.known)}
-        self.words: dict[str, np.ndarray] = {}
-
-    def _of_word(self, word: str) -> np.ndarray:
-        numbers = self.numbers
-        ids = np.fromiter((numbers.setdefault(gram, len(numbers)) for gram in grams_of(word)),
-                          np.int64)
-        if len(word) <= 32:
-            self.words[word] = ids
-        return ids
-
-    def ranks(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Numbers and ranks of the n-grams in the text's profile; None without letters."""
-        if len(self.words) > WORDS or len(self.numbers) > GRAMS + len(self.known):
-            self._forget()
-        times = Counter(self.find(text.lower()))
-        if not times:
+
+    def ranks(self, text: str) -> Counts | None:
+        """The n-grams in the text's profile and their ranks; None without letters."""
+        words = padded(text)
+        if not len(words):
             return None
-        known = self.words
-        parts = [known[w] if w in known else self._of_word(w) for w in times]
-        weights = np.repeat(np.fromiter(times.values(), np.int64, len(times)),
-                            np.fromiter(map(len, parts), np.int64, len(parts)))
-        ids, place = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = np.bincount(place, weights).astype(np.int64)
+        codes, counts = grams(words)
         rank = len(counts) - np.searchsorted(np.sort(counts), counts, "right")
         near = rank < self.size
-        return ids[near], rank[near]
+        return codes[near], rank[near]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = self.ranks(text or "")
         if found is None or not self.names:
             return UNKNOWN, 0.0
-        ids, rank = found
-        most = self.size * len(ids)
-        inside = ids < len(self.known)
+        codes, rank = found
+        most = self.size * len(codes)
+        ids = np.searchsorted(self.known, codes)
+        inside = np.append(self.known, -1)[ids] == codes
         ids, rank = ids[inside], rank[inside]
         widths = self.starts[ids + 1] - self.starts[ids]
         entries = np.repeat(self.starts[ids] - np.cumsum(widths) + widths, widths) + np.arange(
@@ -166,15 +189,15 @@ def _table(spark, rows: DataFrame, size: int):
         raise ValueError(f"{len(names)} languages; more than {LANGUAGES} are no column of languages")
     number = {name: k for k, name in enumerate(names)}
     found = found.sort_values("gram", kind="stable")
-    grams, counts = np.unique(found["gram"].to_numpy(str), return_counts=True) if len(found) else (
-        np.zeros(0, str), np.zeros(0, np.int64))
+    known, counts = np.unique(found["gram"].to_numpy(np.int64), return_counts=True)
     return spark.sparkContext.broadcast((
-        names, grams.tolist(), np.concatenate([[0], np.cumsum(counts)]),
+        names, known, np.concatenate([[0], np.cumsum(counts)]),
         found["lang"].map(number).to_numpy(np.int64), found["place"].to_numpy(np.int64), size))
 
 
 def predicted(docs: DataFrame, rows: DataFrame, size: int = PROFILE) -> DataFrame:
     """doc_id, lang_pred and score of every document by the profiles ``rows``."""
+    small_batches(docs.sparkSession)
     shared = _table(docs.sparkSession, rows, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,11 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.columns import sliced, small_batches
 from lectern.session import new_folder
 
 SHORT, REMEMBERED = 64, 200_000
-#: Texts of a batch that leaves a task.
-BATCH_BYTES = 4 << 20
 BLANK = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 STORED = """n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<long>,
@@ -171,19 +170,9 @@ class Aligner:
         return found if all(word.whole for word in found) else None
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that their texts have some ``BATCH_BYTES``, or are single."""
-    for batch in batches:
-        sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch["text"]])
-        group = np.cumsum(sizes) // BATCH_BYTES
-        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-        for start, end in zip(edges, edges[1:]):
-            if end > start:
-                yield batch.slice(start, end - start)
-
-
 def _shared(docs: DataFrame, byte_bpe: str, pieces: str):
     """The two vocabularies, fixed files of some megabytes."""
+    small_batches(docs.sparkSession)
     with open(byte_bpe, encoding="utf-8") as first, open(pieces, "rb") as second:
         return docs.sparkSession.sparkContext.broadcast((first.read(), second.read()))
 
@@ -212,7 +201,7 @@ def aligned(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*shared.value)
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             found = [list(groups_of(aligner.words(x.as_py() or "") or [])) for x in batch["text"]]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(found, kind)], ["doc_id", "groups"])
@@ -239,7 +228,7 @@ def digested(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()),
                  pa.list_(pa.int32())]
         names = ["n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"]
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             rows = [row(aligner.words(x.as_py() or "")) for x in batch["text"]]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], *(pa.array(list(column), type=kind)

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -178,14 +179,24 @@ def test_equal_distances_go_to_the_first_name(spark):
     assert {tuple(r)[2:] for r in rank_profiles.language_report(docs).collect()} == {("aa", 0.0)}
 
 
-def test_a_task_that_forgets_predicts_the_same(spark, monkeypatch):
-    learned = rank_profiles.profiles(documents(spark))
-    names = rank_profiles._table(spark, learned, rank_profiles.PROFILE).value
-    texts = [prose(k, 300) for k in range(20)]
-    wanted = [rank_profiles.Profiles(*names).predict(text) for text in texts]
-    monkeypatch.setattr(rank_profiles, "WORDS", 10)
-    model = rank_profiles.Profiles(*names)
-    assert [model.predict(text) for text in texts] == wanted
+def plain_grams(text):
+    counts = Counter()
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        line = f" {word} "
+        for n in (1, 2, 3):
+            counts.update(line[k:k + n] for k in range(len(line) - n + 1))
+    del counts[" "]
+    return counts
+
+
+@pytest.mark.parametrize("piece", [1 << 21, 7])
+def test_grams_of_long_and_short_texts(monkeypatch, piece):
+    monkeypatch.setattr(rank_profiles, "PIECE", piece)
+    for text in (prose(1, 400), "a", "é b", "\U00020000x 1 y_z", "Ab-aB\ncd", "x"):
+        codes, counts = rank_profiles.grams(rank_profiles.padded(text))
+        found = {"".join(chr(c) for c in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if c):
+                 n for code, n in zip(codes.tolist(), counts.tolist())}
+        assert found == dict(plain_grams(text))
 
 
 # --- Merkle manifest ----------------------------------------------------------------------
