@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.rollup import job_rollup
 from lectern.plans import sql
 from lectern.plans.history import REPLAYED
 from lectern.plans.registry import query
+from lectern.session import new_folder
 from lectern.sources import views
 from lectern.streaming import feeds
 
-#: How late a stored event may come; whatever is later ends the run with an error.
-DELAY = "400 days"
+#: How long streams wait for events; later ones are rows of their own, merged by the batch step.
+DELAY = "30 minutes"
+#: How long a fragment without events is remembered.
+TTL = "7 days"
+LEASE = "6 hours"
+PAGE = 1_000
 
 
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,10 +29,6 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("completed_at"), code.alias("code"))
 
 
-def micros(value: Column) -> Column:
-    return F.unix_micros(value)
-
-
 @query("stream_progress", """
 WITH l AS (SELECT user_id, arg_max(event_type, row(ts, event_id)) AS t FROM events GROUP BY 1),
 s AS (SELECT user_id % 20 AS job_id, CASE t WHEN 'purchase' THEN 'ready' WHEN 'error'
@@ -53,7 +54,19 @@ WITH {sql.ATTEMPTS}
 SELECT event_id, fragment_id, code, epoch_us(completed_at) AS completed FROM attempts""")
 def event_feed(spark: SparkSession, folder: str) -> DataFrame:
     return feeds.run_to_folder(_stream(spark, folder), "feed").select(
-        "event_id", "fragment_id", "code", micros(F.col("completed_at")).alias("completed"))
+        "event_id", "fragment_id", "code", F.unix_micros("completed_at").alias("completed"))
+
+
+@query("event_feed_pages", f"""
+WITH p AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // {PAGE} AS page FROM events),
+g AS (SELECT page, max(event_id) AS last_event, count(*) AS events FROM p GROUP BY page)
+SELECT page, coalesce(lag(last_event) OVER (ORDER BY page), -1) AS cursor, last_event, events FROM g""")
+def event_feed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The feed as a reader with a cursor sees it; the stream is stopped and started again."""
+    root = new_folder(spark, "pages")
+    events = _stream(spark, folder).select("event_id", "fragment_id", "code", "completed_at")
+    feeds.run(events, root)
+    return feeds.feed_pages(feeds.run(events, root).rows(), PAGE)
 
 
 @query("stream_dedup", f"""
@@ -64,8 +77,9 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     times = F.when(F.col("event_id") % 3 == 0, 2).otherwise(1)
     repeated = _stream(spark, folder).withColumn(
         "_copy", F.explode(F.array_repeat(F.lit(0), times))).drop("_copy")
-    once = feeds.without_repeats(repeated, ["fragment_id", "event_id"], DELAY)
-    return feeds.run_to_folder(once, "dedup").select("event_id", "fragment_id", "code")
+    key = ["fragment_id", "event_id"]
+    done = feeds.run(feeds.without_repeats(repeated, key, DELAY), new_folder(spark, "dedup"))
+    return feeds.all_deliveries(done, key).select("event_id", "fragment_id", "code")
 
 
 def _rates_sql(span: str, slide_hours: int, copies: int) -> str:
@@ -80,9 +94,7 @@ FROM w GROUP BY s"""
 
 def _rates(spark: SparkSession, folder: str, span: str, slide: str | None) -> DataFrame:
     rates = feeds.outcome_rates(_stream(spark, folder), DELAY, span, slide)
-    rows = feeds.run_upserts(rates, ["window_start", "window_end"], "rates")
-    return rows.withColumns({
-        "window_start": micros(F.col("window_start")), "window_end": micros(F.col("window_end"))})
+    return feeds.all_rates(feeds.run(rates, new_folder(spark, "rates")))
 
 
 @query("stream_rates", _rates_sql("1 DAY", 24, 1))
@@ -104,11 +116,8 @@ SELECT user_id AS fragment_id, epoch_us(min(ts)) AS session_start,
   epoch_us(max(ts) + INTERVAL 6 HOUR) AS silent_from, count(*) AS beats
 FROM n GROUP BY user_id, nth""")
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    sessions = feeds.worker_sessions(_stream(spark, folder), DELAY, "6 hours")
-    rows = feeds.run_complete(sessions, "sessions")
-    return rows.withColumns({
-        "session_start": micros(F.col("session_start")),
-        "silent_from": micros(F.col("silent_from"))})
+    sessions = feeds.worker_sessions(_stream(spark, folder), DELAY, LEASE)
+    return feeds.all_sessions(feeds.run(sessions, new_folder(spark, "sessions")), LEASE)
 
 
 @query("stream_replay", f"""
@@ -117,5 +126,6 @@ def stream_replay(spark: SparkSession, folder: str) -> DataFrame:
     events = feeds.stream_table(spark, folder, "events").select(
         F.col("user_id").alias("fragment_id"), "event_id",
         F.col("ts").cast("timestamp").alias("happened_at"), views.action_column().alias("action"))
-    judged = feeds.run_replay(events, "fragment_id", ["happened_at", "event_id"], "replay")
-    return judged.select("fragment_id", "event_id", "action", "from_status", "legal")
+    done = feeds.run(feeds.judged_events(events, DELAY, TTL), new_folder(spark, "replay"))
+    return feeds.all_judged(done).select(
+        "fragment_id", "event_id", "action", "from_status", "legal")

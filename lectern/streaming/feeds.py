@@ -1,23 +1,34 @@
 """Live versions of the batch jobs with Structured Streaming.
 
-Nothing is lost in silence: rows that a watermark drops are counted and end the run with
-an error, windows and sessions that are still open are part of the result, and a replay
-does not depend on the order in which events arrive.
+Every job has two parts. The stream keeps state for no longer than its delay, gives each
+window, session or judged event out once, and gives out what came too late as rows of their
+own. The batch step, over what the stream wrote and over the state that is still open, merges
+the late rows: sums add up, sessions join, deliveries are looked up, and fragments with late
+events are judged anew. Its result is that of a batch over all rows, in whatever order and in
+however many batches they came, and only what late rows touch is worked on again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from lectern.operators.replay import replay
+from lectern.operators.hot_groups import numbered
+from lectern.operators.replay import replay, status_of
 from lectern.session import new_folder, use_utc
+from lectern.streaming.stateful import Deliveries, Replay, Sessions, WindowCounts
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BYTES_PER_TRIGGER = str(8 << 30)
-BUCKETS = 64
+#: Buckets of keys per task of a stream that remembers deliveries.
+BUCKETS_PER_TASK = 8
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,39 +47,70 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run_all(writer: DataStreamWriter, spark: SparkSession) -> None:
-    """Process all present input with RocksDB state; rows too late to count are an error."""
+@contextmanager
+def _stream_settings(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB, in no more partitions than twice the cores."""
+    most = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+               2 * spark.sparkContext.defaultParallelism)
     wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-              "spark.sql.streaming.numRecentProgressUpdates": "1000000"}
+              "spark.sql.shuffle.partitions": str(most)}
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
     try:
-        query = writer.trigger(availableNow=True).start()
+        yield
     finally:
         for name, value in before.items():
             if value is None:
                 spark.conf.unset(name)
             else:
                 spark.conf.set(name, value)
-    query.awaitTermination()
-    late = sum(operator.numRowsDroppedByWatermark for progress in query.recentProgress
-               for operator in progress.stateOperators)
-    if late:
-        raise ValueError(f"{late} rows came later than the watermark allows")
+
+
+def run_all(writer: DataStreamWriter, spark: SparkSession) -> None:
+    """Process all present input."""
+    with _stream_settings(spark):
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+
+@dataclass(frozen=True)
+class Run:
+    """A stream's folder: what it wrote, its checkpoint, and the state at its end."""
+
+    spark: SparkSession
+    root: str
+    schema: T.StructType
+
+    def rows(self, kind: str | None = None) -> DataFrame:
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.root}/rows")
+        return rows if kind is None else rows.where(F.col("kind") == kind)
+
+    def state(self, name: str) -> DataFrame:
+        """Key and value of every entry, from the checkpoint, as a written table."""
+        path = new_folder(self.spark, f"state-{name}")
+        with _stream_settings(self.spark):
+            self.spark.read.format("statestore").option("stateVarName", name).load(
+                f"{self.root}/checkpoint").drop("partition_id").write.parquet(path)
+        return self.spark.read.parquet(path)
+
+
+def run(stream: DataFrame, root: str) -> Run:
+    """Run an append stream over all input that its checkpoint below ``root`` has not seen."""
+    writer = stream.writeStream.outputMode("append").format("parquet").option(
+        "checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/rows")
+    if "kind" in stream.columns:
+        writer = writer.partitionBy("kind")
+    run_all(writer, stream.sparkSession)
+    return Run(stream.sparkSession, root, stream.schema)
 
 
 def run_to_folder(stream: DataFrame, label: str) -> DataFrame:
     """Run an append stream over all present input and read back what it wrote."""
-    spark = stream.sparkSession
-    root = new_folder(spark, label)
-    run_all(stream.writeStream.outputMode("append").format("parquet").option(
-        "checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/rows"), spark)
-    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+    return run(stream, new_folder(stream.sparkSession, label)).rows()
 
 
-def _run_batches(stream: DataFrame, mode: str, label: str) -> DataFrame:
-    """Run a stream; what each batch gives, with its number, as one table.
+def run_upserts(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Run an update stream and keep the newest row of every key.
 
     A batch has a folder of its own that a repeated run of it overwrites.
     """
@@ -78,27 +120,15 @@ def _run_batches(stream: DataFrame, mode: str, label: str) -> DataFrame:
     def add(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
 
-    run_all(stream.writeStream.outputMode(mode).option(
+    run_all(stream.writeStream.outputMode("update").option(
         "checkpointLocation", f"{root}/checkpoint").foreachBatch(add), spark)
-    return spark.read.schema(T.StructType(
+    changes = spark.read.schema(T.StructType(
         [*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/rows")
-
-
-def run_upserts(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Run an update stream and keep the newest row of every key, open windows included."""
-    changes = _run_batches(stream, "update", label)
     rest = [name for name in stream.columns if name not in keys]
     return changes.groupBy(*keys).agg(
         F.max_by(F.struct(*rest), "batch").alias("newest")).select(*keys, "newest.*")
 
 
-def run_complete(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream whose last batch holds the whole result."""
-    rows = _run_batches(stream, "complete", label)
-    last = rows.agg(F.max("batch")).scalar()
-    return rows.where(F.col("batch") == last).drop("batch")
-
-
 def latest_states(events: DataFrame) -> DataFrame:
     """Running latest status per fragment, for ``job_id``, ``fragment_id``."""
     return events.groupBy("job_id", "fragment_id").agg(
@@ -116,65 +146,128 @@ def feed_page(events: DataFrame, cursor: int, limit: int) -> DataFrame:
     return events.where(F.col("event_id") > cursor).orderBy("event_id").limit(limit)
 
 
+def feed_pages(events: DataFrame, size: int) -> DataFrame:
+    """All pages of a feed: the cursor that each is asked with, its last event, its rows."""
+    placed = numbered(events.select(F.lit(0).alias("feed"), "event_id"), ["feed"], ["event_id"],
+                      "place")
+    pages = placed.groupBy(F.expr(f"(place - 1) div {size}").alias("page")).agg(
+        F.max("event_id").alias("last_event"), F.count("*").alias("events"))
+    before = pages.select((F.col("page") + 1).alias("page"), F.col("last_event").alias("cursor"))
+    return pages.join(before, "page", "left").select(
+        "page", F.coalesce("cursor", F.lit(-1)).alias("cursor"), "last_event", "events")
+
+
+def micros(text: str) -> int:
+    """A span such as ``30 minutes`` in microseconds."""
+    return round(pd.Timedelta(text).total_seconds() * 1_000_000)
+
+
+def _at(column: str) -> Column:
+    return F.unix_micros(column).alias("at")
+
+
 def without_repeats(events: DataFrame, key: list[str], delay: str) -> DataFrame:
-    """First delivery of every key within the watermark."""
-    return events.withWatermark("completed_at", delay).dropDuplicatesWithinWatermark(key)
+    """First deliveries within the delay, and late rows, of events with ``completed_at``."""
+    spark = events.sparkSession
+    buckets = BUCKETS_PER_TASK * min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                     2 * spark.sparkContext.defaultParallelism)
+    kinds = [events.schema[name].dataType.simpleString() for name in key]
+    rows = events.withWatermark("completed_at", delay).select(
+        F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("bucket"),
+        *[name for name in events.columns if name != "completed_at"], _at("completed_at"))
+    fields = [f"{field.name} {field.dataType.simpleString()}" for field in rows.schema.fields
+              if field.name != "bucket"]
+    return rows.groupBy("bucket").transformWithStateInPandas(
+        Deliveries(key, kinds, micros(delay)), ", ".join([*fields, "kind string"]),
+        "append", "eventTime")
+
+
+def all_deliveries(done: Run, key: list[str]) -> DataFrame:
+    """One row per key, late ones included."""
+    first = done.rows("first")
+    late = done.rows("late").dropDuplicates(key).join(first.select(*key), key, "left_anti")
+    return first.unionByName(late).drop("kind")
 
 
 def outcome_rates(events: DataFrame, delay: str, span: str, slide: str | None = None) -> DataFrame:
-    """Attempts, failures and retryable outcomes per tumbling or sliding window."""
-    return (
-        events.withWatermark("completed_at", delay)
-        .groupBy(F.window("completed_at", span, slide or span).alias("w"))
-        .agg(F.count("*").alias("attempts"),
-             F.count_if(F.col("code") == "failed").alias("failures"),
-             F.count_if(F.col("code").isin("transcript_mismatch", "audio_warning"))
-             .alias("retries"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                "attempts", "failures", "retries")
-    )
+    """Attempts, failures and retryable outcomes per tumbling or sliding window.
+
+    Batches of rows are summed before they are shuffled, so that no window is one task's work.
+    """
+    length, step = micros(span), micros(slide or span)
+    at = F.unix_micros("completed_at")
+    starts = F.array(*[(F.floor(at / step) - k) * step for k in range(length // step)])
+    rows = events.withWatermark("completed_at", delay).select(
+        F.explode(starts).alias("window_start"),
+        (F.col("code") == "failed").cast("long").alias("failures"),
+        F.col("code").isin("transcript_mismatch", "audio_warning").cast("long").alias("retries"))
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = batch.assign(attempts=1).groupby("window_start", as_index=False).sum()
+            yield found.assign(window_end=found["window_start"] + length)[
+                ["window_start", "window_end", *WindowCounts.SUMS]]
+
+    partial = rows.mapInPandas(summed, "window_start bigint, window_end bigint, " + ", ".join(
+        f"{name} bigint" for name in WindowCounts.SUMS))
+    return partial.groupBy("window_start", "window_end").transformWithStateInPandas(
+        WindowCounts(), WindowCounts.SCHEMA, "append", "eventTime")
+
+
+def all_rates(done: Run) -> DataFrame:
+    """Every window with all its rows: closed and open ones, and late rows."""
+    names = ["window_start", "window_end", *WindowCounts.SUMS]
+    open_ = done.state("counts").select("key.*", "value.*").select(*names)
+    return done.rows().select(*names).unionByName(open_).groupBy(*names[:2]).agg(
+        *[F.sum(name).alias(name) for name in WindowCounts.SUMS])
 
 
 def worker_sessions(events: DataFrame, delay: str, lease: str) -> DataFrame:
     """Stretches of signs of life; a worker is silent once its lease runs out."""
+    rows = events.withWatermark("completed_at", delay).select("fragment_id", _at("completed_at"))
+    return rows.groupBy("fragment_id").transformWithStateInPandas(
+        Sessions(micros(lease)), Sessions.SCHEMA, "append", "eventTime")
+
+
+def all_sessions(done: Run, lease: str) -> DataFrame:
+    """Closed and open sessions, joined where late signs of life bridge or extend them."""
+    names = ["fragment_id", "started", "last", "beats"]
+    open_ = done.state("open").select("key.*", "list_element.*").select(*names)
+    order = Window.partitionBy("fragment_id").orderBy("started", "last")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.col("started") >= F.max("last").over(before) + micros(lease), F.lit(True))
     return (
-        events.withWatermark("completed_at", delay)
-        .groupBy("fragment_id", F.session_window("completed_at", lease).alias("w"))
-        .agg(F.count("*").alias("beats"))
-        .select("fragment_id", F.col("w.start").alias("session_start"),
-                F.col("w.end").alias("silent_from"), "beats")
-    )
+        done.rows().select(*names).unionByName(open_).withColumn("starts", apart.cast("int"))
+        .withColumn("session", F.sum("starts").over(order)).groupBy("fragment_id", "session")
+        .agg(F.min("started").alias("session_start"),
+             (F.max("last") + micros(lease)).alias("silent_from"), F.sum("beats").alias("beats"))
+        .drop("session"))
+
 
+def judged_events(actions: DataFrame, delay: str, ttl: str) -> DataFrame:
+    """Events of (fragment_id, event_id, happened_at, action) judged in order, and late ones."""
+    rows = actions.withWatermark("happened_at", delay).select(
+        "fragment_id", "event_id", _at("happened_at"), "action")
+    return rows.groupBy("fragment_id").transformWithStateInPandas(
+        Replay(micros(ttl)), Replay.SCHEMA, "append", "eventTime")
 
-def run_replay(actions: DataFrame, key: str, order: list[str], label: str) -> DataFrame:
-    """Every event with its state and whether it was allowed, in whatever order they came.
 
-    A batch is added to a bucketed log; then the fragments it touches are folded anew
-    from their whole history by the batch operator, which cuts hot ones into slices. The
-    newest folding of a fragment counts. No state is kept that could expire.
+def all_judged(done: Run) -> DataFrame:
+    """Every event as the batch judges it.
+
+    Fragments are judged anew, by the batch operator, if they have late events, events that
+    the watermark has not reached, or a second beginning; all others stand as they are.
     """
-    spark = actions.sparkSession
-    root = new_folder(spark, label)
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-    judged = [*actions.schema.fields, T.StructField("legal", T.BooleanType()), *[
-        T.StructField(name, T.StringType())
-        for name in ("from_state", "to_state", "from_status", "to_status")]]
-
-    def read(path: str, *fields: T.StructField) -> DataFrame:
-        return spark.read.schema(T.StructType(
-            [*fields, T.StructField("batch", T.LongType())])).parquet(f"{root}/{path}")
-
-    def fold(batch: DataFrame, number: int) -> None:
-        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy(
-            "bucket").parquet(f"{root}/log/batch={number}")
-        log = read("log", *actions.schema.fields, T.StructField("bucket", T.IntegerType()))
-        touched = log.where(F.col("batch") == number).select("bucket", key).distinct()
-        history = log.where(F.col("batch") <= number).join(touched, ["bucket", key], "left_semi")
-        replay(history.select(*actions.columns), key, order).write.mode("overwrite").parquet(
-            f"{root}/judged/batch={number}")
-
-    run_all(actions.writeStream.option(
-        "checkpointLocation", f"{root}/checkpoint").foreachBatch(fold), spark)
-    rows = read("judged", *judged)
-    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return rows.join(newest, [key, "batch"]).drop("batch")
+    names = ["fragment_id", "event_id", "at", "action"]
+    judged, late = done.rows("judged"), done.rows("late").select(*names)
+    waiting = done.state("pending").select("key.*", "list_element.*").select(*names)
+    again = judged.where("begins").groupBy("fragment_id").count().where("count > 1")
+    touched = late.select("fragment_id").union(waiting.select("fragment_id")).union(
+        again.select("fragment_id")).distinct()
+    anew = judged.select(*names).unionByName(late).unionByName(waiting).join(
+        touched, "fragment_id", "left_semi")
+    states = ["from_state", "to_state", "legal"]
+    fine = judged.join(touched, "fragment_id", "left_anti").select(*names, *states)
+    return fine.unionByName(replay(anew, "fragment_id", ["at", "event_id"]).select(
+        *names, *states)).withColumns({"from_status": status_of(F.col("from_state")),
+                                       "to_status": status_of(F.col("to_state"))})
