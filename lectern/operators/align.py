@@ -1,4 +1,13 @@
-"""Word alignment of an expected text and a transcript."""
+"""Word alignment of an expected text and a transcript.
+
+The alignment is a cheapest one, every substitution, deletion and insertion costing one; of
+these it has the most matches, so that the four counts do not depend on the way it is found.
+There is one way, for texts of every length: rows of the edit table, within a band of
+diagonals that the cost shows to be wide enough, so that work is length times errors. Counts
+need one row at a time and follow from the last cell. For the path the expected words are
+halved where the rows from both ends first meet at the least cost, until ``FEW`` words are
+left, whose rows are walked back, pairs before deletions before insertions.
+"""
 
 from __future__ import annotations
 
@@ -11,144 +20,158 @@ from pyspark.sql import functions as F
 
 OPERATION = ("struct<op:string,expected:string,actual:string,"
              "expected_index:int,actual_index:int>")
-KEEP, DROP, ADD = 0, 1, 2
-NEAR = 300  # errors up to which the frontier beats the banded table
+FEW = 48
 
 
-def _steps(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, int]]:
-    """Cheapest edit path as (step, left index, right index), by banded rows.
+def _rows(left: np.ndarray, right: np.ndarray, low: int, high: int, one: int
+          ) -> Iterator[np.ndarray]:
+    """The rows of the edit table on diagonals (right - left index) from low to high.
 
-    Every path crosses the diagonals between its two ends; one that strays ``spare``
-    diagonals further must come back and costs twice that more. The band is widened
-    until the cost found rules such paths out. Work is O(length * errors).
+    A cell is errors times ``one`` less matches; cells off the band are out of reach.
     """
+    far = np.int64(one) * (len(left) + len(right) + 2)
+    width = high - low + 1
+    columns = np.arange(low, high + 1)
+    row = np.where((columns >= 0) & (columns <= len(right)), columns * one, far)
+    ramp = np.arange(width, dtype=np.int64) * one
+    inner = np.concatenate([np.full(max(0, -low), -1), right, np.full(
+        max(0, len(left) + high - len(right)), -1)])
+    shift = max(0, -low)
+    yield row
+    for i, word in enumerate(left):
+        start = i + low + shift  # of the cell's word of the right text, in ``inner``
+        same = inner[start:start + width] == word
+        best = np.minimum(row + np.where(same, -1, one), np.append(row[1:], far) + one)
+        first = -(i + 1 + low)  # the cell of column 0
+        if 0 <= first < width:
+            best[:first], best[first] = far, (i + 1) * one
+        elif first >= width:
+            best[:] = far
+        row = np.minimum.accumulate(best - ramp) + ramp
+        over = len(right) - (i + 1 + low) + 1  # cells beyond the right text
+        if over < width:
+            row[max(over, 0):] = far
+        yield row
+
+
+def _last_row(left: np.ndarray, right: np.ndarray, low: int, high: int, one: int) -> np.ndarray:
+    for row in _rows(left, right, low, high, one):
+        last = row
+    return last
+
+
+def _cost(left: np.ndarray, right: np.ndarray) -> int:
+    """Least errors times (words + 1) less the most matches that these allow."""
     n, m = len(left), len(right)
-    shift = abs(n - m)
-    places = np.arange(m + 1, dtype=np.int32)
-    spare = max(8, (NEAR - shift) // 2)
+    one, shift, spare = n + m + 1, abs(n - m), 8
     while True:
-        below, above_main = min(0, m - n) - spare, max(0, m - n) + spare
-        rows, low = [], 0
-        previous = np.arange(min(m, above_main) + 1, dtype=np.int32)
-        far = np.int32(n + m + 1)
-        for i in range(1, n + 1):
-            first, last = max(0, i + below), min(m, i + above_main)
-            columns = places[first:last + 1]
-            padded = np.full(last - first + 2, far, dtype=np.int32)
-            # Row i-1 shifted so that padded[k] is its cell at column first - 1 + k.
-            start = low - (first - 1)
-            padded[start:start + len(previous)] = previous[:len(padded) - start]
-            above = padded[1:] + 1
-            diagonal = padded[:-1]
-            edge = int(first == 0)
-            diagonal[edge:] += right[first + edge - 1:last] != left[i - 1]
-            diagonal[:edge] = far
-            best = np.minimum(diagonal, above)
-            best = np.minimum.accumulate(best - columns) + columns
-            moved = best != diagonal
-            rows.append((first, moved.astype(np.uint8) + (moved & (best != above))))
-            previous, low = best, first
-        cost = int(previous[m - low])
-        if cost <= shift + 2 * spare + 1:
-            break
-        spare = max((cost - shift) // 2, 2 * spare)
-    path, i, j = [], n, m
-    while i or j:
-        step = rows[i - 1][1][j - rows[i - 1][0]] if i else ADD
-        i, j = i - (step != ADD), j - (step != DROP)
-        path.append((int(step), i, j))
-    return path[::-1]
-
-
-def _frontier(left: list[int], right: list[int]) -> list[tuple[int, int, int]] | None:
-    """The same path by furthest-reaching diagonals, or None beyond ``NEAR`` errors.
-
-    For every number of errors it keeps how far each diagonal (right - left index)
-    can be followed; work is O(length + errors ** 2).
-    """
-    n, m = len(left), len(right)
-    reached: list[dict[int, int]] = []
-    for errors in range(NEAR + 1):
-        last = reached[-1] if reached else {}
-        row = {}
-        for k in range(max(-errors, -n), min(errors, m) + 1):
-            i = 0 if not reached else max(
-                last.get(k, -2) + 1, last.get(k + 1, -2) + 1, last.get(k - 1, -1))
-            i = min(i, n, m - k)
-            if i < 0 or i + k < 0:
-                continue
-            while i < n and i + k < m and left[i] == right[i + k]:
-                i += 1
-            row[k] = i
-        reached.append(row)
-        if row.get(m - n, -1) >= n:
-            break
-    else:
-        return None
-    path, i, k = [], n, m - n
-    for errors in range(len(reached) - 1, 0, -1):
-        last = reached[errors - 1]
-        step, start, came = max(
-            (KEEP, last.get(k, -2) + 1, k), (DROP, last.get(k + 1, -2) + 1, k + 1),
-            (ADD, last.get(k - 1, -1), k - 1), key=lambda item: (item[1], -item[0]))
-        start = min(start, n, m - k)
-        path.extend((KEEP, p, p + k) for p in range(i - 1, start - 1, -1))
-        i, k = start - (step != ADD), came
-        path.append((step, i, i + k))
-    path.extend((KEEP, p, p + k) for p in range(i - 1, -1, -1))
-    return path[::-1]
-
-
-def _codes(expected: list[str], actual: list[str]) -> tuple[list[int], list[int], int, int]:
+        low, high = min(0, m - n) - spare, max(0, m - n) + spare
+        value = int(_last_row(left, right, low, high, one)[m - n - low])
+        errors = -(-value // one)
+        if errors <= shift + 2 * spare + 1:  # paths off the band cost more
+            return value
+        spare = max((errors - shift) // 2, 2 * spare)
+
+
+def _ends(left: np.ndarray, right: np.ndarray) -> tuple[int, int]:
+    """The lengths of the equal head and tail."""
+    shared = min(len(left), len(right))
+    same = left[:shared] == right[:shared]
+    head = shared if same.all() else int(same.argmin())
+    rest = shared - head
+    same = left[len(left) - rest:][::-1] == right[len(right) - rest:][::-1]
+    return head, rest if same.all() else int(same.argmin())
+
+
+def _walked_back(left: np.ndarray, right: np.ndarray, low: int, high: int, one: int
+                 ) -> list[tuple[int, int]]:
+    rows = list(_rows(left, right, low, high, one))
+    i, j, found = len(left), len(right), []
+    while i and j:
+        value, k = rows[i][j - i - low], j - i - low
+        if value == rows[i - 1][k] + (-1 if left[i - 1] == right[j - 1] else one):
+            i, j = i - 1, j - 1
+            found.append((i, j))
+        elif k + 1 < len(rows[i]) and value == rows[i - 1][k + 1] + one:
+            i -= 1
+        else:
+            j -= 1
+    return found
+
+
+def _pairs(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs of indices that the alignment matches or substitutes."""
+    one = len(left) + len(right) + 1
+    found = []
+    work = [(0, len(left), 0, len(right), -(-_cost(left, right) // one))]
+    while work:
+        a, b, c, d, errors = work.pop()
+        head, tail = _ends(left[a:b], right[c:d])
+        found += [(a + k, c + k) for k in range(head)]
+        found += [(b - k, d - k) for k in range(tail, 0, -1)]
+        a, b, c, d = a + head, b - tail, c + head, d - tail
+        n, m = b - a, d - c
+        if n == 0 or m == 0:
+            continue
+        spare = (errors - abs(n - m)) // 2
+        low, high = min(0, m - n) - spare, max(0, m - n) + spare
+        if n <= FEW:
+            found += [(a + i, c + j) for i, j in _walked_back(
+                left[a:b], right[c:d], low, high, one)]
+            continue
+        middle = n // 2
+        down = _last_row(left[a:a + middle], right[c:d], low, high, one)
+        up = _last_row(left[a + middle:b][::-1], right[c:d][::-1], m - n - high, m - n - low,
+                       one)[::-1]
+        best = int(np.argmin(down + up))
+        cut = c + middle + low + best
+        work += [(a, a + middle, c, cut, -(-int(down[best]) // one)),
+                 (a + middle, b, cut, d, -(-int(up[best]) // one))]
+    return sorted(found)
+
+
+def _codes(expected: list[str], actual: list[str]) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Words as numbers and the lengths of the equal head and tail."""
     known: dict[str, int] = {}
-    left, right = ([known.setdefault(word, len(known)) for word in words]
+    left, right = (np.fromiter((known.setdefault(word, len(known)) for word in words), np.int64)
                    for words in (expected, actual))
-    shared = min(len(left), len(right))
-    head = next((k for k in range(shared) if left[k] != right[k]), shared)
-    tail = next((k for k in range(shared - head) if left[-1 - k] != right[-1 - k]),
-                shared - head)
-    return left, right, head, tail
-
-
-def _middle(left: list[int], right: list[int]) -> list[tuple[int, int, int]]:
-    path = _frontier(left, right) if abs(len(left) - len(right)) <= NEAR else None
-    if path is None:
-        path = _steps(np.array(left, dtype=np.int32), np.array(right, dtype=np.int32))
-    return path
+    return left, right, *_ends(left, right)
 
 
 def count_edits(expected: list[str], actual: list[str]) -> tuple[int, int, int, int]:
-    """Matches, substitutions, deletions, insertions of a cheapest alignment."""
+    """Matches, substitutions, deletions, insertions."""
     left, right, head, tail = _codes(expected, actual)
     a, b = left[head:len(left) - tail], right[head:len(right) - tail]
-    path = _middle(a, b)
-    kept = sum(a[i] == b[j] for step, i, j in path if step == KEEP)
-    dropped = sum(step == DROP for step, _, _ in path)
-    added = sum(step == ADD for step, _, _ in path)
-    return head + tail + kept, len(path) - kept - dropped - added, dropped, added
+    value, one = _cost(a, b), len(a) + len(b) + 1
+    errors = -(-value // one)
+    matches = errors * one - value
+    added = matches - len(a) + errors
+    dropped = added + len(a) - len(b)
+    return head + tail + matches, errors - added - dropped, dropped, added
 
 
 def align_words(expected: list[str], actual: list[str]) -> list[dict]:
     """Operations match, substitution, deletion and insertion with both indices."""
     left, right, head, tail = _codes(expected, actual)
-    middle = _middle(left[head:len(left) - tail], right[head:len(right) - tail])
-    pairs = [(KEEP, k, k) for k in range(head)]
-    pairs += [(step, i + head, j + head) for step, i, j in middle]
-    pairs += [(KEEP, len(left) - k, len(right) - k) for k in range(tail, 0, -1)]
-    result = []
-    for step, i, j in pairs:
-        if step == KEEP:
-            name = "match" if left[i] == right[j] else "substitution"
-        else:
-            name = "deletion" if step == DROP else "insertion"
-        result.append({
-            "op": name,
-            "expected": expected[i] if step != ADD else None,
-            "actual": actual[j] if step != DROP else None,
-            "expected_index": i if step != ADD else None,
-            "actual_index": j if step != DROP else None,
-        })
+    middle = _pairs(left[head:len(left) - tail], right[head:len(right) - tail])
+    pairs = [(k, k) for k in range(head)]
+    pairs += [(i + head, j + head) for i, j in middle]
+    pairs += [(len(left) - k, len(right) - k) for k in range(tail, 0, -1)]
+    result, i, j = [], 0, 0
+
+    def add(op: str, a: int | None, b: int | None) -> None:
+        result.append({"op": op, "expected": None if a is None else expected[a],
+                       "actual": None if b is None else actual[b],
+                       "expected_index": a, "actual_index": b})
+
+    for a, b in [*pairs, (len(left), len(right))]:
+        for k in range(i, a):
+            add("deletion", k, None)
+        for k in range(j, b):
+            add("insertion", None, k)
+        if a < len(left):
+            add("match" if left[a] == right[b] else "substitution", a, b)
+        i, j = a + 1, b + 1
     return result
 
 

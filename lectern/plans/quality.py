@@ -90,6 +90,28 @@ def align_operations(spark: SparkSession, folder: str) -> DataFrame:
         F.count("*").alias("operations"))
 
 
+@query("align_insertions", f"""
+WITH {COUNTED}
+SELECT doc_id, matches, substitutions, 0 AS deletions, deletions AS insertions FROM counted""")
+def align_insertions(spark: SparkSession, folder: str) -> DataFrame:
+    """The other way round: what the transcript lacks is added to it."""
+    return al.edit_counts(_compared(spark, folder), "transcript", "expected").drop("lang")
+
+
+@query("align_substitutions", f"""
+WITH {COMPARED},
+split AS (SELECT doc_id, string_split(expected, ' ') AS e, string_split(transcript, ' ') AS t
+  FROM compared WHERE dropped = 0)
+SELECT doc_id, i - 1 AS expected_index, i - 1 AS actual_index, e[i] AS expected, t[i] AS actual
+FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM split) WHERE e[i] <> t[i]""")
+def align_substitutions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every replaced word with its place on both sides."""
+    aligned = al.align(_compared(spark, folder), "expected", "transcript")
+    return aligned.select("doc_id", F.explode("alignment").alias("x")).where(
+        "x.op = 'substitution'").select(
+            "doc_id", "x.expected_index", "x.actual_index", "x.expected", "x.actual")
+
+
 @query("wer", f"""
 WITH {COUNTED},
 e AS (SELECT *, substitutions + deletions + insertions AS errors,

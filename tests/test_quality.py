@@ -29,24 +29,52 @@ def distance(left, right):
     return row[-1]
 
 
-@pytest.mark.parametrize("near", [300, 2, 0])
-def test_alignment_is_cheapest_and_whole(monkeypatch, near):
-    monkeypatch.setattr(al, "NEAR", near)
-    random.seed(near)
-    for _ in range(1500):
-        letters = "abcdefgh"[:random.choice([1, 2, 3, 8])]
-        left, right = (random.choices(letters, k=random.randint(0, 14)) for _ in range(2))
+def most_matches(left, right):
+    """Least errors and, with these, the most matches."""
+    row = [(j, 0) for j in range(len(right) + 1)]
+    for i, a in enumerate(left, 1):
+        new = [(i, 0)]
+        for j, b in enumerate(right, 1):
+            paired = row[j - 1]
+            new.append(min((row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1]),
+                           (paired[0], paired[1] - 1) if a == b else (paired[0] + 1, paired[1])))
+        row = new
+    return row[-1][0], -row[-1][1]
+
+
+@pytest.mark.parametrize("seed, longest", [(1, 14), (2, 40), (3, 120)])
+def test_alignment_is_cheapest_and_whole(seed, longest):
+    draw = random.Random(seed)
+    for _ in range(15_000 // longest):
+        letters = "abcdefgh"[:draw.choice([1, 2, 3, 8])]
+        left = draw.choices(letters, k=draw.randint(0, longest))
+        right = draw.choices(letters, k=draw.randint(0, longest))
+        if draw.random() < 0.5:
+            right = [w for w in left if draw.random() < 0.8]
+            right.insert(draw.randint(0, len(right)), "h")
         steps = al.align_words(left, right)
         counts = al.count_edits(left, right)
         names = [s["op"] for s in steps]
         assert counts == tuple(names.count(op) for op in (
             "match", "substitution", "deletion", "insertion"))
-        assert sum(counts[1:]) == distance(left, right)
+        assert (sum(counts[1:]), counts[0]) == most_matches(left, right)
         assert [s["expected"] for s in steps if s["op"] != "insertion"] == left
         assert [s["actual"] for s in steps if s["op"] != "deletion"] == right
         assert all((s["expected"] == s["actual"]) == (s["op"] == "match") for s in steps)
 
 
+def test_long_alignments_are_as_short_ones():
+    """Many errors, and a length that differs by thousands of words, change no rule."""
+    draw = random.Random(4)
+    words = [str(draw.randrange(400)) for _ in range(6_000)]
+    kept = [w for k, w in enumerate(words) if k % 5]
+    assert al.count_edits(words, kept) == (4_800, 0, 1_200, 0)
+    assert al.count_edits(kept, words) == (4_800, 0, 0, 1_200)
+    assert al.count_edits(words, words[:1_000]) == (1_000, 0, 5_000, 0)
+    swapped = ["other" if k % 7 == 3 else w for k, w in enumerate(words)]
+    assert al.count_edits(words, swapped) == (6_000 - 857, 857, 0, 0)
+
+
 def test_alignment_rows(spark):
     frame = spark.createDataFrame([(1, "one two three", "one blue three four"), (2, "", "")],
                                   "i int, e string, a string")
