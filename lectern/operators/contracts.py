@@ -111,3 +111,103 @@ def check_reference(
 
 def audit(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
+
+
+def violations(**rules: Column) -> list[Column]:
+    """Aggregates that count the rows of a pass and those that break each rule."""
+    return [F.count("*").alias("_rows"), *[
+        F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()]]
+
+
+def listed(totals: DataFrame, names: list[str]) -> DataFrame:
+    """One row of totals as rows rule, rows_checked (of ``_rows``), violations."""
+    filled = totals.select(F.coalesce("_rows", F.lit(0)).alias("rows_checked"), *[
+        F.coalesce(name, F.lit(0)).alias(name) for name in names])
+    return filled.select("rows_checked", F.explode(F.create_map(*[
+        part for name in names for part in (F.lit(name), F.col(name))])).alias(
+            "rule", "violations")).select("rule", "rows_checked", "violations")
+
+
+def audit_fragments(fragments: DataFrame, jobs: DataFrame, books: DataFrame) -> DataFrame:
+    """All rules of jobs and their fragments in one pass over either.
+
+    The rules of single fragments are counted on the way to their jobs, where a job's
+    counters, those that are stored, and the numbers of its fragments meet. Counts ride on
+    the aggregation rather than on ``observe``, whose metrics count a row again when a lost
+    task is repeated.
+    """
+    status = F.col("status")
+    kinds = {"pending": status.isin("pending", "generating"), "ready": status == "ready",
+             "warnings": status == "warning", "failed": status == "failed"}
+    single = {
+        "fragment_status": status.isin("pending", "generating", "ready", "warning", "failed"),
+        "fragment_duration": F.col("duration_ms") >= 0,
+        "fragment_samples": F.col("samples") == F.col("duration_ms") * 24}
+    places = fragments.groupBy("job_id", "ordinal").agg(
+        *violations(**single), *[F.count_if(rule).alias(f"_{kind}") for kind, rule in kinds.items()])
+    sums = ["_rows", *single, *[f"_{kind}" for kind in kinds]]
+    per_job = places.groupBy("job_id").agg(
+        *[F.sum(name).alias(name) for name in sums],
+        F.count_if(F.col("_rows") > 1).alias("fragment_ordinal_unique"))
+    rows = jobs.withColumn("_job", F.lit(True)).join(per_job, "job_id", "full_outer").join(
+        books.select("book_id", F.lit(True).alias("_book")).distinct(), "book_id", "left")
+    have = F.col("_job").isNotNull()
+    stored = [F.coalesce(F.col(kind), F.lit(0)) for kind in kinds]
+    derived = [F.coalesce(F.col(f"_{kind}"), F.lit(0)) for kind in kinds]
+    agrees = F.lit(True)
+    for left, right in zip(stored, derived):
+        agrees = agrees & (left == right)
+    of_fragments = [*single, "fragment_ordinal_unique", "fragment_job"]
+    of_jobs = ["job_counters_total", "job_counters_stored", "job_book"]
+    totals = rows.agg(
+        F.sum("_rows").alias("fragments"), F.count_if(have).alias("jobs"),
+        *[F.sum(name).alias(name) for name in (*single, "fragment_ordinal_unique")],
+        F.sum(F.when(~have, F.col("_rows"))).alias("fragment_job"),
+        F.count_if(have & (sum(stored[1:], stored[0]) != F.col("fragments_count")))
+        .alias("job_counters_total"),
+        F.count_if(have & ~agrees).alias("job_counters_stored"),
+        F.count_if(have & F.col("_book").isNull()).alias("job_book"))
+    return listed(totals.withColumnRenamed("fragments", "_rows"), of_fragments).unionByName(
+        listed(totals.withColumnRenamed("jobs", "_rows"), of_jobs))
+
+
+def audit_attempts(attempts: DataFrame) -> DataFrame:
+    """A fragment has one attempt of a number, and numbers are positive."""
+    found = attempts.groupBy("fragment_id", "attempt").agg(F.count("*").alias("n"))
+    return listed(found.agg(
+        F.sum("n").alias("_rows"), F.sum(F.col("n") - 1).alias("attempt_unique"),
+        F.sum(F.when(F.col("attempt") >= 1, 0).otherwise(F.col("n"))).alias("attempt_number")),
+        ["attempt_unique", "attempt_number"])
+
+
+def audit_voices(voices: DataFrame, most: int) -> DataFrame:
+    """Reference audio is there, within its limit, and as long as its row says."""
+    size = F.octet_length("data")
+    rules = {"voice_size": size.between(1, most), "voice_size_stored": size == F.col("size_bytes")}
+    return listed(voices.agg(*violations(**rules)), list(rules))
+
+
+def audit_rewrites(items: DataFrame) -> DataFrame:
+    """Rewritten fragments: counters of a task, and changed texts have a revision."""
+    kinds = ("pending", "completed", "failed")
+    changed = F.col("changed") == F.col("revision_id").isNotNull()
+    done = F.col("status") == "completed"
+    tasks = items.groupBy("task_id").agg(
+        *violations(rewrite_revision=changed, rewrite_unchanged=done | ~F.col("changed")),
+        F.max("fragments_count").alias("fragments_count"),
+        *[F.max(f"stored_{kind}").alias(f"stored_{kind}") for kind in kinds],
+        *[F.count_if(F.col("status") == kind).alias(kind) for kind in kinds])
+    total = F.col("stored_pending") + F.col("stored_completed") + F.col("stored_failed")
+    agrees = F.lit(True)
+    for kind in kinds:
+        agrees = agrees & (F.col(f"stored_{kind}") == F.col(kind))
+    totals = tasks.agg(
+        F.sum("_rows").alias("items"), F.count("*").alias("tasks"),
+        F.sum("rewrite_revision").alias("rewrite_revision"),
+        F.sum("rewrite_unchanged").alias("rewrite_unchanged"),
+        F.count_if(total != F.col("fragments_count")).alias("rewrite_counters_total"),
+        F.count_if(~agrees).alias("rewrite_counters_stored"))
+    return listed(totals.withColumnRenamed("items", "_rows"), [
+        "rewrite_revision", "rewrite_unchanged"]).unionByName(listed(
+            totals.withColumnRenamed("tasks", "_rows"),
+            ["rewrite_counters_total", "rewrite_counters_stored"]))

@@ -178,3 +178,59 @@ def ops_metrics(attempts: DataFrame) -> DataFrame:
         "share": F.round(F.col("attempts") / total, 6),
         "real_time_factor": F.round(F.col("processing_ms") / F.col("audio_ms"), 6),
     })
+
+
+#: Items of a sketch; a quantile's rank is then within 2 % of the rows, and exact up to them.
+SKETCH_ITEMS, RANK_ERROR = 400, 0.02
+
+
+def metric_sketches(attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts, sums and a mergeable sketch of durations per key, combined before the shuffle.
+
+    ``attempts``: keys, processing_ms, audio_ms.
+    """
+    return attempts.groupBy(*keys).agg(
+        F.count("*").alias("attempts"), F.sum("processing_ms").alias("processing_ms"),
+        F.sum("audio_ms").alias("audio_ms"),
+        F.kll_sketch_agg_bigint("processing_ms", F.lit(SKETCH_ITEMS)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for fewer keys, from the sketches alone."""
+    return sketches.groupBy(*keys).agg(
+        *[F.sum(name).alias(name) for name in ("attempts", "processing_ms", "audio_ms")],
+        F.kll_merge_agg_bigint("sketch", F.lit(SKETCH_ITEMS)).alias("sketch"))
+
+
+def with_quantiles(sketches: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Quantiles in place of the sketch."""
+    return sketches.withColumns({
+        name: F.kll_sketch_get_quantile_bigint("sketch", F.lit(share))
+        for name, share in shares.items()}).drop("sketch")
+
+
+def rank_error(attempts: DataFrame, quantiles: DataFrame, keys: list[str], name: str,
+               share: float) -> DataFrame:
+    """How far, as a share of the rows, a quantile of each key is from its rank."""
+    low, high = F.count_if(F.col("processing_ms") < F.col(name)), F.count_if(
+        F.col("processing_ms") <= F.col(name))
+    return attempts.join(quantiles.select(*keys, name), keys).groupBy(*keys).agg(
+        F.greatest(low / F.count("*") - share, share - high / F.count("*"), F.lit(0.0))
+        .alias("rank_error"))
+
+
+def daily_alerts(sketches: DataFrame, most_failures: float, most_retries: float) -> DataFrame:
+    """Failure and retry ratios per day, and which of them is too high.
+
+    ``sketches``: day, status, attempts.
+    """
+    def share(status: str) -> Column:
+        return F.sum(F.when(F.col("status") == status, F.col("attempts")).otherwise(0)) / F.sum(
+            "attempts")
+
+    ratios = sketches.groupBy("day").agg(
+        F.sum("attempts").alias("attempts"), share("failed").alias("failure_ratio"),
+        share("warning").alias("retry_ratio"))
+    return ratios.withColumns({
+        "failures_alert": F.col("failure_ratio") > most_failures,
+        "retries_alert": F.col("retry_ratio") > most_retries})

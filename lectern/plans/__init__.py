@@ -1,7 +1,7 @@
 """Named queries: importing this package registers all of them."""
 
 from lectern.plans import (  # noqa: F401
-    audio, books, history, ingest, live, production, quality, serving,
+    audio, audits, books, history, ingest, live, production, quality, serving,
 )
 from lectern.plans.registry import CHECKS, QUERIES
 
