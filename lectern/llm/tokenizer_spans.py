@@ -12,8 +12,8 @@ those of blank and text, the text has no tokens.
 A text is cut before blanks that follow anything but white space and precede a word. Such a
 cut is one in both tokenizers: A's pattern starts a token there and no piece of B has a
 blank after other characters (checked as the model is read; else texts stay whole). A task
-remembers the aligned words between cuts, up to ``REMEMBERED``; longer ones than ``SHORT``
-are aligned anew.
+remembers the aligned words between cuts, up to ``REMEMBERED``; those of a text that it does
+not know, and words longer than ``SHORT``, are aligned together, as one text.
 
 Pairs of ids: of two tokens that end together one is a suffix of the other, so there are at
 most as many pairs as the lengths of all tokens add up to, whatever the corpus (607,000 for
@@ -56,23 +56,37 @@ def byte_characters() -> dict[str, int]:
 class Word:
     """The alignment of one stretch of text."""
 
-    __slots__ = ("n_a", "n_b", "groups", "pairs", "ends", "whole")
+    __slots__ = ("n_a", "n_b", "groups", "pairs", "whole")
 
-    def __init__(self, n_a: int, n_b: int, groups: bytes, pairs: bytes, ends: bytes,
-                 whole: bool) -> None:
-        self.n_a, self.n_b, self.groups = n_a, n_b, groups
-        self.pairs, self.ends, self.whole = pairs, ends, whole
+    def __init__(self, n_a: int, n_b: int, groups: bytes, pairs: bytes, whole: bool) -> None:
+        self.n_a, self.n_b, self.groups, self.pairs, self.whole = n_a, n_b, groups, pairs, whole
 
 
-def refined(coarse: list[tuple[int, int]], tokens: list[bytes]) -> list[int]:
-    """Token ends in bytes from coarse (start, end) spans and the tokens' own bytes."""
-    ends, at = [], 0
-    for k, ((_, end), token) in enumerate(zip(coarse, tokens)):
-        following = coarse[k + 1][0] if k + 1 < len(coarse) else end
-        by_bytes = at + len(token)
-        at = end if following >= end and end == by_bytes else by_bytes
-        ends.append(at)
-    return ends
+def refined(starts: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Token ends in bytes from coarse spans and the lengths of the tokens' own bytes.
+
+    A span counts if it is not empty and the next token begins where it ends or later; the
+    tokens after it, up to the next such span, follow it by their own bytes.
+    """
+    following = np.append(starts[1:], ends[-1:])
+    anchor = (ends > starts) & (following >= ends)
+    last = np.maximum.accumulate(np.where(anchor, np.arange(len(ends)), -1))
+    by_bytes = np.cumsum(lengths)
+    return np.where(last < 0, by_bytes, ends[last] + by_bytes - by_bytes[last])
+
+
+def byte_places(text: str) -> np.ndarray:
+    """Where each character of a text begins in its bytes, and where the last one ends."""
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    widths = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    return np.concatenate([[0], np.cumsum(widths)])
+
+
+def _texts(size: int, inner: str, last: str) -> np.ndarray:
+    """Ids as text, followed by ``inner``; then, from ``size`` on, by ``last``."""
+    table = np.empty(2 * size, object)
+    table[:] = [f"{k}{mark}".encode() for mark in (inner, last) for k in range(size)]
+    return table
 
 
 class Aligner:
@@ -87,8 +101,9 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=pieces)
         letters = byte_characters()
-        self.a_bytes = {number: bytes(letters[c] for c in token) if set(token) <= letters.keys()
-                        else token.encode() for token, number in self.a.get_vocab().items()}
+        self.a_bytes = [b""] * self.a.get_vocab_size()
+        for token, number in self.a.get_vocab().items():
+            self.a_bytes[number] = bytes(letters[c] for c in token)
         self.b_bytes, self.cuts = [], True
         for number in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(number)
@@ -96,41 +111,62 @@ class Aligner:
             self.b_bytes.append(bytes([int(raw[1], 16)]) if raw
                                 else piece.replace(BLANK, " ").encode())
             self.cuts &= not re.search(rf"[^{BLANK}]{BLANK}", piece)
+        self.a_lengths, self.b_lengths = (np.array([*map(len, tokens)], np.int64)
+                                          for tokens in (self.a_bytes, self.b_bytes))
+        self.a_texts = _texts(len(self.a_bytes), ",", "|")
+        self.b_texts = _texts(len(self.b_bytes), ",", ";")
         self.known: dict[str, Word] = {}
 
     def bound(self) -> int:
         """No corpus has more linked pairs of ids."""
-        return sum(map(len, self.a_bytes.values())) + sum(map(len, self.b_bytes))
+        return int(self.a_lengths.sum() + self.b_lengths.sum())
 
-    def _word(self, text: str, encoding, proto) -> Word:
-        """``text`` without its leading blank, as both tokenizers encode it."""
+    def _align(self, words: list[str]) -> list[Word]:
+        """Both encodings of the words with a blank before each, cut into words again."""
+        text = " ".join(words)
         whole = b" " + text.encode()
-        places = np.concatenate([[0], np.cumsum(np.fromiter(
-            (len(c.encode()) for c in f" {text}"), np.int64))]).tolist()
-        a, b = encoding.ids, [piece.id for piece in proto.pieces]
-        a_tokens, b_tokens = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-        if b"".join(a_tokens) != whole or b"".join(b_tokens) != whole:
-            return Word(0, 0, b"", b"", b"", False)
-        a_ends = refined([(places[s], places[e]) for s, e in encoding.offsets], a_tokens)
-        b_ends = refined([(p.begin + 1, p.end + 1) for p in proto.pieces], b_tokens)
-        at_a, at_b = {end: k for k, end in enumerate(a_ends)}, {
-            end: k for k, end in enumerate(b_ends)}
-        groups, pairs, ends, i, j = [], [], [], 0, 0
-        for end in sorted(at_a.keys() & at_b.keys()):
-            p, q = at_a[end] + 1, at_b[end] + 1
-            groups.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-            pairs.append(a[p - 1] * len(self.b_bytes) + b[q - 1])
-            ends.append(end)
-            i, j = p, q
-        return Word(len(a), len(b), ";".join(groups).encode(), np.array(pairs, "<i8").tobytes(),
-                    np.array(ends, "<i8").tobytes(), True)
+        encoding = self.a.encode(f" {text}", add_special_tokens=False)
+        pieces = self.b.encode(text, return_type="proto").pieces
+        a = np.array(encoding.ids, np.int64)
+        b = np.array([piece.id for piece in pieces], np.int64)
+        if (b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole
+                or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole):
+            if len(words) == 1:
+                return [Word(0, 0, b"", b"", False)]
+            return [found for word in words for found in self._align([word])]
+        places = byte_places(f" {text}")
+        spans = places[np.array(encoding.offsets, np.int64)]
+        a_ends = refined(spans[:, 0], spans[:, 1], self.a_lengths[a])
+        spans = np.array([(piece.begin, piece.end) for piece in pieces], np.int64) + 1
+        b_ends = refined(spans[:, 0], spans[:, 1], self.b_lengths[b])
+
+        cuts = np.zeros(len(whole) + 1, np.int8)
+        cuts[a_ends] += 1
+        cuts[b_ends] += 1
+        a_cut, b_cut = cuts[a_ends] == 2, cuts[b_ends] == 2
+        ends = a_ends[a_cut]
+        pairs = a[a_cut] * len(self.b_bytes) + b[b_cut]
+        # A token stands behind the earlier ones of its side and the other side's of earlier
+        # groups, those of A before those of B.
+        out = np.empty(len(a) + len(b), object)
+        a_before = np.concatenate([[0], np.flatnonzero(a_cut) + 1])
+        b_before = np.concatenate([[0], np.flatnonzero(b_cut) + 1])
+        a_group, b_group = np.cumsum(a_cut) - a_cut, np.cumsum(b_cut) - b_cut
+        out[np.arange(len(a)) + b_before[a_group]] = self.a_texts[a + a_cut * len(self.a_bytes)]
+        out[np.arange(len(b)) + a_before[b_group + 1]] = self.b_texts[b + b_cut * len(self.b_bytes)]
+        sizes = np.fromiter((len(word.encode()) + 1 for word in words), np.int64, len(words))
+        last = np.cumsum(sizes)
+        n_a, n_b, n_groups = ([0, *np.searchsorted(x, last, "right").tolist()]
+                              for x in (a_ends, b_ends, ends))
+        texts = out.tolist()
+        return [Word(n_a[k + 1] - n_a[k], n_b[k + 1] - n_b[k],
+                     b"".join(texts[n_a[k] + n_b[k]:n_a[k + 1] + n_b[k + 1]])[:-1],
+                     pairs[n_groups[k]:n_groups[k + 1]].tobytes(), True)
+                for k in range(len(words))]
 
     def _learn(self, words: list[str]) -> dict[str, Word]:
         """Alignments of words, remembered if they are short."""
-        encoded = self.a.encode_batch([f" {word}" for word in words], add_special_tokens=False)
-        found = {}
-        for word, encoding in zip(words, encoded):
-            found[word] = self._word(word, encoding, self.b.encode(word, return_type="proto"))
+        found = dict(zip(words, self._align(words)))
         if len(self.known) + len(found) > REMEMBERED:
             self.known.clear()
         self.known.update((w, x) for w, x in found.items()
@@ -163,9 +199,14 @@ class Aligner:
             if None in found:
                 stretches = self._stretches(text)
                 found = list(map(get, stretches))
-                missing = list({w for w, x in zip(stretches, found) if x is None})
+                missing = dict.fromkeys(w for w, x in zip(stretches, found) if x is None)
                 if missing:
-                    learned = self._learn(missing)
+                    # One with white space at its end, the text's last, must not meet others.
+                    learned = {}
+                    tail = [w for w in missing if w[-1].isspace()]
+                    for words in ([w for w in missing if not w[-1].isspace()], tail):
+                        if words:
+                            learned |= self._learn(words)
                     found = [x or learned[w] for w, x in zip(stretches, found)]
         return found if all(word.whole for word in found) else None
 
@@ -188,21 +229,19 @@ def aligned(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()),
                                ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
 
-    def groups_of(words: list[Word]) -> Iterator[dict]:
-        base = 0
+    def groups_of(aligner: Aligner, words: list[Word]) -> Iterator[dict]:
+        end = 0
         for word in words:
-            start = base
-            for end, ids in zip(np.frombuffer(word.ends, "<i8").tolist(),
-                                word.groups.decode().split(";")):
+            for ids in word.groups.decode().split(";"):
                 a, b = ([int(k) for k in side.split(",")] for side in ids.split("|"))
-                yield {"start": start, "end": base + end, "a": a, "b": b}
-                start = base + end
-            base = start
+                start, end = end, end + sum(len(aligner.a_bytes[k]) for k in a)
+                yield {"start": start, "end": end, "a": a, "b": b}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*shared.value)
         for batch in sliced(batches):
-            found = [list(groups_of(aligner.words(x.as_py() or "") or [])) for x in batch["text"]]
+            found = [list(groups_of(aligner, aligner.words(x.as_py() or "") or []))
+                     for x in batch["text"]]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(found, kind)], ["doc_id", "groups"])
 
