@@ -99,6 +99,16 @@ def duration_ms(frames: Column, rate: Column) -> Column:
     return F.rint(frames * 1000 / rate).cast("long")
 
 
+def declared_duration_verdict(
+    frames: Column, rate: Column, declared_ms: Column, tolerance_ms: int = 1
+) -> Column:
+    """Whether a declared duration is that of the samples, to ``tolerance_ms``."""
+    return (
+        F.when(declared_ms.isNull() | (declared_ms <= 0), "invalid_duration")
+        .when(F.abs(duration_ms(frames, rate) - declared_ms) > tolerance_ms, "duration_mismatch")
+        .otherwise("ok"))
+
+
 def container_format(data: Column) -> Column:
     """``flac`` or ``wav`` by magic bytes, else NULL."""
     head = F.substring(data, 1, 4)

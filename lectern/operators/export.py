@@ -14,6 +14,8 @@ CHAPTER_MANIFEST_VERSION = "audiobook-single-chapter-flac-archive-v3"
 # A job or chapter may be of any size, so its documents and blobs come in parts.
 PART_FRAGMENTS = 10_000
 PART_SAMPLES = 64 * 1024 * 1024 // 2
+# What can be exported.
+MOST_RATE, MOST_CHANNELS, WIDTH = 655_350, 8, 2
 
 
 def fragment_counts(fragments: DataFrame) -> DataFrame:
@@ -104,6 +106,67 @@ def chapter_manifest(
         .select("job_id", "chapter_number", "part", document.alias("document")))
 
 
+FULL_ENTRY = ("id", "chapter_number", "ordinal", "path", "start_sample", "samples", "text",
+              "stt_text", "status", "attempt", "duration_ms")
+FULL_CHAPTER = ("chapter_number", "title", "fragments_count", "duration_ms", "path",
+                "audio_format", "sample_rate", "channels", "bits_per_sample", "total_samples",
+                "pcm_bytes")
+
+
+def manifest_documents(heads: DataFrame, placed: DataFrame) -> DataFrame:
+    """One document per job, with its chapters, and one per chapter, with its fragments.
+
+    The shape is the same at every size. ``heads``: job_id and the structs book, voice and
+    job. ``placed``: fragments of those jobs with the fields of ``FULL_ENTRY``, their
+    chapter_title, audio_format, sample_rate, channels, bits_per_sample and pcm_bytes. A job's
+    own document has the chapter number 0. Fragments are grouped once, and jobs from chapters.
+    """
+    entry = F.struct("ordinal", F.struct(*FULL_ENTRY).alias("entry"))
+    chapters = placed.groupBy("job_id", "chapter_number").agg(
+        F.array_sort(F.collect_list(entry)).alias("entries"),
+        F.first("chapter_title").alias("title"), F.first("path").alias("path"),
+        F.count("*").alias("fragments_count"), F.sum("duration_ms").alias("duration_ms"),
+        F.sum("samples").alias("total_samples"), F.sum("pcm_bytes").alias("pcm_bytes"),
+        *[F.first(name).alias(name) for name in (
+            "audio_format", "sample_rate", "channels", "bits_per_sample")])
+    chapters = chapters.select("job_id", F.struct(*FULL_CHAPTER).alias("chapter"), F.transform(
+        "entries", lambda row: row["entry"]).alias("fragments"))
+    jobs = chapters.groupBy("job_id").agg(
+        F.array_sort(F.collect_list("chapter")).alias("chapters")).join(heads, "job_id")
+    own = F.to_json(F.struct(F.lit(FULL_MANIFEST_VERSION).alias("version"), "book", "voice",
+                             "job", "chapters"))
+    of_chapter = F.to_json(F.struct(
+        F.lit(CHAPTER_MANIFEST_VERSION).alias("version"), F.lit("chapter").alias("scope"),
+        "chapter", "book", "voice", "job", "fragments"))
+    return jobs.select("job_id", F.lit(0).alias("chapter_number"), own.alias("document")).union(
+        chapters.join(heads, "job_id").select(
+            "job_id", "chapter.chapter_number", of_chapter.alias("document")))
+
+
+def pcm_refusals(fragments: DataFrame) -> DataFrame:
+    """Per chapter why its audio cannot be joined, or ``ok``, and the bytes it would have.
+
+    ``fragments``: job_id, chapter_number, pcm_bytes, sample_rate, channels, sample_width.
+    """
+    frame = F.col("channels") * F.col("sample_width")
+    broken = (F.col("pcm_bytes") <= 0) | (F.col("pcm_bytes") % frame != 0)
+    form = ("sample_rate", "channels", "sample_width")
+    chapters = fragments.groupBy("job_id", "chapter_number").agg(
+        F.sum("pcm_bytes").cast("long").alias("pcm_bytes"),
+        F.count_if(F.coalesce(broken, F.lit(True))).alias("broken"),
+        *[F.min(name).alias(f"least_{name}") for name in form],
+        *[F.max(name).alias(f"most_{name}") for name in form])
+    mixed = F.lit(False)
+    for name in form:
+        mixed = mixed | (F.col(f"least_{name}") != F.col(f"most_{name}"))
+    return chapters.select("job_id", "chapter_number", "pcm_bytes", (
+        F.when(mixed, "mixed_format")
+        .when(~F.col("most_sample_rate").between(1, MOST_RATE), "unsupported_rate")
+        .when(~F.col("most_channels").between(1, MOST_CHANNELS), "unsupported_channels")
+        .when(F.col("most_sample_width") != WIDTH, "unsupported_width")
+        .when(F.col("broken") > 0, "broken_frames").otherwise("ok")).alias("verdict"))
+
+
 def write_manifests(manifests: DataFrame, path: str) -> None:
     """One text line per document, in a folder per job bucket."""
     manifests.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(256))).select(
@@ -116,11 +179,13 @@ def joined_pcm(
     """Chapter audio in order, as binaries of bounded size.
 
     ``fragments``: job_id, chapter_number, ordinal, id, samples, pcm, sample_rate,
-    channels, sample_width. A part takes the fragments that start within its span
-    of samples, so that it is bounded however long the chapter is.
+    channels, sample_width. A part takes the fragments that start within its span of
+    ``part_samples`` mono samples of 16 bits, fewer of wider frames, so that its bytes are
+    bounded however long the chapter is.
     """
     placed = timeline(fragments, at_most)
-    part = F.floor(F.col("start_sample") / part_samples).cast("int")
+    frame = F.greatest(F.col("channels") * F.col("sample_width"), F.lit(WIDTH))
+    part = F.floor(F.col("start_sample") * frame / (WIDTH * part_samples)).cast("int")
     form = F.struct("sample_rate", "channels", "sample_width")
     forms = fragments.groupBy("job_id", "chapter_number", form.alias("form")).agg(
         F.lit(1).alias("one")).groupBy("job_id", "chapter_number").agg(

@@ -63,6 +63,14 @@ def chapter_catalog(fragments: DataFrame, jobs: DataFrame) -> DataFrame:
         problem.alias("verdict"))
 
 
+def checked_catalog(fragments: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The catalog of jobs with a declared ``fragments_count``; a wrong one refuses all chapters."""
+    wrong = count_mismatches(fragments, jobs).select("job_id", F.lit(True).alias("_wrong"))
+    return chapter_catalog(fragments, jobs).join(wrong, "job_id", "left").withColumn(
+        "verdict", F.when((F.col("verdict") == "ok") & F.col("_wrong").isNotNull(),
+                          "count_mismatch").otherwise(F.col("verdict"))).drop("_wrong")
+
+
 def count_mismatches(fragments: DataFrame, declared: DataFrame) -> DataFrame:
     """Jobs whose declared fragments_count differs from their fragments."""
     actual = fragments.groupBy("job_id").agg(F.count("*").alias("actual"))

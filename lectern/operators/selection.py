@@ -50,6 +50,19 @@ def retry_selection(
         "job_verdict", F.coalesce("job_verdict", F.lit("job_not_found")))
 
 
+def retry_refusals(selection: DataFrame, jobs: DataFrame, active_rewrites: DataFrame) -> DataFrame:
+    """Per job whether its retry goes ahead and with how many fragments.
+
+    ``selection`` is that of ``retry_selection``; a job of whose fragments none is left to
+    retry is refused like an active one.
+    """
+    chosen = selection.where("verdict = 'ok'").groupBy("job_id").agg(F.count("*").alias("fragments"))
+    return job_verdicts(jobs, active_rewrites).join(chosen, "job_id", "left").select(
+        "job_id", F.coalesce("fragments", F.lit(0)).alias("fragments"),
+        F.when((F.col("job_verdict") == "ok") & F.col("fragments").isNull(), "nothing_left")
+        .otherwise(F.col("job_verdict")).alias("verdict"))
+
+
 def rewrite_selection(
     requests: DataFrame, fragments: DataFrame, at_most: int | None = None
 ) -> DataFrame:

@@ -146,6 +146,52 @@ def chapter_totals(spark: SparkSession, folder: str) -> DataFrame:
     return ro.chapter_totals(_pcm_fragments(spark, folder).drop("pcm"))
 
 
+@query("pcm_durations", f"""
+WITH {PCM},
+d AS (SELECT vec_id, octet_length(data) // 2 AS frames, CAST(round_even(octet_length(data) // 2
+  * 1000 / 24000, 0) AS BIGINT) AS ms FROM pcm),
+s AS (SELECT *, CASE WHEN vec_id % 13 = 0 THEN NULL WHEN vec_id % 7 = 0 THEN ms + 2
+  WHEN vec_id % 5 = 0 THEN ms + 1 ELSE ms END AS declared_ms FROM d)
+SELECT vec_id, frames, declared_ms, CASE WHEN declared_ms IS NULL OR declared_ms <= 0
+    THEN 'invalid_duration' WHEN abs(ms - declared_ms) > 1 THEN 'duration_mismatch'
+    ELSE 'ok' END AS verdict FROM s""")
+def pcm_durations(spark: SparkSession, folder: str) -> DataFrame:
+    """Declared durations, some missing, some a millisecond or two too long."""
+    rows = _pcm_fragments(spark, folder).select(
+        F.col("id").cast("long").alias("vec_id"), F.col("samples").alias("frames"), "duration_ms")
+    number, ms, rate = F.col("vec_id"), F.col("duration_ms"), F.lit(views.SAMPLE_RATE)
+    declared = F.when(number % 13 == 0, None).when(number % 7 == 0, ms + 2).when(
+        number % 5 == 0, ms + 1).otherwise(ms)
+    return rows.select("vec_id", "frames", declared.alias("declared_ms")).withColumn(
+        "verdict", au.declared_duration_verdict(F.col("frames"), rate, F.col("declared_ms")))
+
+
+@query("pcm_refusals", f"""
+WITH {PCM},
+f AS (SELECT label AS job_id, vec_id % 5 + 1 AS chapter_number, octet_length(data)
+    - CASE WHEN label % 7 = 1 AND vec_id % 9 = 0 THEN 1 ELSE 0 END AS bytes,
+  CASE WHEN label % 7 = 2 THEN 700000 WHEN label % 7 = 3 AND vec_id % 10 < 5 THEN 22050
+    ELSE 24000 END AS rate, CASE WHEN label % 7 = 4 THEN 9 ELSE 1 END AS channels,
+  CASE WHEN label % 7 = 5 THEN 3 ELSE 2 END AS width FROM pcm)
+SELECT job_id, chapter_number, CAST(sum(bytes) AS BIGINT) AS pcm_bytes,
+  CASE WHEN count(DISTINCT (rate, channels, width)) > 1 THEN 'mixed_format'
+    WHEN max(rate) NOT BETWEEN 1 AND 655350 THEN 'unsupported_rate'
+    WHEN max(channels) NOT BETWEEN 1 AND 8 THEN 'unsupported_channels'
+    WHEN max(width) <> 2 THEN 'unsupported_width'
+    WHEN count(CASE WHEN bytes <= 0 OR bytes % (channels * width) <> 0 THEN 1 END) > 0
+    THEN 'broken_frames' ELSE 'ok' END AS verdict
+FROM f GROUP BY job_id, chapter_number""")
+def pcm_refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters of some jobs with cut frames or formats that cannot be exported."""
+    kind, number = F.col("job_id") % 7, F.col("id").cast("long")
+    return ex.pcm_refusals(_pcm_fragments(spark, folder).withColumns({
+        "pcm_bytes": F.col("pcm_bytes") - ((kind == 1) & (number % 9 == 0)).cast("int"),
+        "sample_rate": F.when(kind == 2, 700_000).when(
+            (kind == 3) & (number % 10 < 5), 22_050).otherwise(F.col("sample_rate")),
+        "channels": F.when(kind == 4, 9).otherwise(1),
+        "sample_width": F.when(kind == 5, 3).otherwise(2)}))
+
+
 @query("voice_intake", """
 WITH v AS (SELECT s_suppkey AS voice_id, CASE s_suppkey % 4 WHEN 0 THEN 'fLaC' || s_name
     WHEN 1 THEN 'RIFF0000WAVE' || s_name WHEN 2 THEN 'RIFF' ELSE s_name END AS data,

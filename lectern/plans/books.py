@@ -89,11 +89,10 @@ SELECT f.book_id, f.chapter_number, f.ordinal, c.title AS chapter_title,
   length(f.text) AS chars
 FROM book_fragments f JOIN chapters c USING (book_id, chapter_number)""")
 def fragment_titles(spark: SparkSession, folder: str) -> DataFrame:
-    books = _books(spark, folder)
-    joined = chapter_ops.with_titles(
-        chapter_ops.fragment_rows(books), chapter_ops.chapter_rows(books))
-    return joined.select("book_id", "chapter_number", "ordinal", "chapter_title",
-                         F.char_length("text").alias("chars"))
+    rows = chapter_ops.fragment_rows(_books(spark, folder), "title")  # carried along, no join
+    return rows.select("book_id", "chapter_number", "ordinal",
+                       F.col("title").alias("chapter_title"),
+                       F.char_length("text").alias("chars"))
 
 
 @query("book_summary", f"""

@@ -121,6 +121,29 @@ def chapter_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return ro.chapter_catalog(views.fragment_states(spark, folder), views.jobs(spark, folder))
 
 
+@query("catalog_counts", f"""
+WITH {sql.FRAGMENTS}, {sql.JOBS},
+n AS (SELECT job_id, count(*) AS n FROM fragments GROUP BY job_id),
+w AS (SELECT job_id FROM jobs LEFT JOIN n USING (job_id) WHERE job_id % 31 = 0),
+c AS (SELECT job_id, chapter_number, min(chapter_title) AS title, count(*) AS fragments_count,
+  coalesce(sum(duration_ms), 0) AS duration_ms, count(DISTINCT chapter_title) AS titles,
+  bool_and(status = 'ready') AS all_ready FROM fragments GROUP BY job_id, chapter_number)
+SELECT job_id, chapter_number, title, fragments_count, duration_ms, all_ready,
+  CASE WHEN chapter_number <= 0 OR duration_ms < 0 OR titles <> 1 THEN 'invalid_metadata'
+    WHEN j.status <> 'completed' THEN 'job_not_completed'
+    WHEN NOT all_ready THEN 'not_ready'
+    WHEN job_id IN (SELECT job_id FROM w) THEN 'count_mismatch' ELSE 'ok' END AS verdict
+FROM c JOIN jobs j USING (job_id)""")
+def catalog_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalog where every 31st job declares one fragment too many."""
+    states = views.fragment_states(spark, folder)
+    counts = states.groupBy("job_id").agg(F.count("*").alias("fragments_count"))
+    jobs = views.jobs(spark, folder).join(counts, "job_id", "left").withColumn(
+        "fragments_count", F.coalesce("fragments_count", F.lit(0))
+        + (F.col("job_id") % 31 == 0).cast("int"))
+    return ro.checked_catalog(states, jobs)
+
+
 # Requests for retries: some repeated, some for other jobs or unknown fragments.
 REQUESTS = """requests AS (
   SELECT event_id // 3 AS job_id, (event_id // 3 + CASE WHEN event_type = 'error' THEN 1
@@ -162,6 +185,26 @@ def retry_select(spark: SparkSession, folder: str) -> DataFrame:
         views.jobs(spark, folder), _active_rewrites(spark, folder))
 
 
+@query("retry_jobs", f"""
+WITH {sql.FRAGMENTS}, {sql.JOBS}, {REQUESTS},
+a AS (SELECT job_id, fragment_id, count(*) AS times FROM requests GROUP BY 1, 2),
+s AS (SELECT a.job_id FROM a JOIN fragments f ON f.id = a.fragment_id AND f.job_id = a.job_id
+    AND f.status IN ('warning', 'failed') AND times = 1
+  UNION ALL SELECT job_id FROM fragments
+  WHERE status IN ('warning', 'failed') AND job_id NOT IN (SELECT job_id FROM requests)),
+n AS (SELECT job_id, count(*) AS n FROM s GROUP BY job_id)
+SELECT job_id, coalesce(n, 0) AS fragments, CASE WHEN status IN ('queued', 'running')
+    THEN 'job_active' WHEN job_id IN (SELECT o_orderkey FROM orders
+      WHERE o_orderpriority = '1-URGENT') THEN 'rewrite_active'
+    WHEN n IS NULL THEN 'nothing_left' ELSE 'ok' END AS verdict
+FROM jobs LEFT JOIN n USING (job_id)""")
+def retry_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    jobs, active = views.jobs(spark, folder), _active_rewrites(spark, folder)
+    selection = se.retry_selection(
+        _requests(spark, folder), views.fragments(spark, folder), jobs, active)
+    return se.retry_refusals(selection, jobs, active)
+
+
 @query("rewrite_select", f"""
 WITH {sql.FRAGMENTS}, {REQUESTS},
 a AS (SELECT job_id, fragment_id, count(*) AS times FROM requests GROUP BY 1, 2),
@@ -289,6 +332,49 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return ex.manifest(*_placed(spark, folder))
 
 
+FULL = f"""{PLACED},
+e AS (SELECT f.*, {{'id': id, 'chapter_number': chapter_number, 'ordinal': ordinal, 'path': path,
+    'start_sample': start_sample, 'samples': samples, 'text': 'Fragment ' || id,
+    'stt_text': 'fragment ' || id, 'status': f.status, 'attempt': 1 + ordinal % 3,
+    'duration_ms': duration_ms}} AS full_entry FROM f),
+g AS (SELECT job_id, chapter_number, to_json(list(full_entry ORDER BY ordinal)) AS fragments,
+  {{'chapter_number': chapter_number, 'title': min(chapter_title), 'fragments_count': count(*),
+    'duration_ms': CAST(sum(duration_ms) AS BIGINT), 'path': min(path), 'audio_format': 'flac',
+    'sample_rate': 24000, 'channels': 1, 'bits_per_sample': 16,
+    'total_samples': CAST(sum(samples) AS BIGINT),
+    'pcm_bytes': CAST(sum(samples) * 2 AS BIGINT)}} AS full_chapter
+  FROM e GROUP BY job_id, chapter_number),
+h AS (SELECT job_id, '"book":' || to_json({{'id': book_id, 'title': c_name}}) || ',"voice":'
+    || to_json({{'id': voice_id, 'name': s_name}}) || ',"job":' || to_json({{'id': job_id,
+    'status': status, 'fragments_count': fragments_count}}) AS head
+  FROM ready JOIN customer ON c_custkey = book_id JOIN supplier ON s_suppkey = voice_id)"""
+
+
+@query("manifest_documents", f"""
+WITH {FULL}
+SELECT job_id, 0 AS chapter_number, '{{"version":"{ex.FULL_MANIFEST_VERSION}",' || any_value(head)
+  || ',"chapters":' || to_json(list(full_chapter ORDER BY chapter_number)) || '}}' AS document
+FROM g JOIN h USING (job_id) GROUP BY job_id
+UNION ALL SELECT job_id, chapter_number, '{{"version":"{ex.CHAPTER_MANIFEST_VERSION}",'
+  || '"scope":"chapter","chapter":' || to_json(full_chapter) || ',' || head || ',"fragments":'
+  || fragments || '}}' FROM g JOIN h USING (job_id)""")
+def manifest_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """All fields, whatever the size: a document per job and one per chapter."""
+    _, placed = _placed(spark, folder)
+    ready = _ready(spark, folder).where(F.col("verdict") == "ok")
+    titles = views.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("book_id"), F.col("c_name").alias("title"))
+    heads = ready.join(titles, "book_id").join(views.voices(spark, folder), "voice_id").select(
+        "job_id", F.struct(F.col("book_id").alias("id"), "title").alias("book"),
+        F.struct(F.col("voice_id").alias("id"), F.col("voice_name").alias("name")).alias("voice"),
+        F.struct(F.col("job_id").alias("id"), "status", "fragments_count").alias("job"))
+    return ex.manifest_documents(heads, placed.withColumns({
+        "text": F.concat(F.lit("Fragment "), "id"), "stt_text": F.concat(F.lit("fragment "), "id"),
+        "attempt": F.col("ordinal") % 3 + 1, "audio_format": F.lit("flac"),
+        "sample_rate": F.lit(views.SAMPLE_RATE), "channels": F.lit(1),
+        "bits_per_sample": F.lit(16), "pcm_bytes": F.col("samples") * 2}))
+
+
 @query("chapter_manifest", f"""
 WITH {PLACED},
 e AS (SELECT job_id, chapter_number, to_json(list(entry ORDER BY ordinal)) AS fragments
