@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.chapters import chapter_rows, with_chapters
 from lectern.plans import sql
 from lectern.plans.registry import query
-from lectern.sources import encoding, fictionbook, views, webpages
+from lectern.session import new_folder
+from lectern.sources import bookfiles, encoding, fictionbook, views, webpages
 
 
 def _escaped(text: Column) -> Column:
@@ -76,6 +80,41 @@ def fb2_blocks(spark: SparkSession, folder: str) -> DataFrame:
         "kind", "text")
 
 
+def write_books(files: DataFrame, path: str) -> None:
+    """One file per row of (doc_id, content), dealt into folders, written by the tasks."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, folder = bookfiles.file_system(path)
+        for batch in batches:
+            for number, content in zip(batch["doc_id"], batch["content"]):
+                place = f"{folder}/{number % 256}"
+                system.create_dir(place, recursive=True)
+                with system.open_output_stream(f"{place}/{number}.fb2") as file:
+                    file.write(content)
+            yield batch[["doc_id"]]
+
+    files.mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
+
+
+@query("fb2_files", f"""
+WITH l AS (SELECT doc_id, unnest(string_split({CLEAN}, chr(10))) AS t FROM documents),
+n AS (SELECT doc_id, count(*) AS blocks FROM l WHERE {sql.collapsed('t')} <> '' GROUP BY doc_id)
+SELECT doc_id AS book_id, CASE WHEN doc_id % 29 = 0 THEN 'no_body' WHEN doc_id % 31 = 0
+    THEN 'malformed' END AS reject,
+  CASE WHEN doc_id % 29 = 0 OR doc_id % 31 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN ''
+    ELSE 'Book ' || doc_id END AS book_title,
+  CASE WHEN doc_id % 29 = 0 OR doc_id % 31 = 0 THEN 0 ELSE blocks END AS blocks
+FROM documents JOIN n USING (doc_id)""")
+def fb2_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as files, read through the data source."""
+    path = new_folder(spark, "books")
+    write_books(fiction_files(spark, folder), path)
+    bookfiles.register(spark)
+    number = F.regexp_extract("path", r"(\d+)\.fb2$", 1).cast("long")
+    return spark.read.format("fb2").load(path).select(
+        number.alias("book_id"), "reject", "book_title", F.size("blocks").alias("blocks"))
+
+
 @query("fb2_meta", """
 SELECT doc_id AS book_id, CASE WHEN doc_id % 4 = 0 THEN 'Body of ' || doc_id
   ELSE 'Book ' || doc_id END AS title, 'Ann ' || source AS authors

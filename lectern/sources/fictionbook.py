@@ -134,8 +134,11 @@ def _parse(data: bytes):
     return root, None if root is not None else "not_fb2"
 
 
-def read_book(data: bytes) -> dict:
-    """Metadata and blocks of one file, or a row with its reject reason."""
+def read_book(data: bytes, with_blocks: bool = True) -> dict:
+    """Metadata and blocks of one file, or a row with its reject reason.
+
+    Without blocks the body is not walked, and a book without content is not found out.
+    """
     empty = {"reject": None, "book_title": None, "authors": [], "body_title": None,
              "blocks": []}
     if data is None:
@@ -156,10 +159,10 @@ def read_book(data: bytes) -> dict:
                     authors.append([
                         _clean("".join(part.itertext())) for part in child
                         if part.tag in [_tag(name) for name in AUTHOR_NAMES]])
-        blocks = _body_blocks(body)
+        blocks = _body_blocks(body) if with_blocks else []
         result = {**empty, "book_title": title, "authors": authors,
                   "body_title": _own_title(body), "blocks": blocks}
-        spoken = any(block["text"].replace(SCENE_BREAK, "").strip() for block in blocks)
+        spoken = not with_blocks or any(block["text"].replace(SCENE_BREAK, "").strip() for block in blocks)
         return result if spoken else {**empty, "reject": "no_content"}
     except RecursionError:
         return {**empty, "reject": "malformed"}

@@ -1,12 +1,15 @@
 """FictionBook files, pages and byte decoding."""
 
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.operators.chapters import chapter_rows, with_chapters
-from lectern.sources import encoding, fictionbook, webpages
+from lectern.sources import bookfiles, encoding, fictionbook, webpages
 
 NS = fictionbook.NAMESPACE
 
@@ -198,3 +201,84 @@ def test_decoding(spark):
         "i int, content binary, charset string")
     found = sorted(encoding.decode_audit(frame).collect(), key=lambda r: r["i"])
     assert [(r["encoding"], r["text"], r["verdict"]) for r in found] == [c[2:] for c in cases]
+
+
+@pytest.fixture
+def book_files(spark, tmp_path):
+    for k in range(12):
+        folder = tmp_path / f"part{k % 3}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"{k}.fb2").write_text(book(
+            f"<body><p>Line {k}</p></body>",
+            f"<description><title-info><book-title>T{k}</book-title></title-info></description>"))
+    (tmp_path / "note.txt").write_text("no book")
+    bookfiles.register(spark)
+    return str(tmp_path)
+
+
+def test_the_data_source_reads_as_the_parser_does(spark, book_files):
+    rows = spark.read.format("fb2").load(book_files)
+    wanted = fictionbook.parsed_files(spark, book_files)
+    names = ["reject", "book_title", "authors", "body_title", "blocks"]
+    assert sorted(map(tuple, rows.select(*names).collect()), key=repr) == sorted(
+        map(tuple, wanted.select(*names).collect()), key=repr)
+    assert rows.where("length > 0").count() == 12
+
+
+def test_partitions_are_packed_by_size(spark, book_files, monkeypatch):
+    whole = spark.read.format("fb2").load(book_files)
+    assert whole.rdd.getNumPartitions() == 1
+    small = spark.read.format("fb2").option("partitionBytes", 3 * (bookfiles.OPEN_BYTES + 1_000)
+                                            ).load(book_files)
+    assert small.rdd.getNumPartitions() == 4 and small.count() == 12
+    parts = bookfiles.packed(bookfiles.listed(book_files), 1)
+    assert [len(p.files) for p in parts] == [1] * 12
+
+
+def test_metadata_does_not_walk_bodies(spark, book_files, monkeypatch):
+    """Only the columns asked for are built."""
+    walked = []
+    monkeypatch.setattr(fictionbook, "_body_blocks", lambda body: walked.append(body) or [])
+    part = bookfiles.packed(bookfiles.listed(book_files), 1 << 30)[0]
+    schema = T.StructType().add("path", "string").add("book_title", "string")
+    rows = [row for batch in bookfiles.read_files(book_files, part, schema)
+            for row in batch.to_pylist()]
+    assert not walked and sorted(r["book_title"] for r in rows) == sorted(
+        f"T{k}" for k in range(12))
+    titles = spark.read.format("fb2").schema("path string, book_title string").load(book_files)
+    assert titles.columns == ["path", "book_title"] and titles.distinct().count() == 12
+
+
+def test_large_files_are_not_opened(monkeypatch, book_files):
+    monkeypatch.setattr(bookfiles, "MAX_FILE_BYTES", 10)
+    part = bookfiles.packed(bookfiles.listed(book_files), 1 << 30)[0]
+    schema = T.StructType().add("reject", "string")
+    rows = [row["reject"] for batch in bookfiles.read_files(book_files, part, schema)
+            for row in batch.to_pylist()]
+    assert rows == ["too_large"] * 12
+
+
+def test_the_stream_takes_each_file_once(spark, book_files, tmp_path_factory, monkeypatch):
+    """Files that come later are added; files already read are not read again."""
+    old = time.time() - 60
+    for root, _, names in os.walk(book_files):
+        for name in names:
+            os.utime(os.path.join(root, name), (old, old))
+    out, checkpoint = (str(tmp_path_factory.mktemp(x)) for x in ("out", "checkpoint"))
+
+    def run():
+        query = (spark.readStream.format("fb2").load(book_files).select("path", "book_title")
+                 .writeStream.format("parquet").option("path", out)
+                 .option("checkpointLocation", checkpoint).start())
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        return sorted(r["book_title"] for r in spark.read.parquet(out).collect())
+
+    assert run() == sorted(f"T{k}" for k in range(12))
+    late = os.path.join(book_files, "late.fb2")
+    with open(late, "w") as file:
+        file.write(book("<body><p>Late</p></body>"))
+    os.utime(late, (old + 10, old + 10))
+    assert run() == sorted([*(f"T{k}" for k in range(12)), ""])
