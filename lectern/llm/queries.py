@@ -113,9 +113,7 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 #: Production mix: large sources give way to small ones (a source's share is its tokens to
 #: the power 0.7), while languages and topics keep the shares that they have.
 TARGETS = mixing.Targets(
-    source={f"src{i}": None for i in range(20)},
-    lang={"en": None, "de": None, "fr": None, "es": None},
-    topic={"legal": None, "contact": None}, temper={"source": 0.7},
+    every=("source", "lang"), topic={"legal": None, "contact": None}, temper={"source": 0.7},
     marks={"legal": ("license", "licensed", "copyright", "all rights reserved"),
            "contact": ("@", "http://", "https://", "www.")})
 
@@ -134,23 +132,6 @@ def op9_quality_model(spark: SparkSession, folder: str) -> DataFrame:
 SHARDS = 16
 
 
-def _winner(shards: int) -> str:
-    """Equal weights: the largest draw wins."""
-    return ("list_extract(list_sort([{'minus': -(('0x' || substr(md5(k || '/' || i), 1, 13))"
-            f"::BIGINT), 'i': i}} FOR i IN range({shards})]), 1).i")
-
-
-OP3 = f"""
-WITH d AS (
-  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, strlen(coalesce(text, '')) + 1 AS size,
-    coalesce(text, '') AS text FROM documents),
-s AS (
-  SELECT *, {_winner(SHARDS)} AS shard, {_winner(SHARDS + 1)} AS grown_shard,
-    ('0x' || substr(md5(k), 1, 13))::BIGINT % {sharding.SLICES} AS part FROM d)
-SELECT doc_id, size, 'key' AS law, shard, grown_shard,
-  row_number() OVER (PARTITION BY shard ORDER BY part, k, size) - 1 AS slot FROM s"""
-
-
 @query("op3_sharding")
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_report(table(spark, folder, "documents"), [1.0] * SHARDS)

@@ -1,5 +1,8 @@
 """Quality model, URL filter, mixing and sharding."""
 
+import hashlib
+import math
+import re
 import zlib
 
 import numpy as np
@@ -8,7 +11,7 @@ from helpers import SMALL, clashing, documents, rows_of
 from pyspark.sql import functions as F
 
 from lectern.llm import QUERIES, mixing, quality_model, sharding, url_filter
-from lectern.llm.queries import RULES, TARGETS
+from lectern.llm.queries import RULES, SHARDS, TARGETS
 
 MIDDLE = "/root/testdata/sf0.01"
 
@@ -162,6 +165,92 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix_report(docs.limit(0), TARGETS).count() == 0
 
 
+def wanted_mix(rows, temper):
+    """Probabilities by raking plain dictionaries; sources and languages as they come."""
+    def topic(text):
+        lower = "".join(c.lower() if c.isascii() else c for c in text)
+        return next((name for name, marks in TARGETS.marks.items()
+                     if any(mark in lower for mark in marks)), mixing.OTHER)
+
+    cells = {}
+    for r in rows:
+        text = r["text"] or ""
+        cell = (r["source"] or mixing.OTHER, r["lang"] or mixing.OTHER, topic(text))
+        cells.setdefault(cell, []).append(
+            (r["doc_id"], len([w for w in re.split(r"[\x20\x09-\x0D]+", text) if w])))
+    size = {cell: sum(n for _, n in found) for cell, found in cells.items()}
+    goals = []
+    for side in range(3):
+        sums = {}
+        for cell, n in size.items():
+            sums[cell[side]] = sums.get(cell[side], 0) + n
+        bent = {v: n ** (temper if side == 0 else 1) for v, n in sums.items()}
+        goals.append({v: x / sum(bent.values()) * sum(sums.values()) for v, x in bent.items()})
+    factor = dict.fromkeys((cell for cell in cells if size[cell]), 1.0)
+    for _ in range(mixing.ROUNDS):
+        for side in range(3):
+            for value, goal in goals[side].items():
+                now = sum(size[c] * f for c, f in factor.items() if c[side] == value)
+                for c in factor:
+                    if c[side] == value and now:
+                        factor[c] *= goal / now
+    most = max(factor.values())
+    return {doc_id: factor.get(cell, most) / most
+            for cell, found in cells.items() for doc_id, _ in found}
+
+
+def test_mixing_query_against_plain_raking(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    wanted = wanted_mix(docs, TARGETS.temper["source"])
+    found = {r["doc_id"]: r["probability"] for r in QUERIES["op6_mixing"](spark, SMALL).collect()}
+    assert found.keys() == wanted.keys()
+    assert all(abs(found[k] - wanted[k]) < 1e-6 for k in wanted)
+
+
+def test_sources_that_nobody_named_are_mixed(spark):
+    """A hot source of any name is brought down against small ones."""
+    rows = [(k, "word " * 20, "hot" if k % 3 else f"small {k % 30}", "en") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    report = mixing.mix_report(docs, TARGETS).collect()
+    chance = {r["source"]: r["probability"] for r in report}
+    assert len(chance) == 11 and chance["hot"] < 0.5
+    assert all(abs(p - 1) < 1e-6 for source, p in chance.items() if source != "hot")
+
+
+def test_rare_values_are_pooled(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_VALUES", 2)
+    docs = spark.createDataFrame([(k, "a b", "xxxyyz"[k % 6], None) for k in range(60)],
+                                 "doc_id long, text string, source string, lang string")
+    assert set(mixing.named(docs, TARGETS).source) == {"x", "y"}
+    assert mixing.mix_report(docs, TARGETS).count() == 60
+
+
+def shard_by_hand(key, weights):
+    def score(k, weight):
+        number = int(hashlib.md5(f"{key}/{k}".encode()).hexdigest()[:sharding.DIGITS], 16)
+        return math.log((number + 0.5) / 2 ** 52) / weight
+    return max(range(len(weights)), key=lambda k: (score(k, weights[k]), -k))
+
+
+@pytest.mark.parametrize("weights", [[1.0] * SHARDS, [1.0, 2.0, 0.5]])
+def test_shards_by_hand(spark, weights):
+    """Shards, shards after one more, and slots of every document."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = (QUERIES["op3_sharding"](spark, SMALL) if len(weights) == SHARDS
+            else sharding.shard_report(docs, weights)).collect()
+    texts = {str(r["doc_id"]): (r["text"] or "").encode() for r in docs.collect()}
+    places = {}
+    for r in rows:
+        key = str(r["doc_id"])
+        assert (r["shard"], r["grown_shard"]) == (
+            shard_by_hand(key, weights), shard_by_hand(key, [*weights, 1.0]))
+        assert (r["size"], r["text_crc32"]) == (len(texts[key]) + 1, zlib.crc32(texts[key]))
+        part = int(hashlib.md5(key.encode()).hexdigest()[:sharding.DIGITS], 16) % sharding.SLICES
+        places.setdefault(r["shard"], []).append((part, key, r["slot"]))
+    for found in places.values():
+        assert [slot for _, _, slot in sorted(found)] == list(range(len(found)))
+
+
 @pytest.mark.parametrize("weights", [[1.0] * 4, [1.0, 3.0]])
 def test_shards(spark, weights):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
