@@ -1,22 +1,25 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line with a word. A multinomial logistic regression over hashed word
-uni-, bi- and trigrams (as shares of the paragraph's n-grams) gives each family a
-probability, and one to plain text. It is trained here: on the templates and on variants of
-them (words lost, swapped or added, parts only), and as plain text on at most
-``PLAIN_ROWS`` paragraphs of the corpus, the least hash of each of so many parts, that share
-no run of three words with a template. A quarter of the examples calibrates how much a
-family's probability must be for a name: the largest cutoff that keeps ``KEPT`` of the
-family examples, and no less than plain paragraphs reach.
+A block is a run of lines with words, between blank lines. A multinomial logistic regression
+over hashed word uni-, bi- and trigrams (as shares of the words' n-grams) gives each family a
+probability, and one to plain text. It scores every line. Neighbouring lines of a block that
+are not plain, as a wrapped notice's are, make a paragraph, which is scored as a whole, and is cut
+where lines are sure notices of different families by themselves.
+
+The classifier is trained here: on the templates and on variants of them (words lost, swapped
+or added, parts only, lines as they come from wrapping), and as plain text on at most
+``PLAIN_ROWS`` lines of the corpus, the least hash of each of so many parts, that share no run
+of three words with a template. A quarter of the examples calibrates two cutoffs: for a name,
+the largest that keeps ``KEPT`` of the family examples, and no less than plain lines reach;
+for not being plain, what no plain line reaches, and ``MARGIN`` at least.
 
 Every named paragraph is compared with the family's templates: the share of a template's
-five-word shingles (of a shorter template: the whole of it) that the paragraph holds. At
-``SIMILAR`` or more the family is confirmed. Paragraphs that are not plain but belong to no
-family for certain, or that no template confirms, are reported as ``unknown`` with the
-likeliest family beside, if they have a run of two words from any template.
+five-word shingles (of a shorter template: the whole of it) that the paragraph holds, across
+its line ends. At ``SIMILAR`` or more the family is confirmed. Paragraphs that are not plain but belong to no family for
+certain, or that no template confirms, are ``unknown``, with the likeliest family beside.
 
-Null and empty texts have no paragraphs. Very long texts are read whole; repeated rows and
-lines are reported each time. Empty tables give empty results; extra columns stay out.
+Null and empty texts have no paragraphs. Very long texts are read whole, line by line; repeated
+rows and paragraphs are reported each time. Empty tables give empty results; extra columns stay out.
 The model (``SIZE`` x families) is broadcast.
 """
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.columns import present
+from lectern.llm.columns import present, small_batches
 
 SIZE = 1 << 15
 PLAIN_ROWS = 4_000
@@ -84,14 +88,34 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
         "International License."),
+    "isc": (
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with "
+        "or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies."),
     "public-domain": (
         "This work is dedicated to the public domain under CC0 1.0.",
         "This is free and unencumbered software released into the public domain."),
     "proprietary": ("All rights reserved.", "No part of this work may be reproduced without "
                     "written permission of the publisher."),
 }
+#: Short names of the families, as they stand in file headers.
+SHORT_NAMES = {
+    "apache-2.0": ("Apache-2.0", "Apache License 2.0"), "mit": ("MIT",),
+    "bsd": ("BSD-2-Clause", "BSD-3-Clause", "BSD"),
+    "gpl": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0", "GPL-2.0-or-later", "GPLv3",
+            "GPLv2", "GPL"),
+    "mpl-2.0": ("MPL-2.0", "MPL"), "cc-by": ("CC-BY-4.0", "CC BY 4.0"),
+    "cc-by-sa": ("CC-BY-SA-4.0", "CC BY-SA 4.0"), "cc-by-nc": ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    "isc": ("ISC",), "public-domain": ("CC0-1.0", "Unlicense"),
+}
+HEADERS = ("SPDX-License-Identifier: {}", "License: {}", "Licence: {}")
+for _family, _names in SHORT_NAMES.items():
+    TEMPLATES[_family] += tuple(header.format(name) for name in _names for header in HEADERS)
 FAMILIES = (*TEMPLATES, PLAIN)
 MARGIN = 0.5
+#: Words of a line when a notice is wrapped.
+WRAPPED = (6, 14)
 
 
 def words(text: str) -> list[str]:
@@ -137,14 +161,12 @@ def similarity(found: list[str], family: str) -> float:
     return best
 
 
-PAIRS = set().union(*(shingles(words(t), 2) for texts in TEMPLATES.values() for t in texts))
-
-
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray  # SIZE x families
     bias: np.ndarray
     cutoff: float
+    not_plain: float = MARGIN
 
     def probabilities(self, numbers: np.ndarray) -> np.ndarray:
         logits = self.weights[numbers].mean(axis=0, dtype=np.float64) + self.bias
@@ -172,6 +194,14 @@ def variants() -> tuple[list[list[str]], list[int]]:
                 if one:
                     rows.append(one)
                     families.append(number)
+            for _ in range(VARIANTS // 4 if len(whole) > 2 * WRAPPED[0] else 0):
+                at = -int(draw.integers(0, WRAPPED[0]))
+                while at < len(whole):
+                    end = at + int(draw.integers(*WRAPPED))
+                    if end - max(at, 0) >= 4:
+                        rows.append(whole[max(at, 0):end])
+                        families.append(number)
+                    at = end
     return rows, families
 
 
@@ -210,14 +240,16 @@ def fit(plain: list[str]) -> Model:
     full = np.zeros((SIZE, len(FAMILIES)), np.float32)
     full[used] = weights
     model = Model(full, bias, 0.0)
-    own, plain_best = [], [0.0]
+    own, plain_best, plain_any = [], [0.0], [0.0]
     for i in np.flatnonzero(aside):
         p = model.probabilities(numbers[i])
         if labels[i] == len(FAMILIES) - 1:
             plain_best.append(p[:-1].max())
+            plain_any.append(1 - p[-1])
         else:
             own.append(p[labels[i]])
-    return Model(full, bias, max(float(np.quantile(own, 1 - KEPT)), max(plain_best)))
+    own_cutoff = float(np.quantile(own, 1 - KEPT)) if own else 0.0
+    return Model(full, bias, max(own_cutoff, max(plain_best)), max(MARGIN, max(plain_any)))
 
 
 def train(docs: DataFrame) -> Model:
@@ -237,28 +269,67 @@ FOUND = T.ArrayType(T.StructType([
     T.StructField("similarity", T.DoubleType())]))
 
 
-def scan_text(text: str, model: Model, features: Features) -> list[dict]:
-    """The licence paragraphs of one text."""
-    out, start = [], 0
+@dataclass
+class Line:
+    number: int
+    start: int
+    end: int
+    found: list[str]
+    chances: np.ndarray
+
+
+def paragraphs(text: str, model: Model, features: Features) -> Iterator[list[Line]]:
+    """Runs of neighbouring lines that are not plain."""
+    start, run = 0, []
     for number, line in enumerate(text.split("\n")):
         found = words(line)
-        if not PAIRS.isdisjoint(zip(found, found[1:])):  # else nothing below would be reported
-            p = model.probabilities(features.of(found))
-            best = int(p[:-1].argmax())
-            family = FAMILIES[best]
-            same = similarity(found, family) if p[-1] < MARGIN else 0.0
-            sure = p[best] >= model.cutoff and same >= SIMILAR
-            if sure or p[-1] < MARGIN:
-                out.append({
-                    "paragraph": number, "start": start, "end": start + len(line),
-                    "family": family if sure else UNKNOWN, "likeliest": family,
-                    "probability": float(p[best]), "similarity": same})
+        chances = model.probabilities(features.of(found)) if found else None
+        if found and 1 - chances[-1] > model.not_plain:
+            run.append(Line(number, start, start + len(line), found, chances))
+        elif run:
+            yield run
+            run = []
         start += len(line) + 1
-    return out
+    if run:
+        yield run
+
+
+def judged(run: list[Line], model: Model, features: Features) -> dict:
+    """A paragraph with its family, confirmed by a template, or ``unknown``."""
+    found = [word for line in run for word in line.found]
+    chances = run[0].chances if len(run) == 1 else model.probabilities(features.of(found))
+    order = np.argsort(-chances[:-1], kind="stable")
+    family, same = FAMILIES[int(order[0])], similarity(found, FAMILIES[int(order[0])])
+    sure = chances[order[0]] >= model.cutoff and same >= SIMILAR
+    return {
+        "paragraph": run[0].number, "start": run[0].start, "end": run[-1].end,
+        "family": family if sure else UNKNOWN, "likeliest": family,
+        "probability": float(chances[order[0]]), "similarity": same}
+
+
+def notices(run: list[Line], model: Model, features: Features) -> list[list[Line]]:
+    """A run cut before lines that are sure notices of another family than those before them."""
+    sure = [judged([line], model, features)["family"] for line in run]
+    if len(set(sure) - {UNKNOWN}) < 2:
+        return [run]
+    parts, own = [[run[0]]], sure[0]
+    for line, family in zip(run[1:], sure[1:]):
+        if UNKNOWN not in (family, own) and family != own:
+            parts.append([])
+        own = own if family == UNKNOWN else family
+        parts[-1].append(line)
+    return parts
+
+
+def scan_text(text: str, model: Model, features: Features) -> list[dict]:
+    """The licence paragraphs of one text."""
+    return [judged(part, model, features) for run in paragraphs(text, model, features)
+            for part in (notices(run, model, features) if len(run) > 1 else [run])]
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per licence paragraph: doc_id, place, family, probability, similarity."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 
     @F.arrow_udf(FOUND)

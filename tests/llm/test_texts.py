@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import textwrap
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from helpers import clashing, documents, prose, rows_of
+from helpers import SMALL, clashing, documents, prose, rows_of
 from pyspark.sql import functions as F
 
 from lectern.llm import byte_bpe, chat, licenses, quality_rules
@@ -172,3 +173,54 @@ def test_licence_variants_are_told_apart():
             all_of += 1
     assert right >= 0.9 * all_of
     assert not licenses.scan_text(prose(3, 400), model, features)
+
+
+@pytest.fixture(scope="module")
+def licence_model():
+    return licenses.fit([prose(i, 30) for i in range(500)])
+
+
+def families(text, model):
+    return [r["family"] for r in licenses.scan_text(text, model, licenses.Features())]
+
+
+@pytest.mark.parametrize("width", [40, 60, 75, 100])
+@pytest.mark.parametrize("family, number", [
+    ("mit", 2), ("bsd", 1), ("bsd", 2), ("apache-2.0", 1), ("apache-2.0", 2), ("gpl", 1),
+    ("gpl", 2), ("isc", 1)])
+def test_wrapped_notices(licence_model, family, number, width):
+    notice = textwrap.fill(licenses.TEMPLATES[family][number], width)
+    text = f"{prose(1, 40)}\n\n{notice}\n\n{prose(2, 40)}"
+    found = licenses.scan_text(text, licence_model, licenses.Features())
+    assert [r["family"] for r in found] == [family]
+    held = " ".join(text[found[0]["start"]:found[0]["end"]].split())
+    assert held == " ".join(notice.split())
+
+
+@pytest.mark.parametrize("line, family", [
+    ("SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+    ("License: GPLv3", "gpl"), ("// SPDX-License-Identifier: BSD-3-Clause", "bsd"),
+    ("SPDX-License-Identifier: ISC", "isc"), ("License: CC BY 4.0", "cc-by")])
+def test_short_identifiers(licence_model, line, family):
+    assert families(f"{prose(5, 30)}\n{line}\n{prose(6, 30)}", licence_model) == [family]
+
+
+def test_a_licence_of_no_family_is_unknown(licence_model):
+    notice = ("This software is provided as-is, without any express or implied warranty. In no "
+              "event will the authors be held liable for any damages arising from the use of this "
+              "software. Permission is granted to anyone to use this software for any purpose.")
+    found = families(f"{prose(1, 40)}\n\n{textwrap.fill(notice, 75)}\n\n{prose(2, 40)}", licence_model)
+    assert found and set(found) == {licenses.UNKNOWN}
+
+
+def test_two_notices_after_each_other(licence_model):
+    assert families("Released under the MIT License.\nLicensed under CC BY-NC 4.0.",
+                    licence_model) == ["mit", "cc-by-nc"]
+
+
+def test_plain_texts_have_no_licences(spark):
+    """Labelled good documents of the table without a word of a notice."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    clean = docs.where("not text rlike '(?i)licen[sc]e|copyright|rights reserved|permission'")
+    found = licenses.scan(clean, licenses.train(docs))
+    assert found.count() <= 0.01 * clean.count()
