@@ -4,6 +4,9 @@ Every step is a minimum per node and a join with it, both on one shuffle of the
 Where the links are many, a node's are cut into slices for the join, so that no node is
 one task's work. Rounds are fixed by reliable checkpoints; about log(length of the longest
 path) of them are needed.
+
+Links of a node with itself and repeated links do not count; nulls are not nodes. No links give
+no rows. Ends are numbers, so texts of any length stay outside, and other columns are not kept.
 """
 
 from __future__ import annotations
