@@ -7,13 +7,16 @@ are cut by the tokenizer's pattern, every match is encoded by itself, and decodi
 ids back to bytes. Nothing is trained.
 
 A null text counts as empty and has no tokens. Whole texts are encoded, long ones in the
-same way; repeated rows get the same ids. Batches are bounded by Spark's limits on Arrow
-batches, and each task remembers at most ``REMEMBERED`` matches. Other columns stay.
+same way; repeated rows get the same ids; an empty table gives an empty result. Batches come
+in some hundred rows and leave by bytes of text (``columns``), and each task remembers at most
+``REMEMBERED`` matches. Digests are taken in the task, so that no ids leave it. Columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from array import array
 from collections.abc import Iterator
@@ -24,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.columns import small_batches, sliced
+
 FIRST = 0x100
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Fixed values of the sentencepiece model format.
 BPE, NORMAL, UNKNOWN = 2, 1, 2
 
@@ -121,38 +126,51 @@ def decoded_bytes(tokens: list[bytes], ids: list[int]) -> bytes:
     return b"".join(map(tokens.__getitem__, ids))
 
 
-def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, the ids of the text and the bytes that they decode to.
+def _mapped(docs: DataFrame, path: str, pattern: str, columns: dict, row) -> DataFrame:
+    """``row(tokenizer, tokens, text)`` gives the columns of every text.
 
-    The vocabulary, a fixed file of some hundred kilobytes, is broadcast. One pass over Arrow
-    batches: as two chained functions the optimizer would encode every text twice.
+    The vocabulary, a fixed file of some hundred kilobytes, is broadcast.
     """
     tokens = read_ranks(path)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((tokens, model(tokens)))
+    kinds = [kind for _, kind in columns.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, proto = shared.value
         tokenizer = Tokenizer(vocabulary, proto, pattern)
-        for batch in batches:
-            parts = [tokenizer.encode(x or "") for x in batch.column("text").to_pylist()]
-            ids = np.frombuffer(b"".join(parts), "<i4")
-            edges = np.cumsum([0, *(len(x) // 4 for x in parts)])
-            decoded = [decoded_bytes(vocabulary, ids[start:end].tolist())
-                       for start, end in zip(edges, edges[1:])]
+        for batch in sliced(batches):
+            rows = [row(tokenizer, vocabulary, x.as_py() or "") for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"),
-                 pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32())),
-                 pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+                [batch.column("doc_id"), *(pa.array(list(values), type=kind)
+                                           for values, kind in zip(zip(*rows), kinds))],
+                ["doc_id", *columns])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    shape = ", ".join(f"{name} {kind}" for name, (kind, _) in columns.items())
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, ids array<int>, decoded binary")
+        run, f"doc_id {id_kind}, {shape}")
+
+
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, the ids of the text and the bytes that they decode to."""
+
+    def row(tokenizer: Tokenizer, tokens: list[bytes], text: str) -> tuple:
+        ids = np.frombuffer(tokenizer.encode(text), "<i4")
+        return ids, decoded_bytes(tokens, ids.tolist())
+
+    return _mapped(docs, path, pattern, {
+        "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary())}, row)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded bytes."""
-    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return encoded(docs, path, pattern).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+    def row(tokenizer: Tokenizer, tokens: list[bytes], text: str) -> tuple:
+        ids = np.frombuffer(tokenizer.encode(text), "<i4").tolist()
+        return (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+                hashlib.sha256(decoded_bytes(tokens, ids)).hexdigest())
+
+    return _mapped(docs, path, pattern, {
+        "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()),
+        "decoded_sha256": ("string", pa.string())}, row)

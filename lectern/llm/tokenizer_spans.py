@@ -12,8 +12,8 @@ those of blank and text, the text has no tokens.
 A text is cut before blanks that follow anything but white space and precede a word. Such a
 cut is one in both tokenizers: A's pattern starts a token there and no piece of B has a
 blank after other characters (checked as the model is read; else texts stay whole). A task
-remembers the aligned words between cuts, up to ``REMEMBERED``; those of a text that it does
-not know, and words longer than ``SHORT``, are aligned together, as one text.
+remembers the aligned words between cuts, up to ``REMEMBERED``; those of a batch that it does
+not know are aligned ``TOGETHER``, as one text, and words longer than ``SHORT`` with their text.
 
 Pairs of ids: of two tokens that end together one is a suffix of the other, so there are at
 most as many pairs as the lengths of all tokens add up to, whatever the corpus (607,000 for
@@ -39,7 +39,11 @@ from pyspark.sql import functions as F
 from lectern.llm.columns import sliced, small_batches
 from lectern.session import new_folder
 
-SHORT, REMEMBERED = 64, 200_000
+SHORT, REMEMBERED = 64, 300_000
+#: Words that are aligned together.
+TOGETHER = 2_000
+#: White space at the end, or before a blank: what a cut must not follow.
+_OPEN = re.compile(r"\s(?= )|\s\Z|\A ")
 BLANK = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 STORED = """n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<long>,
@@ -137,8 +141,9 @@ class Aligner:
         places = byte_places(f" {text}")
         spans = places[np.array(encoding.offsets, np.int64)]
         a_ends = refined(spans[:, 0], spans[:, 1], self.a_lengths[a])
-        spans = np.array([(piece.begin, piece.end) for piece in pieces], np.int64) + 1
-        b_ends = refined(spans[:, 0], spans[:, 1], self.b_lengths[b])
+        # Spans follow each other, the first one after the blank that B adds.
+        spans = np.array([0, *(piece.end for piece in pieces)], np.int64) + 1
+        b_ends = refined(spans[:-1], spans[1:], self.b_lengths[b])
 
         cuts = np.zeros(len(whole) + 1, np.int8)
         cuts[a_ends] += 1
@@ -173,11 +178,25 @@ class Aligner:
                           if len(w) <= SHORT and not w[-1].isspace())
         return found
 
+    def prepare(self, texts: list[str]) -> None:
+        """Learn the words of several texts that are not known yet."""
+        known, missing = self.known, {}
+        for text in texts if self.cuts else ():
+            for word in set(text.split(" ")):
+                if word not in known and word and not word[-1].isspace() and len(word) <= SHORT:
+                    missing[word] = None
+        words = list(missing)
+        for k in range(0, len(words), TOGETHER):
+            self._learn(words[k:k + TOGETHER])
+
     def _stretches(self, text: str) -> list[str]:
         """What stands between cuts, without the blank at the cut."""
+        parts = text.split(" ")
+        if not _OPEN.search(text):
+            return parts
         out: list[str] = []
         held: list[str] = []
-        for part in text.split(" "):
+        for part in parts:
             held.append(part)
             if part and not part[-1].isspace():
                 out.append(" ".join(held))
@@ -268,7 +287,9 @@ def digested(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
                  pa.list_(pa.int32())]
         names = ["n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"]
         for batch in sliced(batches):
-            rows = [row(aligner.words(x.as_py() or "")) for x in batch["text"]]
+            texts = [x.as_py() or "" for x in batch["text"]]
+            aligner.prepare(texts)
+            rows = [row(aligner.words(text)) for text in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], *(pa.array(list(column), type=kind)
                                     for column, kind in zip(zip(*rows), kinds))],
