@@ -170,8 +170,13 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def kept_rows(docs: DataFrame, key: Callable[[str], Column], groups: DataFrame) -> DataFrame:
     """The documents that stay; ``key`` gives a text's fp."""
-    joined = with_groups(docs.select(packed(docs), "doc_id", key("text").alias("fp")),
-                         groups, "fp", "n", docs.count())
+    rows = docs.select(packed(docs), "doc_id", key("text").alias("fp"))
+    return kept_of(rows, groups, docs.count(), docs.schema)
+
+
+def kept_of(rows: DataFrame, groups: DataFrame, total: int, schema: T.StructType) -> DataFrame:
+    """What stays of ``total`` rows (row, doc_id, fp)."""
+    joined = with_groups(rows, groups, "fp", "n", total)
     stays = (F.col("fp") == F.col("keep_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
     alone = joined.withColumn("stays", F.col("keep_fp").isNull() | stays).where("stays")
-    return first_of_repeats(alone, "fp", docs.schema).select("row.*")
+    return first_of_repeats(alone, "fp", schema).select("row.*")
