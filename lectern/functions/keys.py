@@ -98,3 +98,36 @@ def key_graph(attempts: DataFrame, versions: Versions) -> DataFrame:
 def stale_keys(now: DataFrame, before: DataFrame) -> DataFrame:
     """The stages to be made anew: their keys are not among those made before."""
     return now.join(before.select("kind", "key"), ["kind", "key"], "left_anti")
+
+
+def stale_counts(attempts: DataFrame, before: Versions, changes: dict[str, Versions]) -> DataFrame:
+    """(changed, kind, stale): how many keys of a kind are new ones under changed versions.
+
+    One pass over the attempts of ``key_graph``: the keys of all versions stand side by side, and
+    one is stale if the same item had another before. Keys of other items need not be looked up:
+    parts are joined by NUL, which none of them holds, so a key with another version in it is
+    nobody's earlier key.
+    """
+    versions = list(enumerate([before, *changes.values()]))
+    made = attempts.withColumns({f"generate{k}": attempt_key(
+        F.col("text_hash"), F.col("voice_hash"), F.col("attempt"), F.col("seed"), v)
+        for k, v in versions})
+    heard = made.withColumns({f"stt{k}": stt_key(F.col(f"generate{k}"), v) for k, v in versions})
+    judged = heard.withColumns({f"validation{k}": validation_key(
+        F.col(f"generate{k}"), F.col("text_hash"), F.col(f"stt{k}"), v) for k, v in versions})
+    numbers, kinds = range(1, len(versions)), ("generate", "stt", "validation")
+    part = F.struct("ordinal", "samples", *[f"generate{k}" for k, _ in versions])
+    chapters = judged.groupBy("book_id", "chapter_number").agg(
+        *[F.count_if(F.col(f"{kind}{k}") != F.col(f"{kind}0")).alias(f"{kind}_{k}")
+          for kind in kinds for k in numbers],
+        F.array_sort(F.collect_list(F.when(F.col("chosen"), part))).alias("parts"))
+    exports = chapters.withColumns({f"export{k}": export_key(
+        F.col(f"parts.generate{k}"), F.col("parts.samples"), v) for k, v in versions})
+    totals = exports.agg(
+        *[F.sum(f"{kind}_{k}").alias(f"{kind}_{k}") for kind in kinds for k in numbers],
+        *[F.count_if((F.size("parts") > 0) & (F.col(f"export{k}") != F.col("export0")))
+          .alias(f"export_{k}") for k in numbers])
+    return totals.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("changed"), F.lit(kind).alias("kind"),
+                 F.col(f"{kind}_{k}").alias("stale"))
+        for k, name in enumerate(changes, 1) for kind in (*kinds, "export")]))).where("stale > 0")

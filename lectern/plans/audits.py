@@ -269,13 +269,5 @@ SELECT '{name}' AS changed, kind, count(*) AS stale FROM {name} WHERE NOT EXISTS
                          for name in CHANGES))
 def stale_keys(spark: SparkSession, folder: str) -> DataFrame:
     """What must be made anew if one version changes: its own stage and those after it."""
-    attempts = _attempt_rows(spark, folder)
-    before = keys.key_graph(attempts, keys.Versions())
-    parts = [keys.stale_keys(keys.key_graph(attempts, replace(
-        keys.Versions(), **{name: value})), before).groupBy("kind").agg(
-            F.count("*").alias("stale")).select(F.lit(name).alias("changed"), "kind", "stale")
-        for name, value in CHANGES.items()]
-    first, *rest = parts
-    for part in rest:
-        first = first.unionByName(part)
-    return first
+    return keys.stale_counts(_attempt_rows(spark, folder), keys.Versions(), {
+        name: replace(keys.Versions(), **{name: value}) for name, value in CHANGES.items()})
