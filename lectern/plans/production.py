@@ -95,16 +95,14 @@ UNION ALL SELECT 'job_without_fragments', job_id, count(*) FROM jobs
 def orphans(spark: SparkSession, folder: str) -> DataFrame:
     jobs, states = views.jobs(spark, folder), views.fragment_states(spark, folder)
     customers = views.table(spark, folder, "customer")
-    found = {
-        "fragment_without_job": ("job_id", se.orphans(states, "job_id", jobs, "job_id")),
-        "job_without_book": ("book_id", se.orphans(jobs, "book_id", customers, "c_custkey")),
-        "job_without_fragments": ("job_id", se.orphans(jobs, "job_id", states, "job_id")),
-    }
-    counted = [
-        rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("found"))
-        .select(F.lit(problem).alias("problem"), "key", "found")
-        for problem, (key, rows) in found.items()]
-    return counted[0].unionAll(counted[1]).unionAll(counted[2])
+    by_job = se.orphan_counts(states, jobs, "job_id", "job_id")
+    by_book = se.orphan_counts(jobs, customers, "book_id", "c_custkey")
+    lonely = F.col("parents") == 0
+    rows = by_job.where(lonely | (F.col("children") == 0)).select(
+        F.when(lonely, "fragment_without_job").otherwise("job_without_fragments")
+        .alias("problem"), "key", F.greatest("children", "parents").alias("found"))
+    return rows.unionAll(by_book.where(lonely).select(
+        F.lit("job_without_book").alias("problem"), "key", F.col("children").alias("found")))
 
 
 @query("chapter_catalog", f"""
