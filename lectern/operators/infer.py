@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 
+#: Rows that a model is given at once, whatever the size of an Arrow batch.
+BATCH_ROWS = 1_000
+
 
 def infer(
     frame: DataFrame,
@@ -21,8 +24,9 @@ def infer(
     """Add the model's result columns and ``error`` to every row.
 
     ``loader`` is called once per task and returns a function from a batch of rows to
-    a frame of their results in the same order. If a batch fails its rows are tried one
-    by one; one that fails alone keeps NULL results and the message, and the job goes on.
+    a frame of their results in the same order. If a batch fails its halves are tried, down to
+    single rows; one that fails alone keeps NULL results and the message, and the job goes on.
+    Batches are given out one by one and hold ``BATCH_ROWS`` rows at most.
     ``group`` (a voice, say) brings equal values together in as many partitions as the
     session shuffles to, salted so that a frequent one is spread over ``salts`` of them.
     How many models work at once is the cluster's number of task slots.
@@ -38,20 +42,25 @@ def infer(
             return rows.assign(
                 **{name: produced[name].to_numpy() for name in names}, error=None)
 
-        def alone(row: pd.DataFrame) -> pd.DataFrame:
+        def halved(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
             try:
-                return answered(row)
+                yield answered(rows)
+                return
             except Exception as problem:  # a bad row must not stop the job
-                return row.assign(**dict.fromkeys(names),
-                                  error=f"{type(problem).__name__}: {problem}")
+                error = f"{type(problem).__name__}: {problem}"
+            if len(rows) == 1:
+                yield rows.assign(**dict.fromkeys(names), error=error)
+                return
+            middle = len(rows) // 2
+            yield from halved(rows.iloc[:middle])
+            yield from halved(rows.iloc[middle:])
 
         for batch in batches:
-            try:
-                done = [answered(batch)]
-            except Exception:
-                done = [alone(batch.iloc[k:k + 1]) for k in range(len(batch))]
-            for part in done:
-                yield part[[*columns, *names, "error"]]
+            for start in range(0, len(batch), BATCH_ROWS):
+                parts = list(halved(batch.iloc[start:start + BATCH_ROWS]))
+                yield pd.concat([part.astype(object) for part in parts])[
+                    [*columns, *names, "error"]] if len(parts) > 1 else (
+                        parts[0][[*columns, *names, "error"]])
 
     spread = frame
     if group:
