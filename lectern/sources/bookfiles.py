@@ -27,8 +27,9 @@ from pyspark.sql.types import StructType
 from lectern.sources.fictionbook import MAX_FILE_BYTES, OUTPUT_BYTES, SCHEMA, read_book
 
 PARTITION_BYTES = 128 << 20
-#: What opening a file counts for in a partition.
-OPEN_BYTES = 4 << 20
+#: What opening a file counts for in a partition. Starting a task takes as long as reading some
+#: hundred small books, so that it has a thousand of them.
+OPEN_BYTES = 128 << 10
 SETTLE = 2
 
 
