@@ -163,6 +163,12 @@ def _active_rewrites(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey").alias("job_id"))
 
 
+def _most(spark: SparkSession, folder: str) -> int:
+    """A bound of the rows of requests and fragments together, and of jobs."""
+    return max(views.row_count(spark, folder, "orders"), views.row_count(
+        spark, folder, "events") + views.row_count(spark, folder, "lineitem"))
+
+
 @query("retry_select", f"""
 WITH {sql.FRAGMENTS}, {sql.JOBS}, {REQUESTS},
 v AS (SELECT job_id, CASE WHEN status IN ('queued', 'running') THEN 'job_active'
@@ -180,7 +186,7 @@ FROM s LEFT JOIN v USING (job_id)""")
 def retry_select(spark: SparkSession, folder: str) -> DataFrame:
     return se.retry_selection(
         _requests(spark, folder), views.fragments(spark, folder),
-        views.jobs(spark, folder), _active_rewrites(spark, folder))
+        views.jobs(spark, folder), _active_rewrites(spark, folder), _most(spark, folder))
 
 
 @query("retry_jobs", f"""
@@ -198,9 +204,9 @@ SELECT job_id, coalesce(n, 0) AS fragments, CASE WHEN status IN ('queued', 'runn
 FROM jobs LEFT JOIN n USING (job_id)""")
 def retry_jobs(spark: SparkSession, folder: str) -> DataFrame:
     jobs, active = views.jobs(spark, folder), _active_rewrites(spark, folder)
-    selection = se.retry_selection(
-        _requests(spark, folder), views.fragments(spark, folder), jobs, active)
-    return se.retry_refusals(selection, jobs, active)
+    most = _most(spark, folder)
+    choice = se.retry_choice(_requests(spark, folder), views.fragments(spark, folder), most)
+    return se.retry_refusals(choice, jobs, active, most)
 
 
 @query("rewrite_select", f"""
@@ -215,9 +221,8 @@ s AS (SELECT a.job_id, fragment_id, ordinal, CASE WHEN times > 1 THEN 'duplicate
 SELECT job_id, fragment_id, ordinal, verdict, CASE WHEN verdict = 'ok' THEN row_number() OVER (
   PARTITION BY job_id, verdict ORDER BY ordinal, fragment_id) END AS place FROM s""")
 def rewrite_select(spark: SparkSession, folder: str) -> DataFrame:
-    most = views.row_count(spark, folder, "events") + views.row_count(spark, folder, "lineitem")
     return se.rewrite_selection(
-        _requests(spark, folder), views.fragments(spark, folder), most)
+        _requests(spark, folder), views.fragments(spark, folder), _most(spark, folder))
 
 
 @query("first_duplicate", """
