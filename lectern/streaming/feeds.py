@@ -248,7 +248,7 @@ def judged_events(actions: DataFrame, delay: str, ttl: str) -> DataFrame:
     """Events of (fragment_id, event_id, happened_at, action) judged in order, and late ones."""
     rows = actions.withWatermark("happened_at", delay).select(
         "fragment_id", "event_id", _at("happened_at"), "action")
-    return rows.groupBy("fragment_id").transformWithStateInPandas(
+    return rows.groupBy("fragment_id").transformWithState(
         Replay(micros(ttl)), Replay.SCHEMA, "append", "eventTime")
 
 
@@ -258,9 +258,10 @@ def all_judged(done: Run) -> DataFrame:
     Fragments are judged anew, by the batch operator, if they have late events, events that
     the watermark has not reached, or a second beginning; all others stand as they are.
     """
-    names = ["fragment_id", "event_id", "at", "action"]
+    names = ["fragment_id", "event_id", "at", "action"]  # the last three wait as arrays
     judged, late = done.rows("judged"), done.rows("late").select(*names)
-    waiting = done.state("pending").select("key.*", "list_element.*").select(*names)
+    waiting = done.state("pending").select("key.*", F.inline(F.arrays_zip(
+        *[F.col(f"list_element.{name}").alias(name) for name in names[1:]]))).select(*names)
     again = judged.where("begins").groupBy("fragment_id").count().where("count > 1")
     touched = late.select("fragment_id").union(waiting.select("fragment_id")).union(
         again.select("fragment_id")).distinct()

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.operators.replay import INITIAL, TRANSITIONS
@@ -185,14 +186,19 @@ class Deliveries(_Processor):
 class Replay(_Processor):
     """The state machine of fragments, fed in whatever order events come.
 
-    Events wait in ``pending`` until the watermark passes them and are then judged in order
-    against the state in ``folded``. An event that belongs before one already judged is
+    Events wait in ``pending``, those of a batch in one entry of arrays, as every entry is
+    converted by itself, until the watermark passes them and are then judged in order against
+    the state in ``folded``. An event that belongs before one already judged is
     ``late`` and left out: the fragment is past it. A fragment without events for ``ttl`` is
     forgotten; should it come back, its first event is marked ``begins`` once more.
+
+    It takes and gives rows, as a frame for every fragment costs more than its few rows, and
+    asks the state store, whose every answer is a message, no more than it has to.
     """
 
     COLUMNS = ["fragment_id", "event_id", "at", "action", "from_state", "to_state", "legal",
                "begins", "kind"]
+    OUT = Row(*COLUMNS)
     SCHEMA = ("fragment_id bigint, event_id bigint, at bigint, action string, from_state string, "
               "to_state string, legal boolean, begins boolean, kind string")
 
@@ -202,25 +208,30 @@ class Replay(_Processor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.folded = handle.getValueState("folded", "state string, at bigint, event_id bigint")
-        self.pending = handle.getListState("pending", "at bigint, event_id bigint, action string")
+        self.pending = handle.getListState(
+            "pending", "at array<bigint>, event_id array<bigint>, action array<string>")
+
+    def _waiting(self) -> list[tuple]:
+        return [event for entry in self.pending.get() for event in zip(*entry)]
 
-    def _settle(self, key: tuple, events: list[tuple], watermark: int) -> list[tuple]:
+    def _settle(
+        self, key: tuple, known: tuple | None, events: list[tuple], watermark: int
+    ) -> list[Row]:
         """Judge what the watermark has passed and keep the rest; the rows given out."""
-        known = self.folded.get() if self.folded.exists() else None
         state, last = (known[0], (int(known[1]), int(known[2]))) if known else (INITIAL, None)
         out, begins = [], known is None
         events = sorted(events, key=lambda x: x[:2])
         ready = [x for x in events if x[0] <= watermark * MILLI]
         for at, event_id, action in ready:
             moved = TRANSITIONS.get(action, {}).get(state)
-            out.append((key[0], event_id, at, action, state, moved or state, moved is not None,
-                        begins, "judged"))
+            out.append(self.OUT(key[0], event_id, at, action, state, moved or state,
+                                moved is not None, begins, "judged"))
             state, last, begins = moved or state, (at, event_id), False
         if ready:
             self.folded.update((state, *last))
         rest = events[len(ready):]
         if rest:
-            self.pending.put(rest)
+            self.pending.put([tuple(map(list, zip(*rest)))])
             self.wake_at(rest[0][0], watermark)
         else:
             self.pending.clear()
@@ -228,31 +239,35 @@ class Replay(_Processor):
                 self.wake_at(last[0] + self.ttl, watermark)
         return out
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        events = [(int(at), int(number), action) for part in rows
-                  for at, number, action in zip(part["at"], part["event_id"], part["action"])]
+        events = [(row["at"], row["event_id"], row["action"]) for row in rows]
         out = []
-        if self.folded.exists():
-            _, at, number = self.folded.get()
+        known = self.folded.get()
+        if known:
+            _, at, number = known
             late = [x for x in events if x[:2] <= (at, number)]
             events = [x for x in events if x[:2] > (at, number)]
-            out = [(key[0], n, at, action, None, None, None, None, "late")
+            out = [self.OUT(key[0], n, at, action, None, None, None, None, "late")
                    for at, n, action in late]
-        if self.pending.exists():
-            events += [tuple(x) for x in self.pending.get()]
-        out += self._settle(key, events, watermark)
-        if out:
-            yield pd.DataFrame(out, columns=self.COLUMNS)
+        yield from out
+        if not events:
+            return
+        first = min(event[0] for event in events)
+        if first > watermark * MILLI:  # what waits already has its timer
+            self.pending.appendValue(tuple(map(list, zip(*events))))
+            self.wake_at(first, watermark)
+        else:
+            yield from self._settle(key, known, events + self._waiting(), watermark)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        if self.pending.exists():
-            out = self._settle(key, [tuple(x) for x in self.pending.get()], watermark)
-            if out:
-                yield pd.DataFrame(out, columns=self.COLUMNS)
-        elif self.folded.exists():
-            if self.folded.get()[1] + self.ttl <= watermark * MILLI:
+        events = self._waiting()
+        known = self.folded.get()
+        if events:
+            yield from self._settle(key, known, events, watermark)
+        elif known:
+            if known[1] + self.ttl <= watermark * MILLI:
                 self.folded.clear()
             else:
-                self.wake_at(self.folded.get()[1] + self.ttl, watermark)
+                self.wake_at(known[1] + self.ttl, watermark)
